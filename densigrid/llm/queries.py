@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from densigrid.llm import bpe, dac
+from pyspark.sql import functions as F
+
+from densigrid.llm import bpe, dac, langid, quality, toxicity
+from densigrid.llm.learn import remainder
 from densigrid.llm.ship import table
 
 
@@ -13,12 +16,29 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ["doc_id"], with_ids=False)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs), ["doc_id"]).withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.withColumns({"held_out": remainder("doc_id", 4) == 2, "predicted": (F.col("score") >= 0.7).cast("int")})
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.withColumns({"held_out": remainder("doc_id", 5) == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
 def op6_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op6_addressable_tokens)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op5_quality, op6_addressable_tokens, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
