@@ -4,8 +4,9 @@ Two zstandard dictionaries are made from labelled text: of ordinary text (its fr
 that would else profit from the other dictionary), and of toxic text (the same, and the spaced word beginnings that
 occur in many more toxic documents than ordinary ones).  A window is one spaced word, followed by a constant tail that
 both dictionaries hold, so that even a short window is compressed and not stored.  A window's gain is its length under the
-ordinary dictionary less that under the toxic one.  A text's score is a logistic function, fitted on labelled texts, of
-the shares of windows whose gain reaches 2, 3, 4 and 5 bytes.  A null text is an empty one, which has no windows.
+ordinary dictionary less that under the toxic one; one of fewer letters than SHORTEST has none.  A text's score is a
+logistic function, fitted on labelled texts, of how many windows, and which share of them, gain 2, 3, 4 and 5 bytes.  A
+null text is an empty one, which has no windows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ TRAIN_ROWS = 2500
 BASE_BYTES, SHIELDED, ROUNDS = 8192, 500, 2
 #: A beginning is toxic material if that share of toxic texts has it (and five texts), so many times the ordinary share.
 LEAST_SHARE, LEAST_LIFT = 0.015, 5.0
-LONGEST = 14
+SHORTEST, LONGEST = 4, 14
 GAINS = (2, 3, 4, 5)
 TAIL = bytes(range(128, 176))
 
@@ -55,7 +56,7 @@ def lengths(dictionary: bytes):
 
 def gains(ordinary: bytes, toxic: bytes):
     a, b = lengths(ordinary), lengths(toxic)
-    return lambda word: a(word) - b(word)
+    return lambda word: a(word) - b(word) if len(word) >= SHORTEST else 0
 
 
 def toxic_material(toxic: list[set[str]], ordinary: list[set[str]]) -> list[str]:
@@ -77,7 +78,8 @@ class Model:
 
     def features(self, text: str, memo: dict) -> np.ndarray:
         got = np.fromiter(map(memo.__getitem__, windows(text)), np.int16)
-        return np.array([np.sqrt((got >= g).sum() / (len(got) + 20)) for g in GAINS])
+        counts = np.array([(got >= g).sum() for g in GAINS])
+        return np.concatenate([np.sqrt(counts / (len(got) + 20)), np.log1p([*counts, len(got)])])
 
     def scorer(self):
         memo = Memo(gains(self.ordinary, self.toxic), 400_000)
@@ -94,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = 5, held: int = 0) -> Model:
     bad = [windows(t) for t in labelled_sample(docs, labels, "toxic", 1, m, held, TRAIN_ROWS)]
     fine = [windows(t) for t in labelled_sample(docs, labels, "toxic", 0, m, held, TRAIN_ROWS)]
     if not bad or not fine:
-        return Model(b" ", b" ", np.array([*[0.0] * len(GAINS), -5.0]))
+        return Model(b" ", b" ", np.array([*[0.0] * (2 * len(GAINS) + 1), -5.0]))
     material = "".join(toxic_material([set(w) for w in bad], [set(w) for w in fine])).encode()
     often, often_bad = Counter(w for d in fine for w in d), Counter(w for d in bad for w in d)
     common, size = [], 0
@@ -110,10 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = 5, held: int = 0) -> Model:
         if turn < ROUNDS:
             hurt = sorted(((-n * (memo[w] - 1), w) for w, n in often.items() if memo[w] >= 2 and often_bad[w] / len(bad) < 4 * n / len(fine)))
             shielded += [w for _, w in hurt[:SHIELDED] if w not in set(shielded)]
-    model = Model(base, base + material, np.zeros(len(GAINS) + 1))
+    model = Model(base, base + material, np.zeros(1))
     texts = [" ".join(d) for d in [*bad, *fine]]
     x, y = np.array([model.features(t, memo) for t in texts]), np.concatenate([np.ones(len(bad)), np.zeros(len(fine))])
-    model.weights = logistic(x, y, ridge=1.0)
+    model.weights = logistic(x, y, ridge=0.1)
     return model
 
 
