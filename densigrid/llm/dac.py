@@ -119,7 +119,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words = Memo(self._word, 300_000)
+        self.words = Memo(self._word, 600_000)
         self.marks = {m: self._bytes(m) for m in ",."}
 
     def _bytes(self, text: str) -> bytes:
