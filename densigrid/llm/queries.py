@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from densigrid.llm import bpe, dac, langid, quality, toxicity
+from densigrid.llm import bagminhash, bpe, dac, langid, quality, toxicity
 from densigrid.llm.learn import remainder
 from densigrid.llm.ship import table
 
@@ -21,6 +21,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs), ["doc_id"]).withColumn("held_out", remainder("doc_id", 5) == 0)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -38,7 +42,7 @@ def op6_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op5_quality, op6_addressable_tokens, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op5_quality, op6_addressable_tokens, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
