@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from densigrid.llm import bagminhash, bpe, dac, langid, quality, toxicity
+from densigrid.llm import bagminhash, bpe, dac, jpeg, langid, quality, toxicity
 from densigrid.llm.learn import remainder
 from densigrid.llm.ship import table
 
@@ -31,6 +31,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({"held_out": remainder("doc_id", 4) == 2, "predicted": (F.col("score") >= 0.7).cast("int")})
 
 
+def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(jpeg.store(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "n_bytes"])
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -42,7 +46,7 @@ def op6_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op5_quality, op6_addressable_tokens, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op5_quality, op6_addressable_tokens, op7_jpeg_media, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
