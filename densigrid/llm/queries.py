@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from densigrid.llm import bagminhash, bpe, dac, jpeg, langid, quality, toxicity
+from densigrid.llm import bagminhash, bpe, dac, decontaminate, jpeg, langid, quality, toxicity
 from densigrid.llm.learn import remainder
 from densigrid.llm.ship import table
 
@@ -35,6 +35,10 @@ def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "n_bytes"])
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -46,8 +50,23 @@ def op6_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op5_quality, op6_addressable_tokens, op7_jpeg_media, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op5_quality, op6_addressable_tokens, op7_jpeg_media, op9_decontamination, op10_toxicity)}
+
+
+OP9 = r"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+doc_shingles AS (SELECT DISTINCT r, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words),
+item_words AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+item_shingles AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM item_words),
+sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
+found AS (SELECT r, item_id, count(*) AS k FROM doc_shingles JOIN item_shingles USING (s) GROUP BY r, item_id),
+hits AS (SELECT r, item_id, k / n AS c FROM found JOIN sizes USING (item_id) WHERE k >= CAST(0.8 AS DOUBLE) * n),
+by_row AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, max(c) AS containment FROM hits GROUP BY r)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(item_ids, '') AS item_ids,
+       coalesce(containment, CAST(0 AS DOUBLE)) AS containment
+FROM words LEFT JOIN by_row USING (r)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": OP9}

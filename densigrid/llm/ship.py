@@ -91,3 +91,13 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
                 )
 
     return source.mapInArrow(run, schema)
+
+
+#: Rows up to which a materialised list of keys is broadcast; beyond it, both sides are shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A materialised narrow table, marked for broadcast only if its counted size is within the bound."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
