@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from densigrid.llm import bagminhash, bpe, dac, decontaminate, jpeg, langid, quality, toxicity
+from densigrid.llm import bagminhash, bpe, dac, decontaminate, jpeg, langid, pii, quality, toxicity
 from densigrid.llm.learn import remainder
 from densigrid.llm.ship import table
 
@@ -25,6 +25,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
@@ -50,7 +54,7 @@ def op6_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op5_quality, op6_addressable_tokens, op7_jpeg_media, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op4_personal_data, op5_quality, op6_addressable_tokens, op7_jpeg_media, op9_decontamination, op10_toxicity)}
 
 
 OP9 = r"""
