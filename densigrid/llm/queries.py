@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from densigrid.llm import bagminhash, bpe, dac, decontaminate, jpeg, langid, pii, quality, toxicity
+from densigrid.llm import bagminhash, bpe, dac, decontaminate, jpeg, langid, pii, quality, quotes, toxicity
 from densigrid.llm.learn import remainder
 from densigrid.llm.ship import table
 
@@ -39,6 +39,10 @@ def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.store(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id", "n_bytes"])
 
 
+def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op6_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op4_personal_data, op5_quality, op6_addressable_tokens, op7_jpeg_media, op9_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op4_personal_data, op5_quality, op6_addressable_tokens, op7_jpeg_media, op8_quotations, op9_decontamination, op10_toxicity)}
 
 
 OP9 = r"""
@@ -72,5 +76,39 @@ FROM words LEFT JOIN by_row USING (r)
 """
 
 
+OP8 = r"""
+WITH lines AS (
+  SELECT r, conv_id, turn, role, i, l, len(regexp_replace(regexp_extract(l, '^(([ \t]{0,3}>)+)', 1), '[^>]', '', 'g')) AS level,
+         regexp_replace(regexp_replace(l, '^(([ \t]{0,3}>)+)', ''), '^ ', '') AS line
+  FROM (SELECT r, conv_id, turn, role, unnest(ls) AS l, generate_subscripts(ls, 1) AS i
+        FROM (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations))),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS passage
+         FROM (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY r ORDER BY i) = level THEN 0 ELSE 1 END AS new,
+                      coalesce(lead(level) OVER (PARTITION BY r ORDER BY i), 0) AS following FROM lines)),
+norm AS (SELECT *, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM runs),
+blocks AS (SELECT r, conv_id, turn, level, passage, trim(regexp_replace(lower(string_agg(line, chr(10) ORDER BY i)), '[^\p{L}\p{N}]+', ' ', 'g')) AS key
+           FROM norm GROUP BY r, conv_id, turn, level, passage),
+own AS (SELECT r, conv_id, turn, role, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (
+          level = 0 AND NOT (following > 0 AND regexp_matches(line, '(?i)^.{0,200}\b(wrote|schrieb|a écrit|escribió)\s*:\s*$'))), ''), '^\s+|\s+$', '', 'g') AS own_text
+        FROM norm GROUP BY r, conv_id, turn, role),
+held AS (SELECT conv_id, key, min(turn) AS origin FROM (
+           SELECT conv_id, turn, trim(regexp_replace(lower(own_text), '[^\p{L}\p{N}]+', ' ', 'g')) AS key FROM own
+           UNION ALL SELECT conv_id, turn, key FROM blocks WHERE level = 0 UNION ALL SELECT conv_id, turn, key FROM norm WHERE level = 0)
+         WHERE key <> '' GROUP BY conv_id, key),
+asked AS (SELECT r, conv_id, turn, level, passage, key, 1 AS is_whole FROM blocks WHERE level > 0
+          UNION ALL SELECT DISTINCT r, conv_id, turn, level, passage, key, 0 FROM norm WHERE level > 0),
+votes AS (SELECT a.r, a.level, a.passage, h.origin, max(is_whole) AS is_whole, count(*) AS n
+          FROM asked a LEFT JOIN held h ON h.conv_id = a.conv_id AND h.key = a.key AND h.origin < a.turn GROUP BY ALL),
+best AS (SELECT r, level, passage, origin FROM votes QUALIFY row_number() OVER (
+           PARTITION BY r, passage ORDER BY origin IS NULL, is_whole DESC, n DESC, origin DESC) = 1),
+links AS (SELECT r, count(*) AS n_quotes, count(origin) AS n_linked, max(level) AS max_level FROM best GROUP BY r),
+nearest AS (SELECT r, origin FROM best WHERE origin IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, origin DESC) = 1)
+SELECT conv_id, turn, role, own_text, coalesce(n.origin, b.turn_before) AS parent_turn, coalesce(n_quotes, 0) AS n_quotes,
+       coalesce(n_linked, 0) AS n_linked, CAST(coalesce(max_level, 0) AS INTEGER) AS max_level
+FROM own LEFT JOIN links USING (r) LEFT JOIN nearest n USING (r)
+LEFT JOIN (SELECT DISTINCT conv_id AS c, turn AS turn_before FROM conversations) b ON b.c = conv_id AND b.turn_before + 1 = turn
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": OP9}
+    return {"op8_quotations": OP8, "op9_decontamination": OP9}
