@@ -104,7 +104,8 @@ def has_entity() -> Column:
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """text_hash, terms: array<struct<term, remove>> of the texts that hold an entity and words that disclose it."""
     entities = scanned(docs).where(has_entity())
-    spans = F.concat(*[F.transform(k, lambda s, k=k: F.struct(F.xxhash64(F.lit(k), F.lower(s["text"])).alias("e"), s["start"].alias("start"), s["end"].alias("end"))) for k in BASE])
+    entity = lambda kind: lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["text"])).alias("e"), s["start"].alias("start"), s["end"].alias("end"))
+    spans = F.concat(*[F.transform(k, entity(k)) for k in BASE])
     each = entities.select("text_hash", "text", F.explode(spans).alias("s"))
     before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start")))
     after = F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT))
@@ -169,10 +170,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     rows = with_terms(rows, docs)
     removed = lambda s: F.exists("terms", lambda t: (t["term"] == F.lower(s["text"])) & t["remove"])
     label = lambda s: F.when(removed(s), F.lit("")).otherwise(F.when(s["text"].rlike("^[0-9]"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")))
-    marked = F.concat(
-        *[F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(LABELS[k]).alias("label"))) for k in BASE],
-        F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))),
-    )
+    labelled = lambda by: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("label"))
+    fixed = lambda kind: lambda s: F.lit(LABELS[kind])
+    marked = F.concat(*[F.transform(k, labelled(fixed(k))) for k in BASE], F.transform("term", labelled(label)))
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:

@@ -103,9 +103,9 @@ class Model:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.map_to[0] * self.raw(x) + self.map_to[1])
 
-    def scorer(self):
+    def scorer(self, name: str):
         memo = Memo(word_row)
-        return lambda texts: {"score": pa.array(self.probability(np.array([features_of(t, memo) for t in texts])), pa.float64())}
+        return lambda texts: {name: pa.array(self.probability(np.array([features_of(t, memo) for t in texts])), pa.float64())}
 
 
 def fit(docs: DataFrame, labels: DataFrame, m: int = 4, held: int = 2) -> Model:
@@ -132,5 +132,6 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = 4, held: int = 2) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    return map_texts(docs, model.scorer, "score double", keep)
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` and the score, under ``name`` (choose one that ``keep`` lacks)."""
+    return map_texts(docs, lambda: model.scorer(name), f"{name} double", keep)
