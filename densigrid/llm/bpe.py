@@ -71,7 +71,7 @@ class PrefixBPE:
         self.matches = regex.compile(pattern).findall
         self.stays = Memo(lambda t: self.merged(self.tokens[t]) == [t])
         self.fits = Memo(lambda p: self.merged(self.tokens[p[0]] + self.tokens[p[1]]) == [p[0], p[1]])
-        self.piece = Memo(self.encode_piece)
+        self.piece = Memo(lambda m: tuple(self.encode_piece(m)), 100_000)
         self.word = Memo(lambda w: tuple(self.encode_part(" " + w)))
 
     def merged(self, piece: bytes) -> list[int]:

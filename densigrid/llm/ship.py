@@ -18,8 +18,15 @@ CHUNK_CHARS = 2_000_000
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch between Spark and Python.  Spark's default of 10,000 suits narrow rows; whole texts of that many
+#: rows, on their way there and back, would take hundreds of MB outside the heap.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application (they may not have the driver's path)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -73,15 +80,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
     ``make`` runs once in each task; null texts reach the function as ``null``.
     """
     ship(df.sparkSession)
-    source = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema = f"{head}, {fields}" if keep else fields
     n = len(keep)
+    source = df.select(*keep, F.col(text).cast("string").alias("__text"))
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n])
+    schema = f"{head}, {fields}" if keep else fields
+    at = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else n
+    if at < n:  # the text is kept: it need not be sent twice
+        source = source.drop("__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = [null if t is None else t for t in batch.column(n).to_pylist()]
+            texts = [null if t is None else t for t in batch.column(at).to_pylist()]
             for a, b in chunks([t or "" for t in texts]):
                 made = work(texts[a:b])
                 part = batch.slice(a, b - a)
