@@ -13,9 +13,9 @@ text's weights is its signature: two texts agree in a component with a probabili
 
 Steps, all of them distributed.  Rows with the same word list are one text (``text_key``); each distinct text has one
 signature and a row for each band.  Buckets of a band are walked without emitting all their pairs: each member is linked
-to the bucket's leader, the least hash; members that are not in the leader's component after verification are then
-compared with every member of the bucket in rounds, whose leaders are taken in turn from components that are left, until
-each bucket has one component or each of its members has been a leader.  Verification counts whole multisets.
+to the bucket's leader, the least hash; members that are not similar to it become leaders themselves, LEADERS of a bucket at
+a time, and meet every member.  Where a bucket has more of them, this goes on in rounds between components, until one is
+left or each member outside the largest one has been a leader.  Verification counts whole multisets.
 
 Null and empty texts have no words; they are one class.  Repeated rows and ties are in one class.  An empty table gives
 no rows.  The chance to miss a pair of similarity 0.8 by banding is (1 - 0.8**ROWS)**BANDS, 0.04 %, and less above.
@@ -277,32 +277,54 @@ def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """node, root over text keys of distinct texts (text_key, text_hash, bands): components of links of 0.8 or more."""
     rows = texts.select("text_key", F.posexplode("bands").alias("band", "hash")).select("text_key", F.xxhash64("band", "hash").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("text_key").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(buckets.select((F.col("bucket") + 0).alias("k"), "leader"), F.col("bucket") == F.col("k")).drop("k"))
+    members = cut(rows.join(buckets.select((F.col("bucket") + 0).alias("k"), "leader", "n"), F.col("bucket") == F.col("k")).drop("k"))
     if members.isEmpty():
         return members.select(F.col("text_key").alias("node"), F.col("text_key").alias("root"))
     sets = cut(payloads(docs, texts.join(members.select("text_key").distinct(), "text_key", "left_semi")))
-    tested = cut(verified(members.where("text_key <> leader").select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct(), sets))
-    roots = cut(components(tested.where(F.col("similar") >= SIMILAR)))
-    used = members.select("bucket", F.col("leader").alias("text_key")).distinct()
+    star = members.where("text_key <> leader")
+    tested = cut(verified(star.select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct(), sets))
+    # Of a bucket, what is linked to the leader is one component.  The others meet all members, some of them at a time.
+    failed = tested.where(F.col("similar") < SIMILAR).select("a", "b")
+    left = cut(star.where("n > 2").join(failed, (F.col("leader") == F.col("a")) & (F.col("text_key") == F.col("b")), "left_semi").select("bucket", "text_key"))
+    chosen = cut(first_leaders(left))
+    tested = tested.unionByName(met(chosen, members, tested, sets))
+    roots = cut(components(linked(tested)))
+    if left.join(chosen.withColumnRenamed("leader", "text_key"), ["bucket", "text_key"], "left_anti").isEmpty():
+        return roots
+    used = chosen.unionByName(members.select("bucket", "leader").distinct())
     while True:
-        # Only a pair of texts in different components can add anything, and one of them is outside the bucket's largest one.
-        placed = members.join(roots, F.col("text_key") == F.col("node"), "left").select("bucket", "text_key", F.coalesce("root", "text_key").alias("root"))
+        # More are left in some bucket.  Only pairs of different components matter, and one of the two is outside the
+        # bucket's largest component; leaders are taken from there until each has been one, or one component is left.
+        placed = members.select("bucket", "text_key").join(roots, F.col("text_key") == F.col("node"), "left").select("bucket", "text_key", F.coalesce("root", "text_key").alias("root"))
         counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.root").alias("top"))
         open_rows = cut(placed.join(largest, "bucket"))
-        leaders = open_rows.where("root <> top").join(used, ["bucket", "text_key"], "left_anti")
-        chosen = leaders.groupBy("bucket").agg(F.slice(F.array_sort(least_keys("text_key")), 1, LEADERS).alias("some")).select("bucket", F.explode("some").alias("leader"))
-        chosen = cut(chosen.join(open_rows.select("bucket", F.col("text_key").alias("leader"), F.col("root").alias("leader_root")), ["bucket", "leader"]))
+        waiting = open_rows.where("root <> top").join(used.withColumnRenamed("leader", "text_key"), ["bucket", "text_key"], "left_anti")
+        chosen = cut(first_leaders(waiting))
         if chosen.isEmpty():
             return roots
-        pairs = open_rows.join(chosen, "bucket").where("root <> leader_root").select(F.least("leader", "text_key").alias("a"), F.greatest("leader", "text_key").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets))
-        used = cut(used.unionByName(chosen.select("bucket", F.col("leader").alias("text_key"))))
-        tested = tested.unionByName(fresh)
-        more = fresh.where(F.col("similar") >= SIMILAR).select("a", "b")
-        if not more.isEmpty():
-            roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        apart = chosen.join(open_rows.select("bucket", F.col("text_key").alias("leader"), F.col("root").alias("leader_root")), ["bucket", "leader"])
+        others = open_rows.join(apart, "bucket").where("root <> leader_root").select("bucket", "text_key", "leader")
+        fresh = met(None, others, tested, sets)
+        used, tested = cut(used.unionByName(chosen)), cut(tested.unionByName(fresh))
+        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(fresh))))
+
+
+def linked(tested: DataFrame) -> DataFrame:
+    return tested.where(F.col("similar") >= SIMILAR).select("a", "b")
+
+
+def first_leaders(rows: DataFrame) -> DataFrame:
+    """bucket, leader: up to LEADERS texts of each bucket."""
+    return rows.groupBy("bucket").agg(F.slice(F.array_sort(least_keys("text_key")), 1, LEADERS).alias("some")).select("bucket", F.explode("some").alias("leader"))
+
+
+def met(chosen: DataFrame | None, members: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, similar of members and the chosen leaders of their buckets, without pairs that are tested already."""
+    rows = members if chosen is None else members.select("bucket", "text_key").join(chosen, "bucket").where("text_key <> leader")
+    pairs = rows.select(F.least("leader", "text_key").alias("a"), F.greatest("leader", "text_key").alias("b")).distinct()
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets))
 
 
 def least_keys(name: str):
