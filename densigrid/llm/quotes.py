@@ -85,7 +85,9 @@ def linked(messages: DataFrame) -> DataFrame:
     nearest = F.max(F.when(F.col("origin").isNotNull(), F.struct((-F.col("level")).alias("near"), F.col("origin"))))
     by_message = links.groupBy("conv_id", "turn", "message").agg(nearest["origin"].alias("quoted_turn"), F.count("*").alias("n_quotes"), F.count("origin").alias("n_linked"), F.max("level").alias("max_level"))
     before = messages.select(F.col("conv_id").alias("__conv"), (F.col("turn") + 1).alias("__next")).distinct()
-    out = rows.join(by_message, ["conv_id", "turn", "message"], "left").join(before, (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__next")), "left")
+    told = by_message.select(*[F.col(c).alias(f"__{c}") if c in ("conv_id", "turn", "message") else c for c in by_message.columns])
+    same = F.col("conv_id").eqNullSafe(F.col("__conv_id")) & F.col("turn").eqNullSafe(F.col("__turn")) & (F.col("message") == F.col("__message"))
+    out = rows.join(told, same, "left").join(before, (F.col("conv_id") == F.col("__conv")) & (F.col("turn") == F.col("__next")), "left")
     return out.select(
         "conv_id",
         "turn",
