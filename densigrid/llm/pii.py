@@ -6,8 +6,8 @@ word t near it (CONTEXT characters to either side),
 
     PMI(e, t) = log2( p(t | e) / p(t) )        IC(e) = -log2 p(e)        disclosure = PMI / IC
 
-where p(t | e) is the share of e's distinct contexts that have t, p(t) the share of distinct texts with t, p(e) the share
-of distinct texts with e.  It is 1 for a word that only ever stands with e.  A word of SUPPORT distinct contexts of e or
+where p(t | e) is the share of e's distinct contexts that have t, p(t) the share of documents with t, p(e) the share of
+documents with e.  It is 1 for a word that only ever stands with e.  A word of SUPPORT distinct contexts of e or
 more and in half of them is removed from texts that hold e where its disclosure is REMOVE or more, and generalised to its
 kind where it is GENERALISE or more.  Copies with the same context count once, so repeats of a text do not make evidence.
 
@@ -106,12 +106,14 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     entities = scanned(docs).where(has_entity())
     entity = lambda kind: lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["text"])).alias("e"), s["start"].alias("start"), s["end"].alias("end"))
     spans = F.concat(*[F.transform(k, entity(k)) for k in BASE])
-    each = entities.select("text_hash", "text", F.explode(spans).alias("s"))
+    each = entities.select("text_hash", "text", spans.alias("spans")).select("text_hash", "text", "spans", F.posexplode("spans").alias("i", "s"))
+    # Each document counts once for an entity, however often it has it.
+    first = F.array_position(F.transform("spans", lambda s: s["e"]), F.col("s.e")) == F.col("i") + 1
     before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start")))
     after = F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT))
     # A word that the edge of the context cuts is no word of it.
     inner = F.concat(F.regexp_replace(before, r"^[\p{L}\p{N}]+", ""), F.lit(" "), F.regexp_replace(after, r"[\p{L}\p{N}]+$", ""))
-    near = each.select("text_hash", F.col("s.e").alias("e"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(inner), F.lit(_WORD), 0))).alias("words"))
+    near = each.select("text_hash", F.col("s.e").alias("e"), first.alias("first"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(inner), F.lit(_WORD), 0))).alias("words"))
     near = cut(near.withColumn("context", F.xxhash64(F.array_join("words", " "))))
     # Entities with enough distinct contexts, then words in enough of them.
     contexts = near.select("e", "context").distinct().groupBy("e").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
@@ -121,11 +123,12 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return pairs.select(F.lit(0).cast("long").alias("text_hash"), F.array(F.struct(F.lit("").alias("term"), F.lit(False).alias("remove"))).alias("terms")).limit(0)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = texts.select(F.xxhash64("text").alias("h")).distinct().count()
-    asked = small(pairs.select("term").distinct())
-    words = texts.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0))).alias("term"))
-    share = words.join(asked, "term").distinct().groupBy("term").agg((F.count("*") / float(total)).alias("p_t"))
-    of_e = near.select("e", "text_hash").distinct().groupBy("e").agg((F.count("*") / float(total)).alias("p_e"))
+    total = texts.count()
+    # Every word of the corpus is counted, partly before the shuffle; the candidates are looked up in the counts.  Joined the
+    # other way round, each occurrence of a candidate would be a row, and there are more candidates in a larger corpus.
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0))).alias("term"))
+    share = words.groupBy("term").agg((F.count("*") / float(total)).alias("p_t")).join(small(pairs.select("term").distinct()), "term", "left_semi")
+    of_e = near.where("first").groupBy("e").agg((F.count("*") / float(total)).alias("p_e"))
     disclosure = F.log2(F.col("both") / F.col("contexts") / F.col("p_t")) / -F.log2("p_e")
     told = pairs.join(small(share), "term").join(of_e, "e").where("p_e < 1").select("e", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
     told = small(told)
