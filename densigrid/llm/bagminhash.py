@@ -205,7 +205,7 @@ def text_bands(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def link_key(name: str):
     """The same value by another expression: a join on it gets an exchange of its own, whose large parts Spark can split."""
-    return F.unhex(F.hex(F.col(name)))
+    return F.col(name) + 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -231,9 +231,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """text_key, values, counts: the multiset of each text in ``wanted`` (text_key, text_hash), read from the documents."""
+    """id, values, counts: the multiset of each text in ``wanted`` (id, text_key, text_hash), read from the documents."""
     found = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
-    texts = found.groupBy("text_hash").agg(F.min("text").alias("text"))
+    texts = found.groupBy("text_hash").agg(F.any_value("text").alias("text"))
 
     def make():
         shingler = Shingler()
@@ -251,14 +251,14 @@ def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return work
 
-    return map_texts(texts, make, "text_key binary, values binary, counts binary", [])
+    return map_texts(texts, make, "text_key binary, values binary, counts binary", []).join(wanted.select("text_key", "id"), "text_key").select("id", "values", "counts")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similar of pairs of text keys, from their whole multisets."""
+    """a, b, similar of pairs of text ids, from their whole multisets."""
     ship(pairs.sparkSession)
-    left = sets.select(F.col("text_key").alias("a"), F.col("values").alias("va"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("text_key").alias("b"), F.col("values").alias("vb"), F.col("counts").alias("cb"))
+    left = sets.select(F.col("id").alias("a"), F.col("values").alias("va"), F.col("counts").alias("ca"))
+    right = sets.select(F.col("id").alias("b"), F.col("values").alias("vb"), F.col("counts").alias("cb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "va", "ca", "vb", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,41 +270,41 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 similar.append(similarity((va, ca), (vb, cb)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], names=["a", "b", "similar"])
 
-    return both.mapInArrow(run, "a binary, b binary, similar double")
+    return both.mapInArrow(run, "a long, b long, similar double")
 
 
 def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, root over text keys of distinct texts (text_key, text_hash, bands): components of links of 0.8 or more."""
-    rows = texts.select("text_key", F.posexplode("bands").alias("band", "hash")).select("text_key", F.xxhash64("band", "hash").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("text_key").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(buckets.select((F.col("bucket") + 0).alias("k"), "leader", "n"), F.col("bucket") == F.col("k")).drop("k"))
+    """node, root over ids of distinct texts (id, text_key, text_hash, bands): components of links of 0.8 or more."""
+    rows = texts.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = cut(rows.join(buckets.select(link_key("bucket").alias("k"), "leader", "n"), F.col("bucket") == F.col("k")).drop("k"))
     if members.isEmpty():
-        return members.select(F.col("text_key").alias("node"), F.col("text_key").alias("root"))
-    sets = cut(payloads(docs, texts.join(members.select("text_key").distinct(), "text_key", "left_semi")))
-    star = members.where("text_key <> leader")
-    tested = cut(verified(star.select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct(), sets))
+        return members.select(F.col("id").alias("node"), F.col("id").alias("root"))
+    sets = cut(payloads(docs, texts.join(members.select("id").distinct(), "id", "left_semi")))
+    star = members.where("id <> leader")
+    tested = cut(verified(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets))
     # Of a bucket, what is linked to the leader is one component.  The others meet all members, some of them at a time.
     failed = tested.where(F.col("similar") < SIMILAR).select("a", "b")
-    left = cut(star.where("n > 2").join(failed, (F.col("leader") == F.col("a")) & (F.col("text_key") == F.col("b")), "left_semi").select("bucket", "text_key"))
+    left = cut(star.where("n > 2").join(failed, (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("bucket", "id"))
     chosen = cut(first_leaders(left))
     tested = tested.unionByName(met(chosen, members, tested, sets))
     roots = cut(components(linked(tested)))
-    if left.join(chosen.withColumnRenamed("leader", "text_key"), ["bucket", "text_key"], "left_anti").isEmpty():
+    if left.join(chosen.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti").isEmpty():
         return roots
     used = chosen.unionByName(members.select("bucket", "leader").distinct())
     while True:
         # More are left in some bucket.  Only pairs of different components matter, and one of the two is outside the
         # bucket's largest component; leaders are taken from there until each has been one, or one component is left.
-        placed = members.select("bucket", "text_key").join(roots, F.col("text_key") == F.col("node"), "left").select("bucket", "text_key", F.coalesce("root", "text_key").alias("root"))
+        placed = members.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.root").alias("top"))
         open_rows = cut(placed.join(largest, "bucket"))
-        waiting = open_rows.where("root <> top").join(used.withColumnRenamed("leader", "text_key"), ["bucket", "text_key"], "left_anti")
+        waiting = open_rows.where("root <> top").join(used.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti")
         chosen = cut(first_leaders(waiting))
         if chosen.isEmpty():
             return roots
-        apart = chosen.join(open_rows.select("bucket", F.col("text_key").alias("leader"), F.col("root").alias("leader_root")), ["bucket", "leader"])
-        others = open_rows.join(apart, "bucket").where("root <> leader_root").select("bucket", "text_key", "leader")
+        apart = chosen.join(open_rows.select("bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root")), ["bucket", "leader"])
+        others = open_rows.join(apart, "bucket").where("root <> leader_root").select("bucket", "id", "leader")
         fresh = met(None, others, tested, sets)
         used, tested = cut(used.unionByName(chosen)), cut(tested.unionByName(fresh))
         roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(fresh))))
@@ -316,20 +316,21 @@ def linked(tested: DataFrame) -> DataFrame:
 
 def first_leaders(rows: DataFrame) -> DataFrame:
     """bucket, leader: up to LEADERS texts of each bucket."""
-    return rows.groupBy("bucket").agg(F.slice(F.array_sort(least_keys("text_key")), 1, LEADERS).alias("some")).select("bucket", F.explode("some").alias("leader"))
+    return rows.groupBy("bucket").agg(F.slice(F.array_sort(least_keys("id")), 1, LEADERS).alias("some")).select("bucket", F.explode("some").alias("leader"))
 
 
 def met(chosen: DataFrame | None, members: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, similar of members and the chosen leaders of their buckets, without pairs that are tested already."""
-    rows = members if chosen is None else members.select("bucket", "text_key").join(chosen, "bucket").where("text_key <> leader")
-    pairs = rows.select(F.least("leader", "text_key").alias("a"), F.greatest("leader", "text_key").alias("b")).distinct()
+    rows = members if chosen is None else members.select("bucket", "id").join(chosen, "bucket").where("id <> leader")
+    pairs = rows.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets))
 
 
 def least_keys(name: str):
-    """Up to LEADERS keys for each of 16 hash classes: a bounded list, whatever the group's size (keys are uniform hashes)."""
-    return F.filter(F.array(*[F.min(F.when(F.conv(F.substring(F.hex(name), 32, 1), 16, 10).cast("int") == i, F.col(name))) for i in range(16)]), lambda x: x.isNotNull())
+    """The least id of each of 16 hash classes: a bounded list, whatever the group's size."""
+    part = F.pmod(F.xxhash64(name), F.lit(16))
+    return F.filter(F.array(*[F.min(F.when(part == i, F.col(name))) for i in range(16)]), lambda x: x.isNotNull())
 
 
 #: Leaders that a bucket's members are compared with in one round.
@@ -340,13 +341,13 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, class_key, class_id of every row of documents (doc_id, text); one row for each row."""
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = cut(text_bands(source.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]))
-    texts = cut(rows.groupBy("text_key", "bands").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")))
+    # Distinct texts get numbers, which are final as they are written; numbers aggregate and join faster than keys.
+    texts = cut(rows.groupBy("text_key", "bands").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).withColumn("id", F.monotonically_increasing_id()))
     roots = linked_texts(source, texts)
-    rooted = texts.select("text_key", "doc_id").join(roots, F.col("text_key") == F.col("node"), "left").select("text_key", "doc_id", F.coalesce("root", "text_key").alias("class_key"))
-    rooted = cut(rooted)
+    rooted = cut(texts.select("id", "text_key", "doc_id").join(roots, F.col("id") == F.col("node"), "left").select("text_key", "doc_id", F.coalesce("root", "id").alias("class_key")))
     named = rooted.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    keys = cut(rooted.select("text_key", "class_key").join(named.select(link_key("class_key").alias("k"), "class_id"), F.col("class_key") == F.col("k")).drop("k"))
-    return rows.select("doc_id", "text_hash", "text_key").join(keys, "text_key").select("doc_id", "text_hash", "class_key", "class_id")
+    keys = rooted.select("text_key", "class_key").join(named.select(link_key("class_key").alias("k"), "class_id"), F.col("class_key") == F.col("k")).drop("k")
+    return rows.select("doc_id", "text_hash", "text_key").join(cut(keys), "text_key").select("doc_id", "text_hash", "class_key", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
