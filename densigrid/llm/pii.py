@@ -124,10 +124,11 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         return pairs.select(F.lit(0).cast("long").alias("text_hash"), F.array(F.struct(F.lit("").alias("term"), F.lit(False).alias("remove"))).alias("terms")).limit(0)
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = texts.count()
-    # Every word of the corpus is counted, partly before the shuffle; the candidates are looked up in the counts.  Joined the
-    # other way round, each occurrence of a candidate would be a row, and there are more candidates in a larger corpus.
+    # Every word of the corpus is counted, partly before the shuffle; the candidates are looked up in the counts (by an
+    # inner join: a semi join would be moved below the count).  The other way round, each occurrence of a candidate would be
+    # a row, and a larger corpus has more candidates.
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0))).alias("term"))
-    share = words.groupBy("term").agg((F.count("*") / float(total)).alias("p_t")).join(small(pairs.select("term").distinct()), "term", "left_semi")
+    share = words.groupBy("term").agg((F.count("*") / float(total)).alias("p_t")).join(small(pairs.select("term").distinct()), "term")
     of_e = near.where("first").groupBy("e").agg((F.count("*") / float(total)).alias("p_e"))
     disclosure = F.log2(F.col("both") / F.col("contexts") / F.col("p_t")) / -F.log2("p_e")
     told = pairs.join(small(share), "term").join(of_e, "e").where("p_e < 1").select("e", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
