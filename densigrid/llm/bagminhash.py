@@ -203,6 +203,12 @@ def text_bands(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_texts(docs, make, "text_key binary, bands array<long>", keep)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """Joined by sorting: this side grows with the corpus, so it is never gathered on the driver to be broadcast, however
+    small it is now; parts of a hot key can be split."""
+    return df.hint("merge")
+
+
 def link_key(name: str):
     """The same value by another expression: a join on it gets an exchange of its own, whose large parts Spark can split."""
     return F.col(name) + 0
@@ -216,7 +222,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     def star(links: DataFrame) -> DataFrame:
         least = links.groupBy("u").agg(F.min("v").alias("m")).select(link_key("u").alias("k"), F.least(F.col("u"), F.col("m")).alias("m"))
-        return links.join(least, F.col("u") == F.col("k")).select("u", "v", "m")
+        return links.join(by_merge(least), F.col("u") == F.col("k")).select("u", "v", "m")
 
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     seen = None
@@ -232,7 +238,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, values, counts: the multiset of each text in ``wanted`` (id, text_key, text_hash), read from the documents."""
-    found = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
+    found = docs.select("text", F.xxhash64("text").alias("text_hash")).join(by_merge(wanted.select("text_hash").distinct()), "text_hash", "left_semi")
     texts = found.groupBy("text_hash").agg(F.any_value("text").alias("text"))
 
     def make():
@@ -251,7 +257,7 @@ def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return work
 
-    return map_texts(texts, make, "text_key binary, values binary, counts binary", []).join(wanted.select("text_key", "id"), "text_key").select("id", "values", "counts")
+    return map_texts(texts, make, "text_key binary, values binary, counts binary", []).join(by_merge(wanted.select("text_key", "id")), "text_key").select("id", "values", "counts")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -259,7 +265,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ship(pairs.sparkSession)
     left = sets.select(F.col("id").alias("a"), F.col("values").alias("va"), F.col("counts").alias("ca"))
     right = sets.select(F.col("id").alias("b"), F.col("values").alias("vb"), F.col("counts").alias("cb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "va", "ca", "vb", "cb")
+    both = by_merge(by_merge(pairs.select("a", "b")).join(left, "a")).join(right, "b").select("a", "b", "va", "ca", "vb", "cb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,19 +283,19 @@ def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """node, root over ids of distinct texts (id, text_key, text_hash, bands): components of links of 0.8 or more."""
     rows = texts.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(buckets.select(link_key("bucket").alias("k"), "leader", "n"), F.col("bucket") == F.col("k")).drop("k"))
+    members = cut(rows.join(by_merge(buckets).select(link_key("bucket").alias("k"), "leader", "n"), F.col("bucket") == F.col("k")).drop("k"))
     if members.isEmpty():
         return members.select(F.col("id").alias("node"), F.col("id").alias("root"))
-    sets = cut(payloads(docs, texts.join(members.select("id").distinct(), "id", "left_semi")))
+    sets = cut(payloads(docs, texts.join(by_merge(members.select("id").distinct()), "id", "left_semi")))
     star = members.where("id <> leader")
     tested = cut(verified(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets))
     # Of a bucket, what is linked to the leader is one component.  The others meet all members, some of them at a time.
     failed = tested.where(F.col("similar") < SIMILAR).select("a", "b")
-    left = cut(star.where("n > 2").join(failed, (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("bucket", "id"))
+    left = cut(star.where("n > 2").join(by_merge(failed), (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("bucket", "id"))
     chosen = cut(first_leaders(left))
     tested = tested.unionByName(met(chosen, members, tested, sets))
     roots = cut(components(linked(tested)))
-    if left.join(chosen.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti").isEmpty():
+    if left.join(by_merge(chosen.withColumnRenamed("leader", "id")), ["bucket", "id"], "left_anti").isEmpty():
         return roots
     used = chosen.unionByName(members.select("bucket", "leader").distinct())
     while True:
@@ -321,10 +327,10 @@ def first_leaders(rows: DataFrame) -> DataFrame:
 
 def met(chosen: DataFrame | None, members: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, similar of members and the chosen leaders of their buckets, without pairs that are tested already."""
-    rows = members if chosen is None else members.select("bucket", "id").join(chosen, "bucket").where("id <> leader")
+    rows = members if chosen is None else members.select("bucket", "id").join(by_merge(chosen), "bucket").where("id <> leader")
     pairs = rows.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return cut(verified(pairs.join(known, ["a", "b"], "left_anti"), sets))
+    return cut(verified(pairs.join(by_merge(known), ["a", "b"], "left_anti"), sets))
 
 
 def least_keys(name: str):
@@ -344,10 +350,10 @@ def classes(docs: DataFrame) -> DataFrame:
     # Distinct texts get numbers, which are final as they are written; numbers aggregate and join faster than keys.
     texts = cut(rows.groupBy("text_key", "bands").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).withColumn("id", F.monotonically_increasing_id()))
     roots = linked_texts(source, texts)
-    rooted = cut(texts.select("id", "text_key", "doc_id").join(roots, F.col("id") == F.col("node"), "left").select("text_key", "doc_id", F.coalesce("root", "id").alias("class_key")))
+    rooted = cut(texts.select("id", "text_key", "doc_id").join(by_merge(roots), F.col("id") == F.col("node"), "left").select("text_key", "doc_id", F.coalesce("root", "id").alias("class_key")))
     named = rooted.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
-    keys = rooted.select("text_key", "class_key").join(named.select(link_key("class_key").alias("k"), "class_id"), F.col("class_key") == F.col("k")).drop("k")
-    return rows.select("doc_id", "text_hash", "text_key").join(cut(keys), "text_key").select("doc_id", "text_hash", "class_key", "class_id")
+    keys = rooted.select("text_key", "class_key").join(by_merge(named.select(link_key("class_key").alias("k"), "class_id")), F.col("class_key") == F.col("k")).drop("k")
+    return rows.select("doc_id", "text_hash", "text_key").join(by_merge(cut(keys)), "text_key").select("doc_id", "text_hash", "class_key", "class_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
