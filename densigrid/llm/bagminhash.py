@@ -13,8 +13,8 @@ text's weights is its signature: two texts agree in a component with a probabili
 
 Steps, all of them distributed.  Rows with the same word list are one text (``text_key``); each distinct text has one
 signature and a row for each band.  Buckets of a band are walked without emitting all their pairs: each member is linked
-to the bucket's leader, the least hash; members that are not similar to it become leaders themselves, LEADERS of a bucket at
-a time, and meet every member.  Where a bucket has more of them, this goes on in rounds between components, until one is
+to the bucket's leader, the least hash; members that are not similar to it become leaders themselves, LEADERS of a bucket in
+a first round, and meet every member.  Where a bucket has more of them, growing rounds between components follow, until one is
 left or each member outside the largest one has been a leader.  Verification counts whole multisets.
 
 Null and empty texts have no words; they are one class.  Repeated rows and ties are in one class.  An empty table gives
@@ -217,7 +217,7 @@ def link_key(name: str):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root of the connected components of undirected links; the root is the least node.
 
-    Large-star and small-star steps in turn, until nothing changes.  Each link is moved as often as there are rounds
+    Large-star and small-star steps in turn, until all components are stars.  Each link is moved as often as there are rounds
     (logarithmic in the size of a component), nodes with many links are aggregated before they are shuffled.
     """
     def star(links: DataFrame) -> DataFrame:
@@ -225,15 +225,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return links.join(by_merge(least), F.col("u") == F.col("k")).select("u", "v", "m")
 
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
-        total = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if total == seen or not total[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = total
+    while not stars(now):
         large = star(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         small = star(large.distinct())
         now = cut(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def stars(links: DataFrame) -> bool:
+    """Whether each node is either a root or has one link, which leads to a root."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or (up = 1 and low = 1)").isEmpty()
 
 
 def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -292,21 +294,23 @@ def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     # Of a bucket, what is linked to the leader is one component.  The others meet all members, some of them at a time.
     failed = tested.where(F.col("similar") < SIMILAR).select("a", "b")
     left = cut(star.where("n > 2").join(by_merge(failed), (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("bucket", "id"))
-    chosen = cut(first_leaders(left))
+    chosen = cut(first_leaders(left, LEADERS))
     tested = tested.unionByName(met(chosen, members, tested, sets))
     roots = cut(components(linked(tested)))
     if left.join(by_merge(chosen.withColumnRenamed("leader", "id")), ["bucket", "id"], "left_anti").isEmpty():
         return roots
-    used = chosen.unionByName(members.select("bucket", "leader").distinct())
+    used, most = chosen.unionByName(members.select("bucket", "leader").distinct()), LEADERS
     while True:
         # More are left in some bucket.  Only pairs of different components matter, and one of the two is outside the
-        # bucket's largest component; leaders are taken from there until each has been one, or one component is left.
+        # bucket's largest component; leaders are taken from there until each has been one, or one component is left; each round
+        # takes twice as many as the one before, so rounds are few (logarithmic in the number of those left).
+        most *= 2
         placed = members.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
         counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
         largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.root").alias("top"))
         open_rows = cut(placed.join(largest, "bucket"))
         waiting = open_rows.where("root <> top").join(used.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti")
-        chosen = cut(first_leaders(waiting))
+        chosen = cut(first_leaders(waiting, most))
         if chosen.isEmpty():
             return roots
         apart = chosen.join(open_rows.select("bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root")), ["bucket", "leader"])
@@ -320,9 +324,9 @@ def linked(tested: DataFrame) -> DataFrame:
     return tested.where(F.col("similar") >= SIMILAR).select("a", "b")
 
 
-def first_leaders(rows: DataFrame) -> DataFrame:
-    """bucket, leader: up to LEADERS texts of each bucket."""
-    return rows.groupBy("bucket").agg(F.slice(F.array_sort(least_keys("id")), 1, LEADERS).alias("some")).select("bucket", F.explode("some").alias("leader"))
+def first_leaders(rows: DataFrame, most: int) -> DataFrame:
+    """bucket, leader: up to ``most`` texts of each bucket, the least of each of so many hash classes."""
+    return rows.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("part")).agg(F.min("id").alias("leader")).select("bucket", "leader")
 
 
 def met(chosen: DataFrame | None, members: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
@@ -333,13 +337,7 @@ def met(chosen: DataFrame | None, members: DataFrame, tested: DataFrame, sets: D
     return cut(verified(pairs.join(by_merge(known), ["a", "b"], "left_anti"), sets))
 
 
-def least_keys(name: str):
-    """The least id of each of 16 hash classes: a bounded list, whatever the group's size."""
-    part = F.pmod(F.xxhash64(name), F.lit(16))
-    return F.filter(F.array(*[F.min(F.when(part == i, F.col(name))) for i in range(16)]), lambda x: x.isNotNull())
-
-
-#: Leaders that a bucket's members are compared with in one round.
+#: Leaders that a bucket's members are compared with in the first round.
 LEADERS = 16
 
 
