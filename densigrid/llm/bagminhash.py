@@ -13,9 +13,9 @@ text's weights is its signature: two texts agree in a component with a probabili
 
 Steps, all of them distributed.  Rows with the same word list are one text (``text_key``); each distinct text has one
 signature and a row for each band.  Buckets of a band are walked without emitting all their pairs: each member is linked
-to the bucket's leader, the least hash; members that are not similar to it become leaders themselves, LEADERS of a bucket in
-a first round, and meet every member.  Where a bucket has more of them, growing rounds between components follow, until one is
-left or each member outside the largest one has been a leader.  Verification counts whole multisets.
+to the bucket's leader, the least id; members outside the bucket's largest component then meet pivots of other components, in
+rounds of more and more pivots, until the bucket is one component or all its members have been pivots, so no link is
+lost.  Verification counts whole multisets.
 
 Null and empty texts have no words; they are one class.  Repeated rows and ties are in one class.  An empty table gives
 no rows.  The chance to miss a pair of similarity 0.8 by banding is (1 - 0.8**ROWS)**BANDS, 0.04 %, and less above.
@@ -291,54 +291,56 @@ def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     sets = cut(payloads(docs, texts.join(by_merge(members.select("id").distinct()), "id", "left_semi")))
     star = members.where("id <> leader")
     tested = cut(verified(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets))
-    # Of a bucket, what is linked to the leader is one component.  The others meet all members, some of them at a time.
-    failed = tested.where(F.col("similar") < SIMILAR).select("a", "b")
-    left = cut(star.where("n > 2").join(by_merge(failed), (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b")), "left_semi").select("bucket", "id"))
-    chosen = cut(first_leaders(left, LEADERS))
-    tested = tested.unionByName(met(chosen, members, tested, sets))
     roots = cut(components(linked(tested)))
-    if left.join(by_merge(chosen.withColumnRenamed("leader", "id")), ["bucket", "id"], "left_anti").isEmpty():
-        return roots
-    used, most = chosen.unionByName(members.select("bucket", "leader").distinct()), LEADERS
+    # Of a bucket, what is linked to the leader is one component now.  Where there are more, the largest one's least member
+    # is the bucket's anchor.  Members outside the anchor's component meet pivots of other components; each round has
+    # GROWTH times as many, and what it links leaves the next rounds, until all members have been pivots.  So of any two
+    # members that stay in different components, at least one was outside in every round and has met the other.
+    placed = placed_in(members, roots)
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    anchors = cut(sizes.groupBy("bucket").agg(F.max(F.struct("n", "id")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.id").alias("anchor")))
+    members = cut(members.join(by_merge(anchors.select(link_key("bucket").alias("k"), "anchor")), F.col("bucket") == F.col("k")).drop("k"))
+    used, most = members.select("bucket", F.col("leader").alias("id")).distinct(), PIVOTS
     while True:
-        # More are left in some bucket.  Only pairs of different components matter, and one of the two is outside the
-        # bucket's largest component; leaders are taken from there until each has been one, or one component is left; each round
-        # takes twice as many as the one before, so rounds are few (logarithmic in the number of those left).
-        most *= 2
-        placed = members.select("bucket", "id").join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-        largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.root").alias("top"))
-        open_rows = cut(placed.join(largest, "bucket"))
-        waiting = open_rows.where("root <> top").join(used.withColumnRenamed("leader", "id"), ["bucket", "id"], "left_anti")
-        chosen = cut(first_leaders(waiting, most))
-        if chosen.isEmpty():
+        placed = placed_in(members, roots)
+        top = placed.where("id = anchor").select(link_key("bucket").alias("k"), F.col("root").alias("top"))
+        placed = cut(placed.join(by_merge(top), F.col("bucket") == F.col("k")).drop("k"))
+        outside = placed.where("root <> top")
+        unused = placed.join(by_merge(outside.select("bucket").distinct()), "bucket", "left_semi").join(by_merge(used), ["bucket", "id"], "left_anti")
+        pivots = cut(first_of_parts(unused, most))
+        if pivots.isEmpty():
             return roots
-        apart = chosen.join(open_rows.select("bucket", F.col("id").alias("leader"), F.col("root").alias("leader_root")), ["bucket", "leader"])
-        others = open_rows.join(apart, "bucket").where("root <> leader_root").select("bucket", "id", "leader")
-        fresh = met(None, others, tested, sets)
-        used, tested = cut(used.unionByName(chosen)), cut(tested.unionByName(fresh))
+        pairs = outside.join(by_merge(pivots.select(link_key("bucket").alias("k"), "pivot", "pivot_root")), F.col("bucket") == F.col("k")).where("root <> pivot_root")
+        fresh = met(pairs, tested, sets)
+        used, tested = cut(used.unionByName(pivots.select("bucket", F.col("pivot").alias("id")))), cut(tested.unionByName(fresh))
         roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(fresh))))
+        most *= GROWTH
+
+
+def placed_in(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members and the root of each."""
+    return members.join(by_merge(roots), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
 
 
 def linked(tested: DataFrame) -> DataFrame:
     return tested.where(F.col("similar") >= SIMILAR).select("a", "b")
 
 
-def first_leaders(rows: DataFrame, most: int) -> DataFrame:
-    """bucket, leader: up to ``most`` texts of each bucket, the least of each of so many hash classes."""
-    return rows.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("part")).agg(F.min("id").alias("leader")).select("bucket", "leader")
+def first_of_parts(rows: DataFrame, most: int) -> DataFrame:
+    """bucket, pivot, pivot_root: up to ``most`` members of each bucket, the least of each of so many hash classes."""
+    least = rows.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("part")).agg(F.min("id").alias("pivot"), F.min_by("root", "id").alias("pivot_root"))
+    return least.select("bucket", "pivot", "pivot_root")
 
 
-def met(chosen: DataFrame | None, members: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similar of members and the chosen leaders of their buckets, without pairs that are tested already."""
-    rows = members if chosen is None else members.select("bucket", "id").join(by_merge(chosen), "bucket").where("id <> leader")
-    pairs = rows.select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+def met(rows: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, similar of ids and the pivots beside them, without pairs that are tested already."""
+    pairs = rows.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return cut(verified(pairs.join(by_merge(known), ["a", "b"], "left_anti"), sets))
 
 
-#: Leaders that a bucket's members are compared with in the first round.
-LEADERS = 16
+#: Pivots of a bucket in the first round, and how many times more each further round has.
+PIVOTS, GROWTH = 4, 4
 
 
 def classes(docs: DataFrame) -> DataFrame:
