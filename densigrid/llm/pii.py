@@ -109,10 +109,12 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     each = entities.select("text_hash", "text", spans.alias("spans")).select("text_hash", "text", "spans", F.posexplode("spans").alias("i", "s"))
     # Each document counts once for an entity, however often it has it.
     first = F.array_position(F.transform("spans", lambda s: s["e"]), F.col("s.e")) == F.col("i") + 1
-    before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") + 1 - CONTEXT), F.least(F.lit(CONTEXT), F.col("s.start")))
-    after = F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT))
-    # A word that the edge of the context cuts is no word of it.
-    inner = F.concat(F.regexp_replace(before, r"^[\p{L}\p{N}]+", ""), F.lit(" "), F.regexp_replace(after, r"[\p{L}\p{N}]+$", ""))
+    # One character more than the context on either side, where the text has it: a run of letters and digits that begins
+    # with it on the left, or ends with it on the right, is a word that the edge cuts, which is no word of the context.
+    before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") - CONTEXT), F.least(F.lit(CONTEXT + 1), F.col("s.start")))
+    after = F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT + 1))
+    whole = lambda part, edge: F.when(F.length(part) > CONTEXT, F.regexp_replace(part, edge, "")).otherwise(part)
+    inner = F.concat(whole(before, r"^[\p{L}\p{N}]+"), F.lit(" "), whole(after, r"[\p{L}\p{N}]+$"))
     near = each.select("text_hash", F.col("s.e").alias("e"), first.alias("first"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(inner), F.lit(_WORD), 0))).alias("words"))
     near = cut(near.withColumn("context", F.xxhash64(F.array_join("words", " "))))
     # Entities with enough distinct contexts, then words in enough of them.

@@ -161,6 +161,25 @@ def test_words_that_disclose(spark):
     assert all(clean[i].text == texts[i] for i in range(6, 62))
 
 
+@pytest.mark.parametrize("at", ["first", "last", "left edge", "right edge", "cut on the left", "cut on the right"])
+def test_words_at_the_edge_of_a_context(spark, at):
+    """The word is the text's first or last one, fills the window's last characters, or is one character beyond them."""
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice("lorem ipsum dolor amet elit tempor magna".split()) for _ in range(40))[:n]
+    name, room = "Zanzibarian", pii.CONTEXT - len("Zanzibarian") - 1
+    make = {
+        "first": lambda: f"{name} jo@example.org {filler(120)}",
+        "last": lambda: f"{filler(120)} jo@example.org {name}",
+        "left edge": lambda: f"{filler(120)} {name} {filler(room - 1)} jo@example.org {filler(120)}",
+        "right edge": lambda: f"{filler(120)} jo@example.org {filler(room - 1)} {name} {filler(120)}",
+        "cut on the left": lambda: f"{filler(120)} {name} {filler(room)} jo@example.org {filler(120)}",
+        "cut on the right": lambda: f"{filler(120)} jo@example.org {filler(room)} {name} {filler(120)}",
+    }[at]
+    rows = [(i, make()) for i in range(6)] + [(i, filler(90)) for i in range(6, 60)]
+    got = [r.n_term for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [0 if at.startswith("cut") else 1] * 6 + [0] * 54
+
+
 def test_sanitised_documents(spark):
     rows = [(1, "call +1 (462) 555-7216 or 4111 1111 1111 1111, 10.0.0.1 x@y.z"), (2, "nothing here"), (3, None), (4, "")]
     got = [tuple(r) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
