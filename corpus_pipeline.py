@@ -20,8 +20,11 @@ LEAST_QUALITY = 0.7
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality model rejects.  The model learns from the stage's own documents and the labels."""
+    """Drops documents that the quality model rejects.  The model learns from the stage's own documents and the labels; one
+    that could learn nothing rejects none."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not model.learned:
+        return docs
     return quality.score(docs, model, docs.columns, "__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.llm.bpe import Memo
-from densigrid.llm.learn import TRAIN_CHARS, first_by_hash, remainder
+from densigrid.llm.learn import first_by_hash, made_in_tasks, remainder
 from densigrid.llm.ship import map_texts
 
 GRAMS = (2, 3, 4)
@@ -128,7 +128,7 @@ def probabilities(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, m: int = 5, held: int = 0, calibrate_on: int = 1) -> Model:
     """Learn from text and non-null lang of rows that are not held out; bounded by TRAIN_ROWS of each language."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS) & (remainder("doc_id", m) != held))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", m) != held))
     langs = sorted(r.lang for r in known.groupBy("lang").count().collect())  # one row for each language
     sample = None
     for lang in langs:
@@ -137,10 +137,15 @@ def fit(docs: DataFrame, m: int = 5, held: int = 0, calibrate_on: int = 1) -> Mo
     if sample is None:
         return Model(["und"], np.zeros((BUCKETS, 1)), np.zeros(1))
     rows = known.select("doc_id", "text", "lang", remainder("doc_id", m).alias("part")).join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
-    texts = sorted({(r.text, r.lang): r.part for r in rows.collect()}.items())
-    y, part = np.array([langs.index(k[1]) for k, _ in texts]), np.array([p for _, p in texts])
-    memo = Memo(lambda w: buckets(w).tobytes())
-    bags = np.array([bag(k[0], memo) for k, _ in texts])
+
+    def bag_of():
+        memo = Memo(lambda w: buckets(w).tobytes())
+        return lambda text: bag(text, memo).tobytes()
+
+    found = made_in_tasks(rows, bag_of, ["lang", "part"]).collect()
+    bagged = sorted({(r.text_hash, r.lang): (r.part, r.made) for r in sorted(found, key=lambda r: r.part)}.items())
+    y, part = np.array([langs.index(k[1]) for k, _ in bagged]), np.array([p for _, (p, _) in bagged])
+    bags = np.array([np.frombuffer(x, np.float32) for _, (_, x) in bagged])
     learn = part != calibrate_on
     if not learn.any():
         learn[:] = True

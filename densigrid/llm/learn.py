@@ -1,14 +1,19 @@
-"""What the classifiers of this folder share: which rows they may learn from, bounded samples, a logistic fit in numpy."""
+"""What the classifiers of this folder share: which rows they may learn from, bounded samples, a logistic fit in numpy.
+
+Samples are bounded in rows, not in the length of texts: tasks turn each sampled text, whole, into what a model learns
+from, and only that reaches the driver.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts longer than this are left out of training samples, so that a sample fits the driver whatever the corpus holds.
-#: Scores are always computed from whole texts.
-TRAIN_CHARS = 20_000
+from densigrid.llm.ship import map_texts
 
 
 def remainder(doc_id: str, m: int) -> Column:
@@ -21,16 +26,29 @@ def first_by_hash(df: DataFrame, n: int, *cols: str) -> DataFrame:
     return df.orderBy(F.xxhash64(*cols), *cols).limit(n)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, value: int, m: int, held: int, n: int) -> list[str]:
-    """Distinct texts of at most n rows with this label, none of them held out; rows without a label or text are left out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, value: int, m: int, held: int, n: int, make: Callable) -> list[bytes]:
+    """What ``make`` gives for at most n rows with this label, none of them held out; rows without a label or text are left out."""
     ids = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull() & (remainder("doc_id", m) != held)).select("doc_id").distinct()
-    return texts_of(docs, first_by_hash(ids, n, "doc_id"))
+    return learned_from(docs, first_by_hash(ids, n, "doc_id"), make)
+
+
+def learned_from(docs: DataFrame, few_ids: DataFrame, make: Callable) -> list[bytes]:
+    """What ``make`` gives for the distinct texts of a bounded list of ids, in order of id; the list is small by its limit, so it is broadcast."""
+    found = made_in_tasks(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few_ids), "doc_id", "left_semi"), make, ["doc_id"])
+    first: dict[int, bytes] = {}
+    for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.text_hash)):
+        first.setdefault(r.text_hash, r.made)
+    return list(first.values())
+
+
+def made_in_tasks(rows: DataFrame, make: Callable, keep: list[str]) -> DataFrame:
+    """Columns ``keep``, text_hash, and in ``made`` the bytes that the function of ``make()`` gives for the text."""
 
+    def work() -> Callable[[list[str]], dict]:
+        one = make()
+        return lambda texts: {"made": pa.array([one(t) for t in texts], pa.binary())}
 
-def texts_of(docs: DataFrame, few_ids: DataFrame) -> list[str]:
-    """Distinct texts of a bounded list of ids, in order of id; the list is small by its limit, so it is broadcast."""
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS)).select("doc_id", "text").join(F.broadcast(few_ids), "doc_id", "left_semi").collect()
-    return list(dict.fromkeys(r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text))))
+    return map_texts(rows.withColumn("text_hash", F.xxhash64("text")), work, "made binary", [*keep, "text_hash"])
 
 
 def sigmoid(x):

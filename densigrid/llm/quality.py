@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.llm.bpe import Memo
-from densigrid.llm.learn import first_by_hash, labelled_sample, logistic, remainder, sigmoid, texts_of
+from densigrid.llm.learn import first_by_hash, labelled_sample, learned_from, logistic, remainder, sigmoid
 from densigrid.llm.ship import map_texts
 
 SHAPES = 256
@@ -94,8 +94,8 @@ def pu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60, rat
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, centre: np.ndarray, spread: np.ndarray, map_to: tuple[float, float]):
-        self.weights, self.centre, self.spread, self.map_to = weights, centre, spread, map_to
+    def __init__(self, weights: np.ndarray, centre: np.ndarray, spread: np.ndarray, map_to: tuple[float, float], learned: bool = True):
+        self.weights, self.centre, self.spread, self.map_to, self.learned = weights, centre, spread, map_to, learned
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.centre) / self.spread, -8, 8) @ self.weights[:-1] + self.weights[-1]
@@ -109,18 +109,25 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, m: int = 4, held: int = 2) -> Model:
-    """Learn labels only from rows that are not held out; samples are bounded by TRAIN_ROWS of each kind."""
-    good = labelled_sample(docs, labels, "quality", 1, m, held, TRAIN_ROWS)
-    bad = labelled_sample(docs, labels, "quality", 0, m, held, TRAIN_ROWS)
+    """Learn labels only from rows that are not held out; samples are bounded by TRAIN_ROWS of each kind.
+
+    Without a positive or an unlabelled text nothing can be learned: the model is marked so and gives every text the prior.
+    """
+
+    def vector():
+        memo = Memo(word_row)
+        return lambda text: features_of(text, memo).tobytes()
+
+    good = labelled_sample(docs, labels, "quality", 1, m, held, TRAIN_ROWS, vector)
+    bad = labelled_sample(docs, labels, "quality", 0, m, held, TRAIN_ROWS, vector)
     learnable = labels.where(F.col("quality").isin(0, 1) & (remainder("doc_id", m) != held))
     n, ones = learnable.agg(F.count("*"), F.sum("quality")).first()
     prior = min(0.98, max(0.02, (ones or 0) / n)) if n else 0.5
     others = first_by_hash(docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", m) != held)).select("doc_id").distinct(), TRAIN_ROWS, "doc_id")
-    web = texts_of(docs, others)
+    web = learned_from(docs, others, vector)
     if not good or not web:
-        return Model(np.zeros(SHAPES + FIGURES + 1), np.zeros(SHAPES + FIGURES), np.ones(SHAPES + FIGURES), (1.0, float(np.log(prior / (1 - prior)))))
-    memo = Memo(word_row)
-    p, u, b = (np.array([features_of(t, memo) for t in x]).reshape(len(x), -1) for x in (good, web, bad))
+        return Model(np.zeros(SHAPES + FIGURES + 1), np.zeros(SHAPES + FIGURES), np.ones(SHAPES + FIGURES), (1.0, float(np.log(prior / (1 - prior)))), learned=False)
+    p, u, b = (np.array([np.frombuffer(v) for v in x]).reshape(len(x), -1) for x in (good, web, bad))
     centre, spread = u.mean(0), u.std(0) + 1e-3
     scale = lambda x: np.clip((x - centre) / spread, -8, 8)
     model = Model(pu_fit(scale(p), scale(u), prior), centre, spread, (1.0, 0.0))

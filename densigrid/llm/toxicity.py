@@ -72,20 +72,27 @@ def toxic_material(toxic: list[set[str]], ordinary: list[set[str]]) -> list[str]
     return sorted(set(found) - covered, key=lambda s: (found[s], s))
 
 
+def total(docs: list[Counter]) -> Counter:
+    out = Counter()
+    for words in docs:
+        out.update(words)
+    return out
+
+
 class Model:
     def __init__(self, ordinary: bytes, toxic: bytes, weights: np.ndarray):
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
 
-    def features(self, text: str, memo: dict) -> np.ndarray:
-        got = np.fromiter(map(memo.__getitem__, windows(text)), np.int16)
-        counts = np.array([(got >= g).sum() for g in GAINS])
-        return np.concatenate([np.sqrt(counts / (len(got) + 20)), np.log1p([*counts, len(got)])])
+    def features(self, words: Counter, memo: dict) -> np.ndarray:
+        got, often = np.fromiter(map(memo.__getitem__, words), np.int16), np.fromiter(words.values(), np.int64)
+        counts, n = np.array([often[got >= g].sum() for g in GAINS]), often.sum()
+        return np.concatenate([np.sqrt(counts / (n + 20)), np.log1p([*counts, n])])
 
     def scorer(self):
         memo = Memo(gains(self.ordinary, self.toxic), 400_000)
 
         def work(texts: list[str]) -> dict:
-            x = np.array([self.features(t, memo) for t in texts])
+            x = np.array([self.features(Counter(windows(t)), memo) for t in texts])
             return {"score": pa.array(sigmoid(x @ self.weights[:-1] + self.weights[-1]), pa.float64())}
 
         return work
@@ -93,12 +100,13 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, m: int = 5, held: int = 0) -> Model:
     """Learn from labelled rows that are not held out, TRAIN_ROWS of each label at most."""
-    bad = [windows(t) for t in labelled_sample(docs, labels, "toxic", 1, m, held, TRAIN_ROWS)]
-    fine = [windows(t) for t in labelled_sample(docs, labels, "toxic", 0, m, held, TRAIN_ROWS)]
+    count = lambda: lambda text: "\n".join(f"{w} {n}" for w, n in Counter(windows(text)).items()).encode()
+    counted = lambda made: Counter({w: int(n) for w, n in (x.split() for x in made.decode().splitlines())})
+    bad, fine = ([counted(x) for x in labelled_sample(docs, labels, "toxic", value, m, held, TRAIN_ROWS, count)] for value in (1, 0))
     if not bad or not fine:
         return Model(b" ", b" ", np.array([*[0.0] * (2 * len(GAINS) + 1), -5.0]))
     material = "".join(toxic_material([set(w) for w in bad], [set(w) for w in fine])).encode()
-    often, often_bad = Counter(w for d in fine for w in d), Counter(w for d in bad for w in d)
+    often, often_bad = total(fine), total(bad)
     common, size = [], 0
     for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])):
         size += len(w.encode()) + 1
@@ -113,8 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = 5, held: int = 0) -> Model:
             hurt = sorted(((-n * (memo[w] - 1), w) for w, n in often.items() if memo[w] >= 2 and often_bad[w] / len(bad) < 4 * n / len(fine)))
             shielded += [w for _, w in hurt[:SHIELDED] if w not in set(shielded)]
     model = Model(base, base + material, np.zeros(1))
-    texts = [" ".join(d) for d in [*bad, *fine]]
-    x, y = np.array([model.features(t, memo) for t in texts]), np.concatenate([np.ones(len(bad)), np.zeros(len(fine))])
+    x, y = np.array([model.features(d, memo) for d in [*bad, *fine]]), np.concatenate([np.ones(len(bad)), np.zeros(len(fine))])
     model.weights = logistic(x, y, ridge=0.1)
     return model
 

@@ -75,6 +75,41 @@ def test_pu_risk_learns_from_unlabelled_mixtures():
     assert np.mean(z(good) > 0) > 0.95 and np.mean(z(bad[300:]) < 0) > 0.75
 
 
+def long_texts(spark):
+    """200 texts of 24,000 characters and more: good or bad, ordinary or toxic, in two languages."""
+    rng = np.random.default_rng(5)
+    words = {"a": "river garden window letter morning silver table yellow".split(), "b": "fenster garten brief morgen silbern tisch gelbes fluss".split()}
+    rows = []
+    for i in range(200):
+        lang, bad = "ab"[i % 2], i % 4 >= 2
+        chosen = list(rng.choice(words[lang], 4000))
+        if bad:
+            chosen[::9] = ["SCOUNDREL!!#"] * len(chosen[::9])
+        rows.append((i, " ".join(chosen), lang, int(not bad), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int, toxic int").repartition(4)
+    assert df.selectExpr("min(length(text))").first()[0] > 20_000
+    return df
+
+
+def test_models_learn_from_long_texts(spark):
+    df = long_texts(spark)
+    docs, labels = df.drop("quality", "toxic"), df.select("doc_id", "quality", "toxic")
+    truth = {r.doc_id: r for r in df.drop("text").collect()}
+    assert all(r.lang_pred == truth[r.doc_id].lang for r in langid.identify(docs, langid.fit(docs), ["doc_id"]).collect())
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        got = {r.doc_id: r.score for r in module.score(docs, module.fit(docs, labels), ["doc_id"]).collect()}
+        ones, zeros = ([got[i] for i in got if truth[i][label] == v] for v in (1, 0))
+        assert min(ones) > 0.5 > max(zeros), label
+
+
+def test_stage_without_a_model_drops_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "Some text."), (2, None)], "doc_id long, text string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).count() == 2
+
+
 def test_gains_of_dictionaries():
     base = b" the and of thing with from "
     gain = toxicity.gains(base, base + b" scoundrel ")
