@@ -2,17 +2,20 @@
 
 Two zstandard dictionaries are made from labelled text: of ordinary text (its frequent words, and those ordinary words
 that would else profit from the other dictionary), and of toxic text (the same, and the spaced word beginnings that
-occur in many more toxic documents than ordinary ones).  A window is one spaced word, followed by a constant tail that
-both dictionaries hold, so that even a short window is compressed and not stored.  A window's gain is its length under the
-ordinary dictionary less that under the toxic one; one of fewer letters than SHORTEST has none.  A text's score is a
-logistic function, fitted on labelled texts, of how many windows, and which share of them, gain 2, 3, 4 and 5 bytes.  A
-null text is an empty one, which has no windows.
+occur in more toxic documents than ordinary ones, by a factor of LEAST_LIFT and beyond chance: a binomial test, at a false
+discovery rate of FALSE among all beginnings that LEAST toxic documents have).  A window is one spaced word, or two
+neighbouring characters of a script that is written without spaces, followed by a constant tail that both dictionaries
+hold, so that even a short window is compressed and not stored.  A window's gain is its length under the ordinary
+dictionary less that under the toxic one; a word of fewer letters than SHORTEST has none.  A text's score is a logistic
+function, fitted on labelled texts, of how many windows, and which share of them, gain 2, 3, 4 and 5 bytes.  A null text
+is an empty one, which has no windows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,26 @@ from densigrid.llm.ship import map_texts
 TRAIN_ROWS = 2500
 #: Bytes of frequent words in the ordinary dictionary; words added in each round that shields ordinary words.
 BASE_BYTES, SHIELDED, ROUNDS = 8192, 500, 2
-#: A beginning is toxic material if that share of toxic texts has it (and five texts), so many times the ordinary share.
-LEAST_SHARE, LEAST_LIFT = 0.015, 5.0
+#: A beginning is toxic material if so many toxic texts have it, so many times the ordinary share, and not by chance.
+LEAST, LEAST_LIFT, FALSE = 5, 5.0, 0.05
 SHORTEST, LONGEST = 4, 14
 GAINS = (2, 3, 4, 5)
 TAIL = bytes(range(128, 176))
 
 _MARKS = re.compile(r"[\W\d_]+")
+#: Letters of Thai, Lao, Burmese, Khmer, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]+")
 
 
 def windows(text: str) -> list[str]:
-    return _MARKS.sub(" ", text.lower()).split()
+    words = _MARKS.sub(" ", text.lower())
+    if not words.isascii():
+        words = _UNSPACED.sub(lambda m: f" {' '.join(pairs(m[0]))} ", words)
+    return words.split()
+
+
+def pairs(run: str) -> list[str]:
+    return [run[i : i + 2] for i in range(max(1, len(run) - 1))]
 
 
 def beginnings(words: set[str]) -> set[str]:
@@ -56,7 +68,13 @@ def lengths(dictionary: bytes):
 
 def gains(ordinary: bytes, toxic: bytes):
     a, b = lengths(ordinary), lengths(toxic)
-    return lambda word: a(word) - b(word) if len(word) >= SHORTEST else 0
+    return lambda word: a(word) - b(word) if len(word) >= SHORTEST or _UNSPACED.match(word) else 0
+
+
+def tail(k: int, n: int, p: float) -> float:
+    """Probability of k or more among n where each comes with probability p."""
+    log = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * np.log(p) + (n - i) * np.log1p(-p)
+    return float(sum(np.exp(log(i)) for i in range(k, n + 1)))
 
 
 def toxic_material(toxic: list[set[str]], ordinary: list[set[str]]) -> list[str]:
@@ -66,8 +84,14 @@ def toxic_material(toxic: list[set[str]], ordinary: list[set[str]]) -> list[str]
         have.update(beginnings(words))
     for words in ordinary:
         other.update(beginnings(words))
-    least = max(5, LEAST_SHARE * len(toxic))
-    found = {s: n for s, n in have.items() if n >= least and n / len(toxic) >= LEAST_LIFT * (other[s] + 1) / len(ordinary)}
+    tested = {s: n for s, n in have.items() if n >= LEAST}
+    lifted = {s for s, n in tested.items() if n / len(toxic) >= LEAST_LIFT * (other[s] + 1) / len(ordinary)}
+    p0 = len(toxic) / (len(toxic) + len(ordinary))
+    chance = {s: tail(tested[s], tested[s] + other[s], p0) for s in lifted}
+    # Benjamini and Hochberg: the most beginnings of which FALSE are expected to be there by chance.
+    ranked = sorted(chance.values())
+    bound = max((p for k, p in enumerate(ranked, 1) if p <= FALSE * k / len(tested)), default=-1.0)
+    found = {s: tested[s] for s in lifted if chance[s] <= bound}
     covered = {s[:-1] for s, n in found.items() if n >= 0.8 * found.get(s[:-1], 1 << 60)}
     return sorted(set(found) - covered, key=lambda s: (found[s], s))
 

@@ -110,6 +110,29 @@ def test_stage_without_a_model_drops_nothing(spark, tmp_path):
     assert corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).count() == 2
 
 
+def test_recall_of_toxicity_in_each_language(spark):
+    path = DATA.replace("sf0.001", "sf0.1")
+    toxic = table(spark, path, "labels").where("toxic = 1").join(table(spark, path, "documents"), "doc_id").select("doc_id", "lang")
+    rows = queries.op10_toxicity(spark, path).where("held_out").join(toxic, "doc_id").groupBy("lang").agg({"predicted": "avg"}).collect()
+    assert len(rows) == 4 and all(r["avg(predicted)"] >= 0.5 for r in rows), rows
+
+
+def test_rare_material_beyond_chance():
+    """0.8 % of the toxic texts have one word, which no ordinary text has; another one is in five toxic texts, as chance would have it."""
+    toxic = [{f"w{i % 50}x", *(["scoundrel"] if i < 20 else []), *(["butterfly"] if i >= 2495 else [])} for i in range(2500)]
+    found = toxicity.toxic_material(toxic, [{f"w{i % 50}x"} for i in range(2500)])
+    assert " scoundrel " in found and not any("butter" in s for s in found)
+
+
+def test_toxicity_without_spaces(spark):
+    rng = np.random.default_rng(3)
+    made = lambda i: "".join(rng.choice(list("河流花园窗户信件早晨银色桌子黄色"), 60)) + ("笨蛋" if i % 2 else "") + "".join(rng.choice(list("河流花园窗户"), 20))
+    docs = spark.createDataFrame([(i, made(i)) for i in range(200)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()}
+    assert min(scores[i] for i in scores if i % 2) > 0.5 > max(scores[i] for i in scores if not i % 2)
+
+
 def test_gains_of_dictionaries():
     base = b" the and of thing with from "
     gain = toxicity.gains(base, base + b" scoundrel ")
