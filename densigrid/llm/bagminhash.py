@@ -2,7 +2,7 @@
 
 A text is a multiset of shingles: each run of five words (lower case, parted by white space), or all words where there
 are fewer.  Two texts are linked if the weighted Jaccard similarity of their multisets (sum of minima over sum of maxima)
-is 0.8 or more; a class is a connected component of links, named by its least doc_id (nulls first).
+is 0.8 or more; a class is a connected component of links, named by its least doc_id (null only if all its ids are null).
 
 Signatures.  Each shingle carries Poisson processes over its weight axis: one for each weight range [0,1), [1,2), [2,4),
 [4,8) ..., of a rate equal to the range's width.  A process gives its first point, which falls on a random component of the signature;
@@ -12,10 +12,13 @@ dropped.  What a shingle draws depends on the shingle and the range alone.  The
 text's weights is its signature: two texts agree in a component with a probability equal to their similarity.
 
 Steps, all of them distributed.  Rows with the same word list are one text (``text_key``); each distinct text has one
-signature and a row for each band.  Buckets of a band are walked without emitting all their pairs: each member is linked
-to the bucket's leader, the least id; members outside the bucket's largest component then meet pivots of other components, in
-rounds of more and more pivots, until the bucket is one component or all its members have been pivots, so no link is
-lost.  Verification counts whole multisets.
+signature and a row for each band.  Each bucket of a band gets a leader, the member that meets most texts over all its
+buckets; a group of near copies so has the same leader in nearly all its buckets.  Each member is compared with its
+leaders.  Members that are linked to a leader are settled with each other; the others (strays) are compared with all
+members of their leader that can be near them: 1 - similarity is a metric, so two texts whose distances to the leader
+differ by more than 0.2 are not linked.  Strays meet members in blocks (``blocks_of``): whole texts are sent once for
+each block, blocks are tested inside a task, and only links leave it, so no pair is ever a row and no link is lost.
+Groups without strays cost one comparison for each member; strays near the threshold cost one with each near member.
 
 Null and empty texts have no words; they are one class.  Repeated rows and ties are in one class.  An empty table gives
 no rows.  The chance to miss a pair of similarity 0.8 by banding is (1 - 0.8**ROWS)**BANDS, 0.04 %, and less above.
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.llm.bpe import Memo
-from densigrid.llm.ship import cut, map_texts, ship
+from densigrid.llm.ship import cut, fresh, map_texts, quoted, ship, small
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -238,139 +241,232 @@ def stars(links: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 or (up = 1 and low = 1)").isEmpty()
 
 
-def payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, values, counts: the multiset of each text in ``wanted`` (id, text_key, text_hash), read from the documents."""
-    found = docs.select("text", F.xxhash64("text").alias("text_hash")).join(by_merge(wanted.select("text_hash").distinct()), "text_hash", "left_semi")
-    texts = found.groupBy("text_hash").agg(F.any_value("text").alias("text"))
+#: Members that one copy of a leader's text is compared with in the first step.
+SALTED = 500
+#: Members, and words, of a block of the second step.
+BLOCK_ROWS, BLOCK_WORDS = 500, 1_000_000
+#: Distance up to which texts are linked, with room for rounding, and cells of distance to the leader.
+NEAR, CELLS = 1 - SIMILAR + 1e-9, 10
 
-    def make():
-        shingler = Shingler()
 
-        def work(texts: list[str]) -> dict:
-            import xxhash
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), and two hashes of both, which together name a row among those that differ from it."""
+    text, doc = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("string")
+    return docs.select("doc_id", text.alias("text"), *row_hashes(text, doc))
 
-            words = [shingler.words(t) for t in texts]
-            sets = [np.unique(shingle_hashes(w), return_counts=True) for w in words]
-            return {
-                "text_key": pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in words], pa.binary()),
-                "values": pa.array([s[0].tobytes() for s in sets], pa.binary()),
-                "counts": pa.array([s[1].astype(np.int32).tobytes() for s in sets], pa.binary()),
-            }
 
-        return work
+def row_hashes(text, doc) -> list:
+    return [F.xxhash64(text, doc).alias("h1"), F.xxhash64(F.lit("second"), doc, text).alias("h2")]
+
+
+def leaders_of(texts: DataFrame) -> DataFrame:
+    """leader, id: distinct pairs of texts (id, bands) and the leaders of their buckets."""
+    rows = texts.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(rows.join(by_merge(buckets).select(link_key("bucket").alias("k"), "n"), F.col("bucket") == F.col("k")).drop("k"))
+    # A member's rank: texts met in all its buckets, then a hash of the id, in one number.
+    met = F.least(F.sum("n"), F.lit((1 << 24) - 1))
+    ranks = members.groupBy("id").agg(met.alias("met")).select(F.col("id").alias("i"), (F.shiftleft("met", 39) + F.xxhash64("id").bitwiseAND(F.lit((1 << 39) - 1))).alias("rank"))
+    best = members.join(by_merge(ranks), F.col("id") == F.col("i")).groupBy("bucket").agg(F.max_by("id", "rank").alias("leader"))
+    pairs = members.join(by_merge(best).select(link_key("bucket").alias("k"), "leader"), F.col("bucket") == F.col("k"))
+    return pairs.where("id <> leader").select("leader", "id").distinct()
+
 
-    return map_texts(texts, make, "text_key binary, values binary, counts binary", []).join(by_merge(wanted.select("text_key", "id")), "text_key").select("id", "values", "counts")
+def with_texts(source: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (id, ...) with text_key and text: of each text one row of the documents is read."""
+    asked = small(wanted.join(by_merge(texts.select(F.col("id").alias("i"), "h1", "text_key")), F.col("id") == F.col("i")).drop("i"))
+    return source.select("h1", "text").join(asked, "h1").drop("h1")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similar of pairs of text ids, from their whole multisets."""
-    ship(pairs.sparkSession)
-    left = sets.select(F.col("id").alias("a"), F.col("values").alias("va"), F.col("counts").alias("ca"))
-    right = sets.select(F.col("id").alias("b"), F.col("values").alias("vb"), F.col("counts").alias("cb"))
-    both = by_merge(by_merge(pairs.select("a", "b")).join(left, "a")).join(right, "b").select("a", "b", "va", "ca", "vb", "cb")
+class Reader:
+    """Multisets of rows (text, text_key); None for a text that is not the one of the key (equal 64-bit hashes)."""
+
+    def __init__(self):
+        self.shingler = Shingler()
+
+    def __call__(self, text: str, key: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        import xxhash
+
+        words = self.shingler.words(text)
+        return np.unique(shingle_hashes(words), return_counts=True) if xxhash.xxh3_128_digest(words.tobytes()) == key else None
+
+
+def with_leaders(source: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """leader, id, similar, words: every pair of ``pairs`` (leader, id) compared by whole multisets."""
+    salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    members = pairs.join(by_merge(salts.select(link_key("leader").alias("k"), "salts")), F.col("leader") == F.col("k")).select("leader", "id", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"))
+    heads = salts.select("leader", F.col("leader").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
+    rows = with_texts(source, texts, members.unionByName(heads)).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, place, head, last = Reader(), None, None, None
         for batch in batches:
-            cols = [batch.column(i) for i in range(2, 6)]
-            similar = []
-            for i in range(batch.num_rows):
-                va, ca, vb, cb = (np.frombuffer(c[i].as_buffer(), k) for c, k in zip(cols, (np.uint64, np.int32, np.uint64, np.int32)))
-                similar.append(similarity((va, ca), (vb, cb)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], names=["a", "b", "similar"])
-
-    return both.mapInArrow(run, "a long, b long, similar double")
+            out = []
+            for leader, salt, kind, i, key, text in zip(*(batch.column(n).to_pylist() for n in ("leader", "salt", "kind", "id", "text_key", "text"))):
+                if (leader, salt) != place:
+                    place, head, last = (leader, salt), None, None
+                if i == last or (kind == 0 and head is not None):  # the row is there more than once
+                    continue
+                own = read(text, key)
+                if own is None:
+                    continue
+                if kind == 0:
+                    head = own
+                elif head is not None:
+                    last = i
+                    out.append((leader, i, similarity(head, own), int(own[1].sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["leader", "id", "similar", "words"])
+
+    ship(source.sparkSession)
+    return rows.mapInArrow(run, "leader long, id long, similar double, words long")
+
+
+def blocks_of(met: DataFrame) -> DataFrame:
+    """leader, cell, tb, qb, role, id: which members meet which strays, in blocks of bounded size.
+
+    ``met`` (leader, id, similar, words).  Role 1 is met, 2 meets, 3 both.  Of a leader with few members, all that can be near
+    a stray are one block.  Of others, members stand in the cell of their distance to the leader, strays go to all cells that
+    can hold texts near them, and the two sides of a cell are split into blocks that meet in all combinations.
+    """
+    apart = met.select("leader", "id", "words", (1 - F.col("similar")).alias("d"), (F.col("similar") < SIMILAR).alias("stray"))
+    stray = F.col("stray")
+    groups = apart.groupBy("leader").agg(F.count("*").alias("n"), F.sum("words").alias("all_words"), F.min(F.when(stray, F.col("d"))).alias("nearest")).where("nearest IS NOT NULL")
+    rows = apart.join(by_merge(groups.select(link_key("leader").alias("k"), "n", "all_words", "nearest")), F.col("leader") == F.col("k")).drop("k").where(F.col("d") >= F.col("nearest") - NEAR)
+    few = (F.col("n") <= BLOCK_ROWS) & (F.col("all_words") <= BLOCK_WORDS)
+    zero = F.lit(0)
+    one = rows.where(few).select("leader", F.lit(-1).alias("cell"), zero.alias("tb"), zero.alias("qb"), F.when(stray, 3).otherwise(1).alias("role"), "id")
+    own_cell = F.least(F.floor(F.col("d") * CELLS).cast("int"), F.lit(CELLS - 1))
+    many = rows.where(~few).select("leader", "id", "words", own_cell.alias("own"), "stray")
+    reach = int(np.ceil(NEAR * CELLS))
+    queries = many.where("stray").select("leader", "id", "words", F.explode(F.sequence(F.greatest(zero, F.col("own") - reach), F.least(F.lit(CELLS - 1), F.col("own") + reach))).alias("cell"), F.lit(2).alias("role"))
+    both = many.select("leader", "id", "words", F.col("own").alias("cell"), F.lit(1).alias("role")).unionByName(queries)
+    count = lambda role: F.ceil(F.greatest(F.sum((F.col("role") == role).cast("int")) / BLOCK_ROWS, F.sum(F.when(F.col("role") == role, F.col("words"))) / BLOCK_WORDS)).cast("int")
+    sizes = both.groupBy("leader", "cell").agg(count(1).alias("p"), count(2).alias("q")).where("p > 0 AND q > 0")
+    sized = both.join(by_merge(sizes.select(link_key("leader").alias("k"), F.col("cell").alias("c"), "p", "q")), (F.col("leader") == F.col("k")) & (F.col("cell") == F.col("c")))
+    upto = lambda n: F.sequence(zero, F.col(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    met_by = sized.where("role = 1").select("leader", "cell", place("p").alias("tb"), F.explode(upto("q")).alias("qb"), "role", "id")
+    meet = sized.where("role = 2").select("leader", "cell", F.explode(upto("p")).alias("tb"), place("q").alias("qb"), "role", "id")
+    return one.unionByName(met_by).unionByName(meet)
+
+
+class Block:
+    """Multisets that others are compared with, all at once."""
+
+    def __init__(self, ids: list[int], sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.ids = ids
+        self.values, self.at = np.unique(np.concatenate([s[0] for s in sets]), return_inverse=True)
+        self.counts = np.concatenate([s[1] for s in sets])
+        self.starts = np.cumsum([0, *[len(s[0]) for s in sets]])[:-1]
+        self.totals = np.add.reduceat(self.counts, self.starts)
+
+    def near(self, own: tuple[np.ndarray, np.ndarray]) -> list[int]:
+        """Ids of similarity 0.8 or more to a multiset."""
+        where = np.minimum(np.searchsorted(self.values, own[0]), len(self.values) - 1)
+        hit = self.values[where] == own[0]
+        weight = np.zeros(len(self.values), np.int64)
+        weight[where[hit]] = own[1][hit]
+        shared = np.add.reduceat(np.minimum(weight[self.at], self.counts), self.starts)
+        return [self.ids[k] for k in np.flatnonzero(shared / (self.totals + int(own[1].sum()) - shared) >= SIMILAR)]
+
+
+def near_strays(source: DataFrame, texts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """a, b: links of strays, enough of them to connect whatever is linked within a block."""
+    keys = ["leader", "cell", "tb", "qb"]
+    later = (F.col("role") == 2).cast("int").alias("later")
+    rows = with_texts(source, texts, blocks).withColumn("later", later).repartition(*keys).sortWithinPartitions(*keys, "later", "id")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader()
+        place, block, ids, sets, asking, last, parent = None, None, [], [], [], None, {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        def links(i, own):
+            for j in block.near(own):
+                a, b = root(i), root(j)
+                if a != b:
+                    parent[a] = b
+                    yield i, j
+
+        def loaded():
+            """The block is complete: its own strays ask first."""
+            nonlocal block
+            out = []
+            if block is None and ids:
+                block = Block(ids, sets)
+                for k in asking:
+                    out += links(ids[k], sets[k])
+            return out
 
-def linked_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, root over ids of distinct texts (id, text_key, text_hash, bands): components of links of 0.8 or more."""
-    rows = texts.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = cut(rows.join(by_merge(buckets).select(link_key("bucket").alias("k"), "leader", "n"), F.col("bucket") == F.col("k")).drop("k"))
-    if members.isEmpty():
-        return members.select(F.col("id").alias("node"), F.col("id").alias("root"))
-    sets = cut(payloads(docs, texts.join(by_merge(members.select("id").distinct()), "id", "left_semi")))
-    star = members.where("id <> leader")
-    tested = cut(verified(star.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets))
-    roots = cut(components(linked(tested)))
-    # Of a bucket, what is linked to the leader is one component now.  Where there are more, the largest one's least member
-    # is the bucket's anchor.  Members outside the anchor's component meet pivots of other components; each round has
-    # GROWTH times as many, and what it links leaves the next rounds, until all members have been pivots.  So of any two
-    # members that stay in different components, at least one was outside in every round and has met the other.
-    placed = placed_in(members, roots)
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    anchors = cut(sizes.groupBy("bucket").agg(F.max(F.struct("n", "id")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.id").alias("anchor")))
-    members = cut(members.join(by_merge(anchors.select(link_key("bucket").alias("k"), "anchor")), F.col("bucket") == F.col("k")).drop("k"))
-    used, most = members.select("bucket", F.col("leader").alias("id")).distinct(), PIVOTS
-    while True:
-        placed = placed_in(members, roots)
-        top = placed.where("id = anchor").select(link_key("bucket").alias("k"), F.col("root").alias("top"))
-        placed = cut(placed.join(by_merge(top), F.col("bucket") == F.col("k")).drop("k"))
-        outside = placed.where("root <> top")
-        unused = placed.join(by_merge(outside.select("bucket").distinct()), "bucket", "left_semi").join(by_merge(used), ["bucket", "id"], "left_anti")
-        pivots = cut(first_of_parts(unused, most))
-        if pivots.isEmpty():
-            return roots
-        pairs = outside.join(by_merge(pivots.select(link_key("bucket").alias("k"), "pivot", "pivot_root")), F.col("bucket") == F.col("k")).where("root <> pivot_root")
-        fresh = met(pairs, tested, sets)
-        used, tested = cut(used.unionByName(pivots.select("bucket", F.col("pivot").alias("id")))), cut(tested.unionByName(fresh))
-        roots = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(linked(fresh))))
-        most *= GROWTH
-
-
-def placed_in(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members and the root of each."""
-    return members.join(by_merge(roots), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-
-
-def linked(tested: DataFrame) -> DataFrame:
-    return tested.where(F.col("similar") >= SIMILAR).select("a", "b")
-
-
-def first_of_parts(rows: DataFrame, most: int) -> DataFrame:
-    """bucket, pivot, pivot_root: up to ``most`` members of each bucket, the least of each of so many hash classes."""
-    least = rows.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(most)).alias("part")).agg(F.min("id").alias("pivot"), F.min_by("root", "id").alias("pivot_root"))
-    return least.select("bucket", "pivot", "pivot_root")
-
-
-def met(rows: DataFrame, tested: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, similar of ids and the pivots beside them, without pairs that are tested already."""
-    pairs = rows.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return cut(verified(pairs.join(by_merge(known), ["a", "b"], "left_anti"), sets))
-
-
-#: Pivots of a bucket in the first round, and how many times more each further round has.
-PIVOTS, GROWTH = 4, 4
+        for batch in batches:
+            out = []
+            for *key, role, i, text_key, text in zip(*(batch.column(n).to_pylist() for n in (*keys, "role", "id", "text_key", "text"))):
+                if key != place:
+                    out += loaded()
+                    place, block, ids, sets, asking, last, parent = key, None, [], [], [], None, {}
+                if (role, i) == last:  # the row is there more than once
+                    continue
+                own = read(text, text_key)
+                if own is None:
+                    continue
+                last = (role, i)
+                if role == 2:
+                    out += loaded()
+                    if block is not None:
+                        out += links(i, own)
+                else:
+                    if role == 3:
+                        asking.append(len(ids))
+                    ids.append(i)
+                    sets.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+        out = loaded()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    ship(source.sparkSession)
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def linked_texts(source: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, root over ids of distinct texts (id, text_key, h1, bands): components of links of 0.8 or more."""
+    pairs = cut(leaders_of(texts))
+    met = cut(with_leaders(source, texts, pairs))
+    links = met.where(F.col("similar") >= SIMILAR).select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    return components(links.unionByName(near_strays(source, texts, blocks_of(met))))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class_key, class_id of every row of documents (doc_id, text); one row for each row."""
-    source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = cut(text_bands(source.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]))
+    """doc_id, class_id, h1, h2 (see ``numbered``) and class_key of every row of documents (doc_id, text); one row for each row."""
+    source = numbered(docs)
+    rows = cut(text_bands(source, ["doc_id", "h1", "h2"]))
     # Distinct texts get numbers, which are final as they are written; numbers aggregate and join faster than keys.
-    texts = cut(rows.groupBy("text_key", "bands").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash")).withColumn("id", F.monotonically_increasing_id()))
+    texts = cut(rows.groupBy("text_key", "bands").agg(F.min("doc_id").alias("doc_id"), F.min("h1").alias("h1")).withColumn("id", F.monotonically_increasing_id()))
     roots = linked_texts(source, texts)
     rooted = cut(texts.select("id", "text_key", "doc_id").join(by_merge(roots), F.col("id") == F.col("node"), "left").select("text_key", "doc_id", F.coalesce("root", "id").alias("class_key")))
     named = rooted.groupBy("class_key").agg(F.min("doc_id").alias("class_id"))
     keys = rooted.select("text_key", "class_key").join(by_merge(named.select(link_key("class_key").alias("k"), "class_id")), F.col("class_key") == F.col("k")).drop("k")
-    return rows.select("doc_id", "text_hash", "text_key").join(by_merge(cut(keys)), "text_key").select("doc_id", "text_hash", "class_key", "class_id")
+    return rows.select("doc_id", "h1", "h2", "text_key").join(by_merge(cut(keys)), "text_key").select("doc_id", "class_id", "h1", "h2", "class_key")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each class the row whose doc_id names it (one of them, if it is repeated)."""
     narrow = cut(classes(docs))
-    best = narrow.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.min("text_hash").alias("best_hash"), F.count("*").alias("copies"))
-    marked = cut(narrow.join(best.select(link_key("class_key").alias("k"), "best_hash", "copies"), F.col("class_key") == F.col("k")).drop("k"))
-    keep = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("best_hash"))
-    drops = marked.where(~keep | (F.col("copies") > 1)).select(doc_key("doc_id"), F.col("text_hash").alias("h")).distinct()
-    twice = marked.where(keep & (F.col("copies") > 1)).select(doc_key("doc_id"), F.col("text_hash").alias("h")).distinct()
-    keyed = docs.withColumns({"__doc": doc_key("doc_id"), "__hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    on = lambda few: (F.col("__doc") == few["doc"]) & (F.col("__hash") == few["h"])
-    kept = keyed.join(drops, on(drops), "left_anti")
-    if not twice.isEmpty():  # the row that stands for its class is there more than once
-        kept = kept.unionByName(keyed.join(twice, on(twice), "left_semi").dropDuplicates(["__doc", "__hash"]))
-    return kept.select(*docs.columns)
-
-
-def doc_key(name: str):
-    return F.coalesce(F.col(name).cast("string"), F.lit("none")).alias("doc")
+    names = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    best = narrow.where(names).groupBy("class_key").agg(F.min("h1").alias("best"), F.count("*").alias("copies"))
+    marked = narrow.join(by_merge(best.select(link_key("class_key").alias("k"), "best", "copies")), F.col("class_key") == F.col("k"))
+    keep = names & (F.col("h1") == F.col("best"))
+    drops = small(marked.where(~keep | (F.col("copies") > 1)).select("h1", "h2", keep.alias("keep")).distinct())
+    h1, h2 = fresh(docs, "h1"), fresh(docs, "h2")
+    hashes = row_hashes(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("string"))
+    keyed = docs.withColumns({h1: hashes[0], h2: hashes[1]})
+    on = (keyed[h1] == drops["h1"]) & (keyed[h2] == drops["h2"])
+    kept = keyed.join(drops, on, "left_anti")
+    again = drops.where("keep")
+    if not again.isEmpty():  # the row that stands for its class is there more than once
+        kept = kept.unionByName(keyed.join(again, on, "left_semi").dropDuplicates([h1, h2]))
+    return kept.select(*map(quoted, docs.columns))

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one inner batch of a Python task holds; bounds its memory.
@@ -42,6 +42,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once for each row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark's expressions take it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,12 +99,11 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
     """
     ship(df.sparkSession)
     n = len(keep)
-    source = df.select(*keep, F.col(text).cast("string").alias("__text"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n])
-    schema = f"{head}, {fields}" if keep else fields
     at = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else n
-    if at < n:  # the text is kept: it need not be sent twice
-        source = source.drop("__text")
+    # A text that is kept need not be sent twice.
+    source = df.select(*map(quoted, keep), *[F.col(text).cast("string").alias(fresh(df, "sent"))] * (at == n))
+    head = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in source.schema.fields[:n])
+    schema = f"{head}, {fields}" if keep else fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
