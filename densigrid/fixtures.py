@@ -24,6 +24,8 @@ ROLES = Goal("pricing_roles", (DISCOUNT, PRICE, Axis("quantity", 0.0, 50.0, 5.0,
 MASKED = Goal("pricing_masked", (DISCOUNT, PRICE, QUANTITY), 1000.0, rules=RULES)
 EVENTS = Goal("events_k", (Axis("k", 0.0, 100.0, 10.0), Axis("value", 0.0, 100.0, 5.0)), 100.0)
 
+#: Ids of records without observations, beyond those of suppliers.
+SILENT = tuple(range(10_000_001, 10_000_008))
 #: The record that is compared with the others.
 TARGET = 1
 
@@ -38,16 +40,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A header for each supplier: some belong to another goal, some lack an axis, some have no observations."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id"))
+    """A header for each supplier: some belong to another goal, some lack an axis; SILENT more have no observations."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id")).union(spark.createDataFrame([(i,) for i in SILENT], "record_id long"))
     goal = F.when(F.col("record_id") % 4 == 3, "other").otherwise(" pricing ")
     names = F.when(F.col("record_id") % 5 == 4, F.array(F.lit("Discount"), F.lit("PRICE"))).otherwise(F.array(F.lit(" Discount"), F.lit("price"), F.lit("Quantity")))
     return s.select("record_id", goal.alias("goal_id"), names.alias("axis_names"), F.when(F.col("record_id") % 6 != 5, "sig").alias("grid_signature"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record_id, v) of fully numeric rows, price, discount, quantity in that order; records with id % 7 = 6 have none."""
-    return lines(spark, sf_dir).where("record_id % 7 <> 6").select("record_id", F.array("l_extendedprice", "l_discount", "l_quantity").alias("v"))
+    """(record_id, v) of all line items, price, discount, quantity in that order."""
+    return lines(spark, sf_dir).select("record_id", F.array("l_extendedprice", "l_discount", "l_quantity").alias("v"))
 
 
 ORDER = ["Price", "discount", "quantity "]
@@ -92,7 +94,7 @@ def sql_cells(goal: Goal, exprs: dict[str, str] | None = None, source: str = "li
     )
 
 
-SQL_HEADERS = """(SELECT s_suppkey AS record_id, CASE WHEN s_suppkey % 4 = 3 THEN 'other' ELSE ' pricing ' END AS goal_id,
+SQL_HEADERS = f"""(SELECT s_suppkey AS record_id, CASE WHEN s_suppkey % 4 = 3 THEN 'other' ELSE ' pricing ' END AS goal_id,
   CASE WHEN s_suppkey % 5 = 4 THEN ['discount', 'price'] ELSE ['discount', 'price', 'quantity'] END AS keys,
-  CASE WHEN s_suppkey % 6 <> 5 THEN 'sig' END AS grid_signature FROM supplier)"""
-SQL_OBSERVATIONS = "(SELECT * FROM lineitem WHERE l_suppkey % 7 <> 6)"
+  CASE WHEN s_suppkey % 6 <> 5 THEN 'sig' END AS grid_signature FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT unnest({list(SILENT)})))"""
+SQL_OBSERVATIONS = "lineitem"

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.operators.occupancy import histogram, in_grid, indices, unmasked
 from densigrid.plans.grid import Goal, GridError
 
 MODES = ("external", "pooled", "internal")
@@ -30,10 +31,10 @@ def ecdf_rank(counts: DataFrame, by: list[str] | None = None, cnt: str = "cnt")
 
 def split_counts(rows: DataFrame, goal: Goal, is_target: Column) -> DataFrame:
     """cell, peer, target: counts of valid rows."""
-    names = [f"__b{k}" for k in range(len(goal.axes))]
-    flat = rows.where("status = 'valid'").select(*[F.col("cell")[k].alias(n) for k, n in enumerate(names)], is_target.alias("__t"))
+    names = indices(goal)
+    flat = in_grid(rows, goal, is_target.alias("__t"))
     counts = flat.groupBy(*names).agg(F.count(F.when(~F.col("__t"), 1)).alias("peer"), F.count(F.when(F.col("__t"), 1)).alias("target"))
-    return counts.select(F.array(*names).alias("cell"), "peer", "target")
+    return unmasked(counts, goal, ["peer", "target"]).select(F.array(*names).alias("cell"), "peer", "target")
 
 
 def by_mode(counts: DataFrame) -> DataFrame:
@@ -121,8 +122,6 @@ def reevaluated(rows: DataFrame, goal: Goal, record: str) -> DataFrame:
     at most e rows is that of all cells with g <= e, less the record's own cells with g <= e, plus its own cells with
     0 < e' <= e: only own cells are looked at again, and only their distinct values meet.
     """
-    from densigrid.operators.occupancy import histogram
-
     own = histogram(rows, goal, [record]).withColumnRenamed("cnt", "o")
     whole = own.groupBy("cell").agg(F.sum("o").alias("g"))
     both = own.join(whole, "cell").withColumn("e", F.col("g") - F.col("o"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
+from densigrid.operators import masks
 from densigrid.plans.grid import Axis, Goal, GridError, axis_key
 from densigrid.plans.rules import boxes_of
 
@@ -50,13 +51,41 @@ def binned(df: DataFrame, goal: Goal, values: dict[str, Column], keep: list[str]
     return placed.select(*keep, cells.status(goal, v, index, boxes).alias("status"), F.array(*index.values()).alias("cell"))
 
 
-def histogram(rows: DataFrame, goal: Goal, by: list[str] | None = None) -> DataFrame:
-    """by..., cell, cnt of valid rows.  Grouped by plain integers, which aggregate faster than arrays."""
-    by = by or []
-    flat = [F.col("cell")[k].alias(f"__b{k}") for k in range(len(goal.axes))]
-    names = [f"__b{k}" for k in range(len(goal.axes))]
-    counts = rows.where("status = 'valid'").select(*by, *flat).groupBy(*by, *names).agg(F.count("*").alias("cnt"))
-    return counts.select(*by, F.array(*names).alias("cell"), "cnt")
+def indices(goal: Goal) -> list[str]:
+    return [f"__b{k}" for k in range(len(goal.axes))]
+
+
+def in_grid(rows: DataFrame, goal: Goal, *others: Column | str) -> DataFrame:
+    """Columns ``others`` and the indices of rows inside the grid, masked cells among them."""
+    names = indices(goal)
+    flat = rows.select(*others, *[F.col("cell")[k].alias(n) for k, n in enumerate(names)])
+    return flat.where(cells.all_of([F.col(n).isNotNull() for n in names]))
+
+
+def unmasked(counts: DataFrame, goal: Goal, cnt: list[str], boxes: list[dict] | None = None) -> DataFrame:
+    """Counts per cell (in index columns) without masked cells, of which there are few: a mask is a function of the cell.
+
+    The test is tied to the counts, so Spark does not move it down to the rows and compute their indices once for each box.
+    Many boxes are a join.
+    """
+    boxes = boxes_of(goal) if boxes is None else boxes
+    names = indices(goal)
+    if len(boxes) > masks.PREDICATE_BOXES:
+        return masks.unmasked(counts.withColumn("cell", F.array(*names)), goal, boxes).drop("cell")
+    if not boxes:
+        return counts
+    free = ~cells.masked(boxes, {a.name: F.col(n) for a, n in zip(goal.axes, names)})
+    return counts.where(F.when(free, reduce(lambda a, b: a + b, map(F.col, cnt))).otherwise(0) > 0)
+
+
+def histogram(rows: DataFrame, goal: Goal, by: list[str] | None = None, boxes: list[dict] | None = None) -> DataFrame:
+    """by..., cell, cnt of valid rows: those inside the grid, then without masked cells (``boxes``: as in ``binned``).
+
+    Grouped by plain integers, which aggregate faster than arrays.
+    """
+    by, names = by or [], indices(goal)
+    counts = in_grid(rows, goal, *by).groupBy(*by, *names).agg(F.count("*").alias("cnt"))
+    return unmasked(counts, goal, ["cnt"], boxes).select(*by, F.array(*names).alias("cell"), "cnt")
 
 
 def axis_histogram(rows: DataFrame, goal: Goal, by: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
-from densigrid.operators.occupancy import binned, counters, histogram, vector_values
+from densigrid.operators.occupancy import binned, histogram, indices, vector_values
 from densigrid.plans.grid import Goal, axis_key, peer_key
 
 
@@ -44,17 +44,16 @@ def global_counts(headers: DataFrame, observations: DataFrame, goal: Goal, order
     """The reference density (cell, cnt), and one row of counters: eligible records (also if none of their rows is
     valid), records left out for want of vectors, observations, occupied cells, infeasible rows and cells."""
     rows = binned(observations.join(headers.select("record_id"), "record_id", "left_semi"), goal, vector_values(goal, order), ["record_id"], boxes)
-    density = histogram(rows, goal)
-    totals = counters(rows).crossJoin(density.agg(F.count("*").alias("occupied_bins"))).crossJoin(rows.agg(F.count_distinct("record_id").alias("eligible_records"))).crossJoin(headers.agg(F.count_distinct("record_id").alias("records")))
-    facts = totals.select(
-        "eligible_records",
-        (F.col("records") - F.col("eligible_records")).alias("legacy_excluded"),
-        F.col("valid_rows").alias("observations"),
-        "occupied_bins",
-        F.col("masked_rows").alias("infeasible_rows"),
-        F.col("masked_bins").alias("infeasible_bins"),
-    )
-    return density, facts
+    # One pass: rows per record, status and cell; all counters are sums over those.
+    names = indices(goal)
+    cells_of = rows.select("record_id", "status", *[F.col("cell")[k].alias(n) for k, n in enumerate(names)]).groupBy("record_id", "status", *names).agg(F.count("*").alias("n"))
+    per_cell = cells_of.groupBy("status", *names).agg(F.sum("n").alias("n"))
+    of = lambda status, what: F.coalesce(F.sum(F.when(F.col("status") == status, what)), F.lit(0)).cast("long")
+    inner = per_cell.agg(of("valid", F.col("n")).alias("observations"), of("valid", F.lit(1)).alias("occupied_bins"), of("masked", F.col("n")).alias("infeasible_rows"), of("masked", F.lit(1)).alias("infeasible_bins"))
+    eligible = cells_of.agg(F.count_distinct("record_id").alias("eligible_records"))
+    facts = headers.agg(F.count_distinct("record_id").alias("records")).crossJoin(eligible).crossJoin(inner)  # of one row each
+    facts = facts.select("eligible_records", (F.col("records") - F.col("eligible_records")).alias("legacy_excluded"), "observations", "occupied_bins", "infeasible_rows", "infeasible_bins")
+    return histogram(rows, goal, boxes=boxes), facts
 
 
 def stored_counts(headers: DataFrame, maps: DataFrame, names: list[str]) -> DataFrame:
