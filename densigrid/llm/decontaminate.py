@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.llm.ship import cut, small
+from densigrid.llm.ship import cut, fresh, small
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -91,5 +91,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that no test item is contained in, all columns as they are."""
-    leaked = small(matches(docs, items).select(F.col("text_hash").alias("__leaked")).distinct())
-    return docs.join(leaked, text_hash() == F.col("__leaked"), "left_anti")
+    leaked = small(matches(docs, items).select("text_hash").distinct())
+    key = fresh(docs, "text_hash")
+    keyed = docs.withColumn(key, text_hash())
+    return keyed.join(leaked, keyed[key] == leaked["text_hash"], "left_anti").drop(key)

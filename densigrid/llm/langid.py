@@ -16,11 +16,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.llm.bpe import Memo
-from densigrid.llm.learn import first_by_hash, made_in_tasks, remainder
+from densigrid.llm.learn import made_in_tasks, remainder
 from densigrid.llm.ship import map_texts
 
 GRAMS = (2, 3, 4)
@@ -129,20 +129,23 @@ def probabilities(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, m: int = 5, held: int = 0, calibrate_on: int = 1) -> Model:
     """Learn from text and non-null lang of rows that are not held out; bounded by TRAIN_ROWS of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", m) != held))
-    langs = sorted(r.lang for r in known.groupBy("lang").count().collect())  # one row for each language
-    sample = None
-    for lang in langs:
-        ids = first_by_hash(known.where(F.col("lang") == lang).select("doc_id", "lang").distinct(), TRAIN_ROWS, "doc_id")
-        sample = ids if sample is None else sample.unionByName(ids)
-    if sample is None:
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sorted(r.lang for r in counts.collect())  # one row for each language
+    if not langs:
         return Model(["und"], np.zeros((BUCKETS, 1)), np.zeros(1))
+    # Of each language the rows of least hash: a share of hashes that surely has enough of them, and their order in it.
+    chance = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / (1 << 30)
+    some = known.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").where(chance * F.col("n") < 2 * TRAIN_ROWS).select("doc_id", "lang").distinct()
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), "doc_id")
+    sample = some.withColumn("place", F.row_number().over(least)).where(F.col("place") <= TRAIN_ROWS).drop("place")
     rows = known.select("doc_id", "text", "lang", remainder("doc_id", m).alias("part")).join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
 
     def bag_of():
         memo = Memo(lambda w: buckets(w).tobytes())
         return lambda text: bag(text, memo).tobytes()
 
-    found = made_in_tasks(rows, bag_of, ["lang", "part"]).collect()
+    # A row of each text, whatever number of rows an id has.
+    found = made_in_tasks(rows, bag_of, ["lang", "part"]).dropDuplicates(["lang", "text_hash"]).orderBy("lang", "text_hash").limit(TRAIN_ROWS * len(langs)).collect()
     bagged = sorted({(r.text_hash, r.lang): (r.part, r.made) for r in sorted(found, key=lambda r: r.part)}.items())
     y, part = np.array([langs.index(k[1]) for k, _ in bagged]), np.array([p for _, (p, _) in bagged])
     bags = np.array([np.frombuffer(x, np.float32) for _, (_, x) in bagged])

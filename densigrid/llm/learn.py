@@ -27,16 +27,22 @@ def first_by_hash(df: DataFrame, n: int, *cols: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, value: int, m: int, held: int, n: int, make: Callable) -> list[bytes]:
-    """What ``make`` gives for at most n rows with this label, none of them held out; rows without a label or text are left out."""
+    """What ``make`` gives for at most n rows with this label, none of them held out; rows without a label or text are left out.
+
+    Labels of documents that are not there do not count towards n.
+    """
     ids = labels.where((F.col(label) == value) & F.col("doc_id").isNotNull() & (remainder("doc_id", m) != held)).select("doc_id").distinct()
-    return learned_from(docs, first_by_hash(ids, n, "doc_id"), make)
+    there = ids.join(docs.where(F.col("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
+    return learned_from(docs, first_by_hash(there, n, "doc_id"), n, make)
 
 
-def learned_from(docs: DataFrame, few_ids: DataFrame, make: Callable) -> list[bytes]:
-    """What ``make`` gives for the distinct texts of a bounded list of ids, in order of id; the list is small by its limit, so it is broadcast."""
+def learned_from(docs: DataFrame, few_ids: DataFrame, n: int, make: Callable) -> list[bytes]:
+    """What ``make`` gives for the distinct texts of a bounded list of ids, in order of id, at most n; the list is small by
+    its limit, so it is broadcast.  An id that stands in very many rows is made one row of each text before it moves."""
     found = made_in_tasks(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(few_ids), "doc_id", "left_semi"), make, ["doc_id"])
+    few = found.dropDuplicates(["doc_id", "text_hash"]).orderBy("doc_id", "text_hash").limit(n)
     first: dict[int, bytes] = {}
-    for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.text_hash)):
+    for r in few.collect():
         first.setdefault(r.text_hash, r.made)
     return list(first.values())
 

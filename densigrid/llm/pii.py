@@ -4,17 +4,19 @@ Protected entities are e-mail addresses, IP addresses, card and phone numbers fo
 their check are dropped).  Words can give an entity away as well: the corpus tells how strongly.  For an entity e and a
 word t near it (CONTEXT characters to either side),
 
-    PMI(e, t) = log2( p(t | e) / p(t) )        IC(e) = -log2 p(e)        disclosure = PMI / IC
+    IC(e) = -log2 p(e)      IC(e | t) = -log2 p(e | t)      PMI(e, t) = IC(e) - IC(e | t)      disclosure = PMI / IC(e)
 
-where p(t | e) is the share of e's distinct contexts that have t, p(t) the share of documents with t, p(e) the share of
-documents with e.  It is 1 for a word that only ever stands with e.  A word of SUPPORT distinct contexts of e or
-more and in half of them is removed from texts that hold e where its disclosure is REMOVE or more, and generalised to its
-kind where it is GENERALISE or more.  Copies with the same context count once, so repeats of a text do not make evidence.
+where p(e) is the share of documents with e, and p(e | t) the share of the documents with t that have it near e, shrunk
+by c / (c + PRIOR) as it is known from only c distinct contexts; copies with the same context count once there, so repeats
+of a text do not make evidence.  IC(e | t) is what a reader of t still lacks to know e, in bits, whatever the size of the
+corpus.  A word that leaves REMOVE bits or less (with PRIOR 1: two contexts or more, and hardly a document without e) is
+removed from the texts that have it near e, wherever it stands in them; one that leaves GENERALISE bits or less (as a word that the corpus has only once, beside
+e: a name, a nickname, a number of a customer) is generalised to its kind.  So the method judges every entity, also one
+that occurs once.
 
 Spans are code-point ranges ``kind:start:end``, end exclusive, by kind (email, ip, card, phone, term), then start.  A null
 text is an empty one and has none; sanitising leaves null texts null, and texts without entities as they are.  Repeated
-rows each get their spans.  Positions cost time in proportion to the text, and to the square of the number of matches of a
-kind beyond some ten thousand in one text.
+rows each get their spans; an empty table gives no rows, and columns of any name come back as they were.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.llm.ship import cut, small
+from densigrid.llm.ship import cut, let, quoted, small
 
 #: Fixed patterns.  In front of two of them stands a guard that only skips starts inside a run of the pattern's first
 #: characters, where no leftmost match can start; possessive loops keep the matcher's stack flat.  Neither changes a match.
@@ -37,21 +39,23 @@ BASE = {
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
 CONTEXT = 80
-SUPPORT = 3
-GENERALISE, REMOVE = 0.7, 0.9
+#: Weight of doubt, in contexts, and bits that a word may leave of an entity to be generalised, or removed.
+PRIOR = 1.0
+GENERALISE, REMOVE = 1.0, 0.6
+#: Matches of a text whose places are added up together.
+RUN = 128
 
 _WORD = r"[\p{L}\p{N}]{4,}"
 _SPAN = "struct<start:int,end:int,text:string>"
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once for each row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def located(text: Column, pattern: Column) -> Column:
-    """Leftmost non-overlapping matches as array<struct<start, end, text>>: what is between them gives their places."""
-    parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
+    """Leftmost non-overlapping matches as array<struct<start, end, text>>: what is between them gives their places.
+
+    Lengths are added up in runs of RUN matches and then over the runs, so that long lists are not copied for each match.
+    """
+    parts = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    runs = lambda all_parts: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_parts) - 1) / RUN).cast("int")), lambda i: F.slice(all_parts, i * RUN + 1, RUN))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -59,7 +63,15 @@ def located(text: Column, pattern: Column) -> Column:
         end = begin + F.length(x["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
 
-    return F.aggregate(F.filter(parts, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    def joined(counted: Column) -> Column:
+        """Each run's places, moved by the length of those before it."""
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        moves = F.aggregate(counted, first, lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = lambda by: lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["text"].alias("text"))
+        return F.flatten(F.zip_with(counted, moves, lambda r, by: F.transform(r["out"], moved(by))))
+
+    none = F.array().cast(f"array<{_SPAN}>")
+    return let(parts, lambda all_parts: F.when(F.size(all_parts) == 0, none).otherwise(let(F.transform(runs(all_parts), lambda run: F.aggregate(run, start, step)), joined)))
 
 
 def luhn(digits: Column) -> Column:
@@ -103,46 +115,40 @@ def has_entity() -> Column:
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """text_hash, terms: array<struct<term, remove>> of the texts that hold an entity and words that disclose it."""
-    entities = scanned(docs).where(has_entity())
+    entities = scanned(docs).where(has_entity()).withColumn("row", F.monotonically_increasing_id())
     entity = lambda kind: lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["text"])).alias("e"), s["start"].alias("start"), s["end"].alias("end"))
     spans = F.concat(*[F.transform(k, entity(k)) for k in BASE])
-    each = entities.select("text_hash", "text", spans.alias("spans")).select("text_hash", "text", "spans", F.posexplode("spans").alias("i", "s"))
-    # Each document counts once for an entity, however often it has it.
-    first = F.array_position(F.transform("spans", lambda s: s["e"]), F.col("s.e")) == F.col("i") + 1
+    each = entities.select("row", "text_hash", "text", F.explode(spans).alias("s"))
     # One character more than the context on either side, where the text has it: a run of letters and digits that begins
     # with it on the left, or ends with it on the right, is a word that the edge cuts, which is no word of the context.
     before = F.substring("text", F.greatest(F.lit(1), F.col("s.start") - CONTEXT), F.least(F.lit(CONTEXT + 1), F.col("s.start")))
     after = F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT + 1))
     whole = lambda part, edge: F.when(F.length(part) > CONTEXT, F.regexp_replace(part, edge, "")).otherwise(part)
     inner = F.concat(whole(before, r"^[\p{L}\p{N}]+"), F.lit(" "), whole(after, r"[\p{L}\p{N}]+$"))
-    near = each.select("text_hash", F.col("s.e").alias("e"), first.alias("first"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(inner), F.lit(_WORD), 0))).alias("words"))
+    near = each.select("row", "text_hash", F.col("s.e").alias("e"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(inner), F.lit(_WORD), 0))).alias("words"))
     near = cut(near.withColumn("context", F.xxhash64(F.array_join("words", " "))))
-    # Entities with enough distinct contexts, then words in enough of them.
-    contexts = near.select("e", "context").distinct().groupBy("e").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    together = near.join(small(contexts), "e").select("e", "contexts", "context", F.explode("words").alias("term")).distinct()
-    pairs = together.groupBy("e", "contexts", "term").agg(F.count("*").alias("both")).where((F.col("both") >= SUPPORT) & (2 * F.col("both") >= F.col("contexts")))
-    pairs = cut(pairs)
-    if pairs.isEmpty():
-        return pairs.select(F.lit(0).cast("long").alias("text_hash"), F.array(F.struct(F.lit("").alias("term"), F.lit(False).alias("remove"))).alias("terms")).limit(0)
+    if near.isEmpty():
+        return near.select("text_hash", F.array(F.struct(F.lit("").alias("term"), F.lit(False).alias("remove"))).alias("terms"))
+    # Contexts are counted once each, documents once for an entity and a word.
+    beside = near.select("row", "text_hash", "e", "context", F.explode("words").alias("term"))
+    pairs = cut(beside.groupBy("e", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("both")))
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = texts.count()
     # Every word of the corpus is counted, partly before the shuffle; the candidates are looked up in the counts (by an
     # inner join: a semi join would be moved below the count).  The other way round, each occurrence of a candidate would be
     # a row, and a larger corpus has more candidates.
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0))).alias("term"))
-    share = words.groupBy("term").agg((F.count("*") / float(total)).alias("p_t")).join(small(pairs.select("term").distinct()), "term")
-    of_e = near.where("first").groupBy("e").agg((F.count("*") / float(total)).alias("p_e"))
-    disclosure = F.log2(F.col("both") / F.col("contexts") / F.col("p_t")) / -F.log2("p_e")
-    told = pairs.join(small(share), "term").join(of_e, "e").where("p_e < 1").select("e", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-    told = small(told)
-    terms = near.select("text_hash", "e").distinct().join(told, "e").groupBy("text_hash", "term").agg(F.max(F.col("disclosure") >= REMOVE).alias("remove"))
+    often = words.groupBy("term").agg(F.count("*").alias("documents")).join(small(pairs.select("term").distinct()), "term")
+    left = -F.log2(F.col("both") / F.col("documents") * F.col("contexts") / (F.col("contexts") + PRIOR))
+    told = small(pairs.join(small(often), "term").select("e", "term", left.alias("bits")).where(F.col("bits") <= GENERALISE))
+    # By entity and word together: an entity that very many texts hold does not bring each of them the words of all others.
+    terms = beside.select("text_hash", "e", "term").distinct().join(told, ["e", "term"]).groupBy("text_hash", "term").agg(F.max(F.col("bits") <= REMOVE).alias("remove"))
     return terms.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("terms"))
 
 
 def with_terms(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Scanned rows and, in the column ``term``, the spans of disclosing words that do not touch a base span."""
-    told = small(disclosing_terms(docs).select(F.col("text_hash").alias("__hash"), "terms"))
-    joined = rows.join(told, F.col("text_hash") == F.col("__hash"), "left").drop("__hash")
+    told = small(disclosing_terms(docs).select(F.col("text_hash").alias("told_hash"), "terms"))
+    joined = rows.join(told, F.col("text_hash") == F.col("told_hash"), "left").drop("told_hash")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     found = F.when(F.col("terms").isNotNull(), located(F.col("text"), pattern)).otherwise(F.array().cast(f"array<{_SPAN}>"))
     all_base = F.concat(*BASE)
@@ -172,7 +178,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Spans that overlap are replaced as one, by the label of the first.
     """
     columns = docs.columns
-    rows = scanned(docs, *[F.col(c).alias(f"__{c}") for c in columns])
+    rows = scanned(docs, *[F.col(quoted(c)).alias(f"__{c}") for c in columns])
     rows = with_terms(rows, docs)
     removed = lambda s: F.exists("terms", lambda t: (t["term"] == F.lower(s["text"])) & t["remove"])
     label = lambda s: F.when(removed(s), F.lit("")).otherwise(F.when(s["text"].rlike("^[0-9]"), F.lit("[NUMBER]")).otherwise(F.lit("[WORD]")))
@@ -193,5 +199,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
     changed = F.when(F.col("__text").isNull(), F.lit(None).cast("string")).when(has_entity(), rebuilt).otherwise(text)
-    out = rows.select(*[F.col(f"__{c}").alias(c) if c != "text" else changed.alias("text") for c in columns])
+    out = rows.select(*[F.col(quoted(f"__{c}")).alias(c) if c != "text" else changed.alias("text") for c in columns])
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, m: int = 4, held: int = 2) -> Model:
     learnable = labels.where(F.col("quality").isin(0, 1) & (remainder("doc_id", m) != held))
     n, ones = learnable.agg(F.count("*"), F.sum("quality")).first()
     prior = min(0.98, max(0.02, (ones or 0) / n)) if n else 0.5
-    others = first_by_hash(docs.where(F.col("doc_id").isNotNull() & (remainder("doc_id", m) != held)).select("doc_id").distinct(), TRAIN_ROWS, "doc_id")
-    web = learned_from(docs, others, vector)
+    others = first_by_hash(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", m) != held)).select("doc_id").distinct(), TRAIN_ROWS, "doc_id")
+    web = learned_from(docs, others, TRAIN_ROWS, vector)
     if not good or not web:
         return Model(np.zeros(SHAPES + FIGURES + 1), np.zeros(SHAPES + FIGURES), np.ones(SHAPES + FIGURES), (1.0, float(np.log(prior / (1 - prior)))), learned=False)
     p, u, b = (np.array([np.frombuffer(v) for v in x]).reshape(len(x), -1) for x in (good, web, bad))

@@ -40,7 +40,7 @@ def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.linked(table(spark, sf_dir, "conversations"))
+    return quotes.with_chats(table(spark, sf_dir, "conversations"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +102,17 @@ votes AS (SELECT a.r, a.level, a.passage, h.origin, max(is_whole) AS is_whole, c
 best AS (SELECT r, level, passage, origin FROM votes QUALIFY row_number() OVER (
            PARTITION BY r, passage ORDER BY origin IS NULL, is_whole DESC, n DESC, origin DESC) = 1),
 links AS (SELECT r, count(*) AS n_quotes, count(origin) AS n_linked, max(level) AS max_level FROM best GROUP BY r),
-nearest AS (SELECT r, origin FROM best WHERE origin IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, origin DESC) = 1)
-SELECT conv_id, turn, role, own_text, coalesce(n.origin, b.turn_before) AS parent_turn, coalesce(n_quotes, 0) AS n_quotes,
-       coalesce(n_linked, 0) AS n_linked, CAST(coalesce(max_level, 0) AS INTEGER) AS max_level
-FROM own LEFT JOIN links USING (r) LEFT JOIN nearest n USING (r)
-LEFT JOIN (SELECT DISTINCT conv_id AS c, turn AS turn_before FROM conversations) b ON b.c = conv_id AND b.turn_before + 1 = turn
+nearest AS (SELECT r, origin FROM best WHERE origin IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r ORDER BY level, origin DESC) = 1),
+told AS (
+  SELECT conv_id, turn, role, own_text, coalesce(n.origin, b.turn_before) AS parent_turn, coalesce(n_quotes, 0) AS n_quotes,
+         coalesce(n_linked, 0) AS n_linked, CAST(coalesce(max_level, 0) AS INTEGER) AS max_level, CAST(floor(turn / 64.0) AS BIGINT) AS span
+  FROM own LEFT JOIN links USING (r) LEFT JOIN nearest n USING (r)
+  LEFT JOIN (SELECT DISTINCT conv_id AS c, turn AS turn_before FROM conversations) b ON b.c = conv_id AND b.turn_before + 1 = turn),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, span ORDER BY turn NULLS FIRST, role NULLS FIRST, own_text, parent_turn NULLS FIRST, n_quotes, n_linked, max_level) - 1 AS place FROM told),
+parts AS (SELECT * EXCLUDE (place), place // 64 AS piece, CAST(place % 64 + 1 AS INTEGER) AS position FROM placed),
+chats AS (SELECT conv_id, span, piece, sha256(string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || own_text || chr(10) || '<|end|>' || chr(10), '' ORDER BY position)) AS chat_sha256
+          FROM parts GROUP BY conv_id, span, piece)
+SELECT p.*, chat_sha256 FROM parts p JOIN chats c ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.span IS NOT DISTINCT FROM c.span AND p.piece = c.piece
 """
 
 

@@ -17,9 +17,11 @@ conversation before they are joined, so passages or openings shared by very many
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.llm.ship import let
+
 _QUOTE = r"^[ \t]{0,3}>"
 _MARKS = r"^((?:[ \t]{0,3}>)+)"
 #: Words of attribution lines, in the languages that mail programs write them in most.
@@ -33,20 +35,19 @@ def normal(text: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """array<struct<level, lines>> of a text, in order."""
+    """array<struct<level, lines>> of a text, in order; time in proportion to its lines."""
     marks = lambda line: F.regexp_extract(line, _MARKS, 1)
     line = lambda x: F.struct(F.length(F.regexp_replace(marks(x), "[^>]", "")).alias("level"), F.regexp_replace(F.regexp_replace(x, _MARKS, ""), "^ ", "").alias("line"))
-    none = F.array().cast(f"array<{_PASSAGE}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"])
-        longer = F.struct(x["level"].alias("level"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), F.array(x["line"]).alias("lines")))))
+    def runs(lines: Column) -> Column:
+        """Lines between the places where the level changes."""
+        opens = lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"])
+        run = lambda starts: lambda s, k: F.struct(F.get(lines, s)["level"].alias("level"), F.transform(F.slice(lines, s + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - s), lambda x: x["line"]).alias("lines"))
+        return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), opens), lambda starts: F.transform(starts, run(starts)))
 
-    quoted = F.aggregate(F.transform(F.split(text, "\r?\n"), line), none, step)
-    plain = F.array(F.struct(F.lit(0).alias("level"), F.split(text, "\r?\n").alias("lines"))).cast(f"array<{_PASSAGE}>")
-    return F.when(text.rlike(f"(?m){_QUOTE}"), quoted).otherwise(plain)
+    quoted = let(F.transform(F.split(text, "\r?\n"), line), runs)
+    plain = F.array(F.struct(F.lit(0).alias("level"), F.split(text, "\r?\n").alias("lines")))
+    return F.when(text.rlike(f"(?m){_QUOTE}"), quoted).otherwise(plain).cast(f"array<{_PASSAGE}>")
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -100,13 +101,36 @@ def linked(messages: DataFrame) -> DataFrame:
     )
 
 
-#: Turns that one part of a formatted conversation spans.
-PART_TURNS = 64
+#: Turns, and messages, that one part of a formatted conversation has at most.
+PART = 64
+
+
+def in_parts(messages: DataFrame) -> DataFrame:
+    """The rows of ``linked`` with the part of the conversation that a message is in, and its position there from 1.
+
+    (span, piece) names a part: spans are PART turns, pieces PART messages of a span, so no conversation or turn, however
+    often it is repeated, is one row.  Messages of one turn are in order of role and text; all of them are kept.
+    """
+    span = Window.partitionBy("conv_id", "span").orderBy("turn", "role", "own_text", "parent_turn", "n_quotes", "n_linked", "max_level")
+    rows = linked(messages).withColumn("span", F.floor(F.col("turn") / PART)).withColumn("place", F.row_number().over(span) - 1)
+    return rows.withColumns({"piece": F.floor(F.col("place") / PART), "position": (F.col("place") % PART + 1).cast("int")}).drop("place")
+
+
+def chat_of(collected: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(collected), lambda x: x["line"]), "")
+
+
+def line() -> Column:
+    return F.struct("position", F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("own_text"), F.lit("\n<|end|>\n")).alias("line"))
 
 
 def formatted(messages: DataFrame) -> DataFrame:
-    """conv_id, part, chat: the conversations in reply order without quotes, in parts of PART_TURNS turns, so that no
-    conversation, however long, is one row.  Equal messages of a turn are written once."""
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("own_text"), F.lit("\n<|end|>\n"))
-    rows = linked(messages).select("conv_id", F.floor(F.col("turn") / PART_TURNS).alias("part"), "turn", line.alias("line")).distinct()
-    return rows.groupBy("conv_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "").alias("chat"))
+    """conv_id, span, piece, chat: the conversations in reply order (a reply is always later than what it replies to)
+    without quotes, in parts of bounded size."""
+    return in_parts(messages).groupBy("conv_id", "span", "piece").agg(chat_of(F.collect_list(line())).alias("chat"))
+
+
+def with_chats(messages: DataFrame) -> DataFrame:
+    """The rows of ``in_parts`` with chat_sha256, of the part of the conversation that ``formatted`` builds."""
+    part = Window.partitionBy("conv_id", "span", "piece")
+    return in_parts(messages).withColumn("chat_sha256", F.sha2(chat_of(F.collect_list(line()).over(part)), 256))

@@ -51,8 +51,11 @@ def test_classes_of_documents(spark):
     assert got == brute_classes(*zip(*docs))
 
 
-def test_chains_copies_and_odd_texts(spark):
+@pytest.mark.parametrize("block", [500, 4])
+def test_chains_copies_and_odd_texts(spark, monkeypatch, block):
     """Groups whose members drift apart, so that leaders do not see all of them; nulls, repeats and short texts."""
+    monkeypatch.setattr(B, "BLOCK_ROWS", block)
+    monkeypatch.setattr(B, "SALTED", block)
     rng, texts = random.Random(4), []
     for g in range(2):
         words = [f"g{g}w{i}" for i in range(60)]
@@ -75,6 +78,25 @@ def test_one_row_stays_of_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "no id at all"), (1, "a b c d e f"), (3, "a third text of that id"), (3, "other words stand here now")]
 
 
+def test_columns_of_any_name(spark):
+    """Columns named like those that the operators make, with dots and quotes, come back as they were."""
+    names = ["doc_id", "text", "h1", "H2", "a.b", "q`t", "hash", "__hash", "__doc", "__score", "__leaked", "text_hash", "email", "terms", "term", "keep"]
+    rows = [(i, t, *[f"{n}{i}" for n in names[2:]]) for i, t in enumerate(["a b c d e f", "A b c d e f", "jo@x.org is not a test item", None, "one two three four five six"])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    for got, left in ((B.one_of_each(df), [0, 2, 3, 4]), (decontaminate.clean(df, items), [0, 1, 2, 3]), (pii.sanitise(df), [0, 1, 2, 3, 4])):
+        assert got.columns == names
+        assert sorted((r[0], *r[2:]) for r in got.collect()) == [(r[0], *r[2:]) for r in rows if r[0] in left]
+
+
+@pytest.mark.parametrize("columns", ["doc_id long, text string", "doc_id long, text string, n_chars long"])
+def test_empty_tables(spark, columns):
+    none, items = spark.createDataFrame([], columns), spark.createDataFrame([], "item_id long, text string")
+    for got in (B.one_of_each(none), decontaminate.clean(none, items), pii.sanitise(none)):
+        assert got.columns == none.columns and got.count() == 0
+    assert B.classes(none).count() == pii.find(none).count() == decontaminate.contamination(none, items).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(60)]
@@ -145,7 +167,7 @@ def test_base_spans(spark):
 def disclosing(spark):
     rng = random.Random(3)
     filler = lambda: " ".join(rng.choice("lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor".split()) for _ in range(12))
-    rows = [(i, f"{filler()} Zanzibarian {filler()[:40]} jo@example.org {filler()} Zanzibarian", len("x")) for i in range(6)]
+    rows = [(i, f"{filler()} Zanzibarian {' '.join(filler().split()[:5])} jo@example.org {filler()} Zanzibarian", len("x")) for i in range(6)]
     rows += [(i, filler(), 1) for i in range(6, 60)] + [(60, "Zanzibarian alone", 1), (61, None, None)]
     return spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
 
@@ -161,11 +183,67 @@ def test_words_that_disclose(spark):
     assert all(clean[i].text == texts[i] for i in range(6, 62))
 
 
+def brute_terms(texts):
+    """For each text, the words that disclose one of its entities to GENERALISE bits or less, and whether to REMOVE."""
+    from collections import defaultdict
+    from math import log2
+
+    words = [set(re.findall(r"[^\W_]{4,}", (t or "").lower())) for t in texts]
+    documents, contexts, rows, beside = defaultdict(int), defaultdict(set), defaultdict(set), defaultdict(set)
+    for w in words:
+        for t in w:
+            documents[t] += 1
+    for i, text in enumerate(texts):
+        for kind, a, b in brute_spans(text):
+            before, after = text[max(0, a - pii.CONTEXT - 1) : a], text[b : b + pii.CONTEXT + 1]
+            before = re.sub(r"^[^\W_]+", "", before) if len(before) > pii.CONTEXT else before
+            after = re.sub(r"[^\W_]+$", "", after) if len(after) > pii.CONTEXT else after
+            near = frozenset(re.findall(r"[^\W_]{4,}", (before + " " + after).lower()))
+            for t in near:
+                key = (kind, text[a:b].lower(), t)
+                contexts[key].add(near)
+                rows[key].add(i)
+                beside[i].add(key)
+    bits = lambda k: -log2(len(rows[k]) / documents[k[2]] * len(contexts[k]) / (len(contexts[k]) + pii.PRIOR))
+    out = []
+    for i in range(len(texts)):
+        told = defaultdict(bool)
+        for k in beside[i]:
+            if bits(k) <= pii.GENERALISE:
+                told[k[2]] |= bits(k) <= pii.REMOVE
+        out.append(dict(told))
+    return out
+
+
+def test_terms_of_the_table(spark):
+    """The corpus counts, thresholds and spans of terms against plain Python; the method finds some on this table."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.collect()
+    want = {r.doc_id: t for r, t in zip(rows, brute_terms([r.text for r in rows]))}
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert sum(r.n_term for r in found.values()) > 0
+    for r in rows:
+        base = [(a, b) for _, a, b in brute_spans(r.text)]
+        spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", r.text or "") if m[0].lower() in want[r.doc_id]]
+        spans = [(a, b) for a, b in spans if not any(c < b and a < d for c, d in base)]
+        got = [tuple(map(int, s.split(":")[1:])) for s in found[r.doc_id].spans.split(",") if s.startswith("term:")]
+        assert got == spans
+
+
+def test_an_entity_in_very_many_texts(spark):
+    """A footer's address in all texts, with a word of its own beside it in each: each text loses its own word alone."""
+    rows = [(i, f"Text about nothing by unique{i:03d}x who is at desk@example.org every day") for i in range(60)]
+    rows += [(i, "Text about nothing every day") for i in range(60, 300)]
+    got = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 60").collect()
+    assert {r.text for r in got} == {"Text about nothing by [WORD] who is at [EMAIL] every day"}
+    assert pii.disclosing_terms(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 1").count() == 0
+
+
 @pytest.mark.parametrize("at", ["first", "last", "left edge", "right edge", "cut on the left", "cut on the right"])
 def test_words_at_the_edge_of_a_context(spark, at):
     """The word is the text's first or last one, fills the window's last characters, or is one character beyond them."""
     rng = random.Random(5)
-    filler = lambda n: " ".join(rng.choice("lorem ipsum dolor amet elit tempor magna".split()) for _ in range(40))[:n]
+    filler = lambda n: " ".join(rng.choice("lorem ipsum dolor amet elit tempor magna".split()) for _ in range(40))[:n].rsplit(" ", 1)[0].ljust(n, ".")
     name, room = "Zanzibarian", pii.CONTEXT - len("Zanzibarian") - 1
     make = {
         "first": lambda: f"{name} jo@example.org {filler(120)}",
@@ -182,7 +260,8 @@ def test_words_at_the_edge_of_a_context(spark, at):
 
 def test_sanitised_documents(spark):
     rows = [(1, "call +1 (462) 555-7216 or 4111 1111 1111 1111, 10.0.0.1 x@y.z"), (2, "nothing here"), (3, None), (4, "")]
-    got = [tuple(r) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    others = [(i, "a call as any other") for i in range(5, 9)]  # so that the word is none that only stands beside the entities
+    got = [tuple(r) for r in pii.sanitise(spark.createDataFrame(rows + others, "doc_id long, text string")).where("doc_id < 5").orderBy("doc_id").collect()]
     assert got == [(1, "call [PHONE] or [CARD], [IP] [EMAIL]"), (2, "nothing here"), (3, None), (4, "")]
 
 
@@ -215,15 +294,33 @@ def test_quotations(mails, oracle):
     assert (rows[1, 4].parent_turn, rows[1, 4].n_linked) == (0, 1)
     assert rows[1, 6].parent_turn == 2 and rows[1, 6].own_text == "So."
     assert rows[2, 2].n_linked == 0 and rows[2, 2].parent_turn == 1
-    df = quotes.linked(mails)
+    df = quotes.with_chats(mails)
     assert len(df.collect()) == len(MAILS)
     got = (sorted(df.columns), rows_of(df.columns, df.collect()))
     assert got == oracle(queries.OP8, {"conversations": mails.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})})
 
 
 def test_conversations(mails):
-    chat = {(r.conv_id, r.part): r.chat for r in quotes.formatted(mails.where("conv_id IS NOT NULL")).collect()}
-    assert chat[1, 0].count("<|end|>") == 6 and ">" not in re.sub(r"<\|\w+\|>", "", chat[1, 0]) and chat[2, 0].count("<|assistant|>") == 1
+    chat = {(r.conv_id, r.span, r.piece): r.chat for r in quotes.formatted(mails).collect()}
+    assert chat[1, 0, 0].count("<|end|>") == 6 and ">" not in re.sub(r"<\|\w+\|>", "", chat[1, 0, 0]) and chat[2, 0, 0].count("<|assistant|>") == 2
+    assert {(r.conv_id, r.span, r.piece): r.chat_sha256 for r in quotes.with_chats(mails).collect()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in chat.items()}
+
+
+def test_long_conversations(spark):
+    """Many quoted lines in one message, many turns, many messages in one turn."""
+    rows = [(1, t, "user", f"message {t}") for t in range(150)] + [(2, 0, "user", f"again {i % 90}") for i in range(130)]
+    rows += [(3, 0, "user", "\n".join(f"line {i}" for i in range(5000))), (3, 1, "user", "\n".join(f"{'>' * (1 + i % 2)} line {i}" for i in range(5000)) + "\nreply")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = quotes.formatted(df).collect()
+    sizes = sorted((r.conv_id, r.chat.count("<|end|>")) for r in parts)
+    assert sizes == [(1, 22), (1, 64), (1, 64), (2, 2), (2, 64), (2, 64), (3, 2)]
+    last = quotes.linked(df.where("conv_id = 3")).where("turn = 1").first()
+    assert (last.own_text, last.n_quotes, last.n_linked, last.max_level) == ("reply", 5000, 5000, 2)
+
+
+def test_empty_conversations(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert quotes.with_chats(none).count() == quotes.formatted(none).count() == 0
 
 
 def test_conversations_of_the_table(spark, oracle):
