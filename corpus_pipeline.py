@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densigrid.llm import bagminhash, bpe, decontaminate, pii, quality
-from densigrid.llm.ship import shared_folder, table
+from densigrid.llm.ship import fresh, shared_folder, table
 
 #: A document whose probability of being good text is below this is dropped.
 LEAST_QUALITY = 0.7
@@ -25,7 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     if not model.learned:
         return docs
-    return quality.score(docs, model, docs.columns, "__score").where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
+    score = fresh(docs, "score")
+    return quality.score(docs, model, docs.columns, score).where(F.col(score) >= LEAST_QUALITY).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
