@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from densigrid.llm.ship import map_texts
 
-#: Words and pairs that a Python worker remembers at most, twice over.
-REMEMBERED = 250_000
+#: Words and pairs that a Python worker remembers at most, twice over, and the longest of them: so its memory is bounded, also
+#: where texts have no spaces and each "word" is a whole text.
+REMEMBERED, LONGEST = 250_000, 64
 
 # A cut is safe before a single space with a visible character after it: no match of the pattern crosses it.
 _ODD = re.compile(r" (?:\s|$)")
@@ -32,7 +33,8 @@ _SAFE = re.compile(r" (?=\S)")
 
 
 class Memo(dict):
-    """A dict that fills itself; entries that were not used during a whole generation of ``limit`` entries go."""
+    """A dict that fills itself; entries that were not used during a whole generation of ``limit`` entries go, and texts of
+    more than LONGEST characters are not kept at all."""
 
     def __init__(self, make, limit: int = REMEMBERED):
         super().__init__()
@@ -42,6 +44,8 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if isinstance(key, str) and len(key) > LONGEST:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
