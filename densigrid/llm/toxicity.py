@@ -1,14 +1,19 @@
 """Toxicity by compression distance: how much shorter a text's windows get with a dictionary of toxic text.
 
-Two zstandard dictionaries are made from labelled text: of ordinary text (its frequent words, and those ordinary words
-that would else profit from the other dictionary), and of toxic text (the same, and the spaced word beginnings that
-occur in more toxic documents than ordinary ones, by a factor of LEAST_LIFT and beyond chance: a binomial test, at a false
-discovery rate of FALSE among all beginnings that LEAST toxic documents have).  A window is one spaced word, or two
+Two zstandard dictionaries are made, each from labelled text of its own class.  The ordinary one holds the words most
+frequent in ordinary texts, and those ordinary words that would else profit from the other one.  The toxic one holds the
+words most frequent in toxic texts, and the spaced word beginnings that occur in more toxic documents than ordinary ones,
+by a factor of LEAST_LIFT and beyond chance: a binomial test, at a false discovery rate of FALSE among all beginnings that
+LEAST toxic documents have.  A window is one spaced word, or two
 neighbouring characters of a script that is written without spaces, followed by a constant tail that both dictionaries
 hold, so that even a short window is compressed and not stored.  A window's gain is its length under the ordinary
 dictionary less that under the toxic one; a word of fewer letters than SHORTEST has none.  A text's score is a logistic
-function, fitted on labelled texts, of how many windows, and which share of them, gain 2, 3, 4 and 5 bytes.  A null text
-is an empty one, which has no windows.
+function of how many windows, and which share of them, gain 2, 3, 4 and 5 bytes.  It is fitted on labelled texts that the
+dictionaries behind their figures were not made from: each half of the sample is measured with those of the other half.
+
+A null text is an empty one, which has no windows, and all such texts have one low score; repeated rows and ties have
+equal scores, a text of any length is scored as a whole, and an empty table gives no rows.  Without a labelled text of
+either class nothing is toxic.
 """
 
 from __future__ import annotations
@@ -122,32 +127,53 @@ class Model:
         return work
 
 
+def frequent(words: Counter) -> list[str]:
+    """The most frequent words that fit into BASE_BYTES."""
+    out, size = [], 0
+    for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
+        size += len(w.encode()) + 1
+        if size > BASE_BYTES:
+            break
+        out.append(w)
+    return out
+
+
+def dictionaries(bad: list[Counter], fine: list[Counter]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
+    material = "".join(toxic_material([set(w) for w in bad], [set(w) for w in fine]))
+    often, often_bad = total(fine), total(bad)
+    # What stands last in a dictionary is cheapest to refer to: the most frequent words, and toxic material.
+    spaced = lambda words: " " + " ".join(words) + " "
+    common, toxic = frequent(often)[::-1], (spaced(frequent(often_bad)[::-1]) + material).encode()
+    shielded: list[str] = []
+    for _ in range(ROUNDS):
+        gain = gains(spaced([*shielded, *common]).encode(), toxic)
+        hurt = sorted((-n * (g - 1), w) for w, n in often.items() if often_bad[w] / len(bad) < 4 * n / len(fine) and (g := gain(w)) >= 2)
+        known = set(shielded)
+        shielded += [w for _, w in hurt[:SHIELDED] if w not in known]
+    return spaced([*shielded, *common]).encode(), toxic
+
+
 def fit(docs: DataFrame, labels: DataFrame, m: int = 5, held: int = 0) -> Model:
     """Learn from labelled rows that are not held out, TRAIN_ROWS of each label at most."""
     count = lambda: lambda text: "\n".join(f"{w} {n}" for w, n in Counter(windows(text)).items()).encode()
     counted = lambda made: Counter({w: int(n) for w, n in (x.split() for x in made.decode().splitlines())})
     bad, fine = ([counted(x) for x in labelled_sample(docs, labels, "toxic", value, m, held, TRAIN_ROWS, count)] for value in (1, 0))
+    return learned(bad, fine)
+
+
+def learned(bad: list[Counter], fine: list[Counter]) -> Model:
     if not bad or not fine:
         return Model(b" ", b" ", np.array([*[0.0] * (2 * len(GAINS) + 1), -5.0]))
-    material = "".join(toxic_material([set(w) for w in bad], [set(w) for w in fine])).encode()
-    often, often_bad = total(fine), total(bad)
-    common, size = [], 0
-    for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])):
-        size += len(w.encode()) + 1
-        if size > BASE_BYTES:
-            break
-        common.append(w)
-    shielded: list[str] = []
-    for turn in range(ROUNDS + 1):
-        base = (" " + " ".join([*shielded, *common[::-1]]) + " ").encode()
-        memo = Memo(gains(base, base + material), 1 << 30)
-        if turn < ROUNDS:
-            hurt = sorted(((-n * (memo[w] - 1), w) for w, n in often.items() if memo[w] >= 2 and often_bad[w] / len(bad) < 4 * n / len(fine)))
-            shielded += [w for _, w in hurt[:SHIELDED] if w not in set(shielded)]
-    model = Model(base, base + material, np.zeros(1))
-    x, y = np.array([model.features(d, memo) for d in [*bad, *fine]]), np.concatenate([np.ones(len(bad)), np.zeros(len(fine))])
-    model.weights = logistic(x, y, ridge=0.1)
-    return model
+    x, y = [], []
+    for half in (0, 1) if min(len(bad), len(fine)) > 1 else (None,):
+        made = dictionaries(*(([d for i, d in enumerate(side) if i % 2 != half]) for side in (bad, fine)))
+        model, memo = Model(*made, np.zeros(1)), Memo(gains(*made), 400_000)
+        for label, side in ((1.0, bad), (0.0, fine)):
+            kept = [d for i, d in enumerate(side) if half is None or i % 2 == half]
+            x += [model.features(d, memo) for d in kept]
+            y += [label] * len(kept)
+    return Model(*dictionaries(bad, fine), logistic(np.array(x), np.array(y), ridge=0.1))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
