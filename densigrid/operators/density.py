@@ -114,6 +114,42 @@ def reference_modes(selected: DataFrame, design: DataFrame, selected_goal: Goal,
     )
 
 
+def with_target(modes: DataFrame, target: DataFrame) -> DataFrame:
+    """The modes with what became of the target's rows: ``target`` is the one row of ``occupancy.counters`` for it."""
+    n = F.col("total_rows")
+    rates = target.select(
+        n.alias("target_total_rows"),
+        F.col("invalid_rows").alias("invalid_target_rows"),
+        "out_of_domain_rows",
+        F.col("masked_rows").alias("masked_out_target_rows"),
+        F.when(n > 0, F.col("out_of_domain_rows") / n).otherwise(0.0).alias("out_of_domain_rate"),
+    )
+    return modes.crossJoin(rates)  # of one row each by mode
+
+
+#: The terms whose change a deletion is judged by.
+IMPACT = {"confidence": "confidence", "coverage": "c", "equitability": "e", "specificity": "specificity_score", "mean_rarity": "mean_rarity"}
+
+
+def delete_impact(modes: DataFrame, peers: DataFrame, unique: DataFrame) -> DataFrame:
+    """One row on what the loss of a record would change, from its three modes, its peers and its uniqueness.
+
+    ``all_*`` and ``without_*`` leave the record itself out of its reference, both of them, as it is reported; so the
+    deltas between them are 0 (null while a term is pending).  ``effect_*`` is the change that its rows make: external, without
+    them, less pooled, with them.
+    """
+    of = lambda mode, term: F.max(F.when(F.col("mode") == mode, F.col(term)))
+    ext = {n: of("external", c) for n, c in IMPACT.items()}
+    row = modes.agg(
+        *[v.alias(f"all_{n}") for n, v in ext.items()],
+        *[v.alias(f"without_{n}") for n, v in ext.items()],
+        *[F.round(v - v, 6).alias(f"delta_{n}") for n, v in ext.items()],
+        *[F.round(v - of("pooled", IMPACT[n]), 6).alias(f"effect_{n}") for n, v in ext.items()],
+    )
+    size = peers.agg(F.count("*").alias("peers_all"), F.count("*").alias("peers_without"))
+    return row.crossJoin(size).crossJoin(unique)  # of one row each
+
+
 def reevaluated(rows: DataFrame, goal: Goal, record: str) -> DataFrame:
     """record, specificity_score, max_specificity, unseen_bin_rate, extreme_specificity_rate, valid_rows, reference_rows: every record
     against all others, in one pass over the rows.

@@ -141,12 +141,12 @@ def merged(parts: list[DataFrame], by: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("cnt > 0").groupBy(*by).agg(F.sum("cnt").alias("cnt"))
 
 
-def from_keys(counts: DataFrame, goal: Goal, key: str = "key", cnt: str = "cnt") -> DataFrame:
-    """cell, cnt of a stored map of text keys: keys that are no cell of the grid and counts below one are left out."""
+def from_keys(counts: DataFrame, goal: Goal, key: str = "key", cnt: str = "cnt", by: list[str] | None = None) -> DataFrame:
+    """by..., cell, cnt of a stored map of text keys: keys that are no cell of the grid and counts below one are left out."""
     cell = F.from_json(key, "array<int>", {"mode": "PERMISSIVE"})
     fits = cells.all_of([(F.get("cell", F.lit(k)) >= 0) & (F.get("cell", F.lit(k)) < a.bins) for k, a in enumerate(goal.axes)])
-    rows = counts.select(cell.alias("cell"), F.col(cnt).cast("long").alias("cnt"))
-    return rows.where((F.size("cell") == len(goal.axes)) & fits & (F.col("cnt") > 0)).groupBy("cell").agg(F.sum("cnt").alias("cnt"))
+    rows = counts.select(*(by or []), cell.alias("cell"), F.col(cnt).cast("long").alias("cnt"))
+    return rows.where((F.size("cell") == len(goal.axes)) & fits & (F.col("cnt") > 0)).groupBy(*(by or []), "cell").agg(F.sum("cnt").alias("cnt"))
 
 
 def distribution(counts: DataFrame, goal: Goal, axis: Axis) -> DataFrame:

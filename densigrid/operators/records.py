@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
-from densigrid.operators.occupancy import binned, histogram, indices, vector_values
+from densigrid.operators.occupancy import binned, from_keys, histogram, indices, vector_values
 from densigrid.plans.grid import Goal, axis_key, peer_key
 
 
@@ -64,6 +64,14 @@ def stored_counts(headers: DataFrame, maps: DataFrame, names: list[str]) -> Data
     return maps.where("cnt > 0").join(same.select("record_id"), "record_id", "left_semi").groupBy("key").agg(F.sum("cnt").alias("cnt"))
 
 
+def chosen_counts(observations: DataFrame, stored: DataFrame, goal: Goal, order: list[str]) -> DataFrame:
+    """record_id, cell, cnt: histograms from the vectors of records that have them, on the goal's present grid, and else
+    those that were stored (record_id, key, cnt)."""
+    made = histogram(binned(observations, goal, vector_values(goal, order), ["record_id"]), goal, ["record_id"])
+    old = from_keys(stored.join(observations.select("record_id").distinct(), "record_id", "left_anti"), goal, by=["record_id"])
+    return made.unionByName(old)
+
+
 def peer_counts(headers: DataFrame, observations: DataFrame) -> DataFrame:
     """goal_id, records that have observations."""
     return headers.join(observations.select("record_id").distinct(), "record_id", "left_semi").groupBy("goal_id").agg(F.count_distinct("record_id").alias("peers"))

@@ -8,14 +8,17 @@ Two kinds of rules, as dicts:
 ``{"type": "conditional_range", "if": {"axis", "op", "value"}, "then": {"axis", "min", "max"}}`` masks what meets the
 condition and lies outside min..max.
 
+Rules as a form sends them (``guiSpec`` with ``xAxis``, ``xMin`` and so on) are brought to this shape by ``from_form``.
+
 A box maps axis names to half-open bin ranges; an axis that it lacks is free.  A cell counts as in a range if its centre is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-from densigrid.plans.grid import Axis, Goal, GridError
+from densigrid.plans.grid import Axis, Goal, GridError, rule_axes
 
 #: Fixed tolerances: of bin positions, and of the values of strict comparisons.
 SLACK = 1e-12
@@ -146,3 +149,54 @@ def cached_valid_bins(goal: Goal, cache: dict | None) -> int | None:
     if cache and cache.get("signature") == goal.mask_signature(boxes) and cache.get("total_bins") == goal.total_bins:
         return cache["valid_bins"]
     return None
+
+
+def from_form(rule: dict) -> dict | None:
+    """A rule of a form in the shape of this module; None for kinds that were never certified (they mask nothing)."""
+    spec = rule.get("guiSpec")
+    if not isinstance(spec, dict) or rule.get("editableMode", "gui") != "gui":
+        return None
+    kept = {k: rule[k] for k in ("id", "enabled") if k in rule}
+    name = lambda part, key: str((part or {}).get(key) or "").strip()
+    match spec.get("type", "conditional_range"):
+        case "focused_2d_mask":
+            scope = {str(n).strip(): s for n, s in (spec.get("scope") or {}).items()}
+            return {**kept, "type": "focused_2d_mask", "x": name(spec, "xAxis"), "y": name(spec, "yAxis"), "x_range": (spec.get("xMin"), spec.get("xMax")), "y_range": (spec.get("yMin"), spec.get("yMax")), "scope": scope}
+        case "conditional_range":
+            when, then = spec.get("if") or {}, spec.get("then") or {}
+            return {**kept, "type": "conditional_range", "if": {"axis": name(when, "axis"), "op": name(when, "op"), "value": when.get("value")}, "then": {"axis": name(then, "axis"), "min": then.get("min"), "max": then.get("max")}}
+    return None
+
+
+def number_text(value: object) -> str:
+    return format(finite(value, "a rule's value"), ".12g")
+
+
+def rule_text(rule: dict) -> str:
+    """The rule in the expression language: true for values that it does not mask."""
+    if rule["type"] == "conditional_range":
+        when, then = rule["if"], rule["then"]
+        low, high = map(number_text, ordered((then["min"], then["max"]), "THEN"))
+        return f"not ({when['axis']} {when['op']} {number_text(when['value'])} and ({then['axis']} < {low} or {then['axis']} > {high}))"
+    ranges = [(rule["x"], rule["x_range"]), (rule["y"], rule["y_range"])]
+    ranges += [(n, (s["min"], s["max"])) for n, s in rule.get("scope", {}).items() if s.get("mode", "all") == "range" and n not in (rule["x"], rule["y"])]
+    bounds = [f"{n} {op} {number_text(v)}" for n, pair in ranges for op, v in zip((">=", "<="), ordered(pair, n))]
+    return f"not ({' and '.join(bounds)})"
+
+
+def normalised(rules: list[dict], goal: Goal) -> list[dict]:
+    """Rules that the goal can use, each with id, enabled and text: others are left out, wrong ones are errors.
+
+    A rule without an id is named by its text, so that equal rules have equal ids.
+    """
+    out = []
+    for raw in rules if isinstance(rules, list) else []:
+        rule = from_form(raw) if isinstance(raw, dict) and "guiSpec" in raw else raw
+        if not isinstance(rule, dict) or rule.get("type") not in ("conditional_range", "focused_2d_mask"):
+            continue
+        if missing := rule_axes(rule) - set(goal.names):
+            raise GridError(f"a rule speaks of {', '.join(sorted(missing)) or 'no axis'}, which the goal lacks")
+        rule_boxes(rule, goal)  # its own errors
+        text = rule_text(rule)
+        out.append({**rule, "id": str(rule.get("id") or f"rule_{hashlib.sha1(text.encode()).hexdigest()[:12]}"), "enabled": bool(rule.get("enabled", True)), "text": text})
+    return out

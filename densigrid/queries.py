@@ -15,7 +15,7 @@ from densigrid.functions import cells
 from densigrid.functions.expression import compile_expression
 from densigrid.operators import density, masks, occupancy, projection, records, report
 from densigrid.plans.grid import Goal
-from densigrid.plans.rules import boxes_of, feasible_size
+from densigrid.plans.rules import boxes_of, feasible_size, normalised
 from densigrid.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,19 +357,31 @@ def reference_modes_masked(spark, sf_dir):
     return _three_modes(spark, sf_dir, MASKED)
 
 
-@query(_three_modes_sql(FINE, "WHERE mode = 'pooled'"))
+def _diagnosed(spark, sf_dir, mode: str) -> DataFrame:
+    """One mode on the masked grid, with what became of the target's rows."""
+    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(F.col("record_id") == TARGET))
+    return rounded(density.with_target(_three_modes(spark, sf_dir, MASKED).where(F.col("mode") == mode), target))
+
+
+def _diagnosed_sql(mode: str) -> str:
+    of = lambda status: f"count(*) FILTER (status = '{status}')"
+    return f"""SELECT * FROM ({_three_modes_sql(MASKED, f"WHERE mode = '{mode}'")}) CROSS JOIN (SELECT count(*) AS target_total_rows, {of("invalid")} AS invalid_target_rows, {of("out_of_domain")} AS out_of_domain_rows,
+  {of("masked")} AS masked_out_target_rows, round({of("out_of_domain")} / count(*), 6) AS out_of_domain_rate FROM {sql_cells(MASKED)} WHERE record_id = {TARGET})"""
+
+
+@query(_diagnosed_sql("pooled"))
 def diagnose_pooled(spark, sf_dir):
-    return _three_modes(spark, sf_dir, FINE).where("mode = 'pooled'")
+    return _diagnosed(spark, sf_dir, "pooled")
 
 
-@query(_three_modes_sql(FINE, "WHERE mode = 'internal'"))
+@query(_diagnosed_sql("internal"))
 def diagnose_internal(spark, sf_dir):
-    return _three_modes(spark, sf_dir, FINE).where("mode = 'internal'")
+    return _diagnosed(spark, sf_dir, "internal")
 
 
-@query(_three_modes_sql(FINE, "WHERE mode = 'external'"))
+@query(_diagnosed_sql("external"))
 def diagnose_external(spark, sf_dir):
-    return _three_modes(spark, sf_dir, FINE).where("mode = 'external'")
+    return _diagnosed(spark, sf_dir, "external")
 
 
 @query(f"SELECT 'external' AS mode, 1.0::DOUBLE AS specificity_score, 1.0::DOUBLE AS unseen_bin_rate, round(ln(20000), 6) AS mean_rarity, 0.0::DOUBLE AS confidence, 0::BIGINT AS reference_rows, count(*) AS valid_target_rows FROM {sql_cells(FINE)} WHERE status = 'valid' AND record_id = {TARGET}")
@@ -395,10 +407,32 @@ def out_of_domain_warnings(spark, sf_dir):
     return report.warnings(occupancy.counters(priced(spark, sf_dir, MASKED).where(F.col("record_id") == TARGET)))
 
 
-@query(_three_modes_sql(FINE).replace("SELECT mode, specificity_score", "SELECT mode, CAST(specificity_score AS VARCHAR) AS specificity_text, specificity_score"))
-def export_report_csv(spark, sf_dir):
-    df = _three_modes(spark, sf_dir, FINE)
-    return df.select("*", F.col("specificity_score").cast("string").alias("specificity_text"))
+# The report of a record, from its peers of the goal; its JSON columns are parsed again to compare numbers.
+_REPORT_TIME = "2024-01-01T00:00:00+00:00"
+
+
+def _report(spark, sf_dir) -> DataFrame:
+    mine = F.col("record_id") == TARGET
+    peers = records.global_counts(records.peers(headers(spark, sf_dir), "pricing", PRICING.names, str(TARGET)), observations(spark, sf_dir), MASKED, ORDER)[1]
+    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(mine))
+    means = rounded(occupancy.summary(lines(spark, sf_dir).where(mine), MASKED, values()))
+    return report.report_row(MASKED, _three_modes(spark, sf_dir, MASKED), target, means, peers, feasible_size(MASKED), _REPORT_TIME)
+
+
+_REPORT_PEERS = f"""(SELECT count(DISTINCT record_id) AS eligible, count(*) FILTER (status = 'masked') AS rows_, count(DISTINCT key) FILTER (status = 'masked') AS bins
+  FROM {sql_cells(MASKED)} WHERE record_id <> {TARGET} AND record_id IN (SELECT record_id FROM {SQL_HEADERS} WHERE trim(goal_id) = 'pricing' AND len(keys) = 3))"""
+
+
+@query(f"""SELECT 'pricing_masked' AS goal_id, eligible AS peer_record_count, reference_rows AS reference_observation_count, specificity_score, mean_rarity, confidence, s AS observation_support_S, out_of_domain_rate,
+  masked_out_target_rows, rows_ AS infeasible_peer_rows, bins AS infeasible_peer_bins, {feasible_size(MASKED)['valid_bins']}::BIGINT AS valid_bins, '["discount","price","quantity"]' AS axes,
+  (SELECT round(avg(l_discount), 6) FROM lineitem WHERE l_suppkey = {TARGET}) AS mean_discount, 3 AS modes, 55 AS fields FROM ({_diagnosed_sql("external")}) CROSS JOIN {_REPORT_PEERS}""")
+def export_report(spark, sf_dir):
+    row = _report(spark, sf_dir)
+    return row.select(
+        "goal_id", "peer_record_count", "reference_observation_count", "specificity_score", "mean_rarity", "confidence", "observation_support_S", F.round("out_of_domain_rate", 6).alias("out_of_domain_rate"),
+        "masked_out_target_rows", "infeasible_peer_rows", "infeasible_peer_bins", "valid_bins", F.replace("axis_names", F.lit(" "), F.lit("")).alias("axes"),
+        F.from_json("target_vector", "array<double>")[0].alias("mean_discount"), F.size(F.from_json("reference_modes", "array<struct<mode:string>>")).alias("modes"), F.lit(len(row.columns)).alias("fields"),
+    )
 
 
 # Projections
@@ -510,6 +544,24 @@ def global_counts_stored(spark, sf_dir):
     return records.stored_counts(headers(spark, sf_dir), maps, ["Quantity", "price", "discount"])
 
 
+_HALF = "record_id % 2 = 0"
+
+
+@query(f"SELECT record_id, key, count(*) AS cnt FROM {sql_cells(FINE)} WHERE status = 'valid' AND {_HALF} GROUP BY ALL UNION ALL SELECT record_id, key, 2 * count(*) FROM {sql_cells(PRICING)} WHERE status = 'valid' AND NOT {_HALF} GROUP BY ALL")
+def stored_or_rebinned_counts(spark, sf_dir):
+    """All records: every other one has vectors, the others only their stored histogram (with counts that tell them apart)."""
+    maps = keyed(occupancy.histogram(priced(spark, sf_dir), PRICING, ["record_id"])).withColumn("cnt", 2 * F.col("cnt"))
+    return keyed(records.chosen_counts(observations(spark, sf_dir).where(_HALF), maps, FINE, ORDER))
+
+
+@query(f"SELECT count(*) AS masked_bins FROM {_GRID} WHERE {_IN_BOX}")
+def rule_text_masked_bins(spark, sf_dir):
+    """Cells that the rules' text masks: the same as their boxes."""
+    centres = _centre_columns(MASKED)
+    free = cells.all_of([compile_expression(r["text"], centres) for r in normalised(list(MASKED.rules), MASKED)])
+    return masks.every_cell(spark, MASKED).where(~free).agg(F.count("*").alias("masked_bins"))
+
+
 @query(f"SELECT 'discount' AS axis, 10 AS total_bins, count(DISTINCT b0) AS occupied_bins FROM {_PEER_CELLS} WHERE status = 'valid' UNION ALL SELECT 'price', 10, count(DISTINCT b1) FROM {_PEER_CELLS} WHERE status = 'valid' UNION ALL SELECT 'quantity', 10, count(DISTINCT b2) FROM {_PEER_CELLS} WHERE status = 'valid' UNION ALL SELECT '*', 1000, count(DISTINCT key) FROM {_PEER_CELLS} WHERE status = 'valid'")
 def goal_bin_preview(spark, sf_dir):
     counts = _peer_density(spark, sf_dir)[0]
@@ -579,11 +631,15 @@ def reevaluate_all(spark, sf_dir):
     return rounded(density.reevaluated(priced(spark, sf_dir), PRICING, "record_id"))
 
 
-@query(f"WITH loo AS ({_LOO}) SELECT record_id, specificity_score AS without_score, 0.0::DOUBLE AS delta_specificity FROM loo WHERE record_id = {TARGET}")
+_TERMS = {"confidence": "confidence", "coverage": "c", "equitability": "e", "specificity": "specificity_score", "mean_rarity": "mean_rarity"}
+
+
+@query(f"""WITH m AS ({_three_modes_sql(FINE)}), x AS (SELECT * FROM m WHERE mode = 'external'), p AS (SELECT * FROM m WHERE mode = 'pooled'), n AS (SELECT count(*) AS peers FROM {SQL_HEADERS} WHERE {_PEER} AND record_id <> {TARGET})
+SELECT {", ".join(f"x.{c} AS all_{t}, x.{c} AS without_{t}, 0.0::DOUBLE AS delta_{t}, round(x.{c} - p.{c}, 6) AS effect_{t}" for t, c in _TERMS.items())}, peers AS peers_all, peers AS peers_without, bin_uniqueness
+FROM x CROSS JOIN p CROSS JOIN n CROSS JOIN ({SQL["bin_uniqueness"]})""")
 def delete_impact(spark, sf_dir):
-    """What stays without the record, and the change against what is reported for it; both leave the record out."""
-    loo = reevaluate_all(spark, sf_dir).where(F.col("record_id") == TARGET)
-    return loo.select("record_id", F.col("specificity_score").alias("without_score"), F.round(F.col("specificity_score") - F.col("specificity_score"), 6).alias("delta_specificity"))
+    peers = records.peers(headers(spark, sf_dir), "pricing", PRICING.names, str(TARGET))
+    return density.delete_impact(_three_modes(spark, sf_dir, FINE), peers, bin_uniqueness(spark, sf_dir))
 
 
 @query(f"SELECT record_id FROM {SQL_HEADERS} WHERE record_id <> {TARGET}")

@@ -17,8 +17,8 @@ def holds(spark, text, **values):
 @pytest.mark.parametrize(
     "text,values,want",
     [
-        ("pressure <= 0.05 * temperature ** 2", {"temperature": 10, "pressure": 5}, True),
-        ("pressure <= 0.05 * temperature ** 2", {"temperature": 1, "pressure": 5}, False),
+        ("salt < 3 + 0.5 * depth ** 2", {"depth": 4, "salt": 10}, True),
+        ("salt < 3 + 0.5 * depth ** 2", {"depth": 2, "salt": 10}, False),
         ("1 < x <= 3", {"x": 3}, True),
         ("x % -3 == -2", {"x": 7}, True),
         ("x / 0 > 1e308", {"x": 1}, True),
@@ -87,6 +87,22 @@ def test_reports(spark, tmp_path):
         write_report(df, str(tmp_path / "x"), "pdf")
 
 
+def test_flat_report(spark, tmp_path):
+    """The row of all fixed columns, written as csv and read back."""
+    from conftest import DATA
+
+    from densigrid import queries
+    from densigrid.operators.report import REPORT_FIELDS
+
+    row = queries._report(spark, DATA)
+    assert row.columns == list(REPORT_FIELDS) and len(set(REPORT_FIELDS)) == 55
+    write_report(row, str(tmp_path / "r"), "csv")
+    (back,) = spark.read.options(header=True, escape='"').csv(str(tmp_path / "r")).collect()
+    first = row.first()
+    assert list(back.asDict()) == list(REPORT_FIELDS)
+    assert float(back.specificity_score) == first.specificity_score and back.confidence_reasons == first.confidence_reasons and back.reference_modes == first.reference_modes
+
+
 def test_streams(spark, tmp_path):
     from densigrid.functions.cells import finite
     from densigrid.streaming.histogram import stream_histogram, windowed_histogram

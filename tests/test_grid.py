@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from densigrid.plans.grid import Axis, Goal, GridError, peer_key, subset_key
+from densigrid.plans import rules
 from densigrid.plans.rules import boxes_of, cached_valid_bins, centre_range, condition_ranges, feasible_size, union_size
 
 X, Y = Axis("x", 0.0, 10.0, 1.0), Axis("y", 0.0, 10.0, 1.0)
@@ -61,19 +62,19 @@ def test_large_grid_is_not_visited():
 
 
 def test_scope_and_third_axis():
-    axes = (Axis("temperature", 0.0, 100.0, 10.0), Axis("pressure", 0.0, 10.0, 1.0), Axis("time", 0.0, 10.0, 1.0))
-    rule = {"type": "focused_2d_mask", "x": "temperature", "y": "pressure", "x_range": (80, 100), "y_range": (0, 2), "scope": {"time": {"mode": "all"}}}
-    assert feasible_size(Goal("g", axes, rules=(rule,)))["masked_bins"] == 40
-    narrow = {**rule, "scope": {"time": {"mode": "range", "min": 0, "max": 5}}}
-    assert feasible_size(Goal("g", axes, rules=(narrow,)))["masked_bins"] == 20
+    axes = (Axis("depth", 0.0, 60.0, 5.0), Axis("salt", 0.0, 8.0, 2.0), Axis("hour", 0.0, 24.0, 4.0))
+    rule = {"type": "focused_2d_mask", "x": "depth", "y": "salt", "x_range": (30, 60), "y_range": (0, 4), "scope": {"hour": {"mode": "all"}}}
+    assert feasible_size(Goal("g", axes, rules=(rule,)))["masked_bins"] == 6 * 2 * 6
+    narrow = {**rule, "scope": {"hour": {"mode": "range", "min": 0, "max": 8}}}
+    assert feasible_size(Goal("g", axes, rules=(narrow,)))["masked_bins"] == 6 * 2 * 2
     with pytest.raises(GridError):
         boxes_of(Goal("g", axes, rules=({**rule, "scope": {"nope": {"mode": "all"}}},)))
 
 
 def test_conditional_rule_masks_what_is_outside():
-    axes = (Axis("pressure", 0.0, 10.0, 1.0), Axis("temperature", 0.0, 100.0, 10.0))
-    rule = {"type": "conditional_range", "if": {"axis": "temperature", "op": ">", "value": 80}, "then": {"axis": "pressure", "min": 2, "max": 5}}
-    assert feasible_size(Goal("g", axes, rules=(rule,)))["masked_bins"] == 2 * (2 + 5)
+    axes = (Axis("depth", 0.0, 60.0, 5.0), Axis("salt", 0.0, 8.0, 1.0))
+    rule = {"type": "conditional_range", "if": {"axis": "depth", "op": ">", "value": 45}, "then": {"axis": "salt", "min": 1, "max": 6}}
+    assert feasible_size(Goal("g", axes, rules=(rule,)))["masked_bins"] == 3 * (1 + 2)
     assert feasible_size(Goal("g", axes, rules=({**rule, "enabled": False},)))["masked_bins"] == 0
 
 
@@ -115,3 +116,16 @@ def test_union_query(spark):
     boxes = [{n: tuple(sorted((rng.randint(0, 9), rng.randint(0, 9)))) for n in "ab"} for _ in range(5)]
     assert by_query(spark, goal, boxes).first().masked_bins == union_size(goal, boxes)
     assert by_query(spark, goal, []).first().masked_bins == 0
+
+
+def test_rules_of_a_form():
+    goal = Goal("g", (Axis("Heat", 0.0, 90.0, 10.0), Axis("Load", 0.0, 7.0, 0.5), Axis("Wind", 0.0, 30.0, 3.0)))
+    when = {"editableMode": "gui", "guiSpec": {"type": "conditional_range", "if": {"axis": "Heat", "op": ">=", "value": "55"}, "then": {"axis": "Load", "min": 1, "max": 3.25}}}
+    box = {"id": "mine", "enabled": 0, "guiSpec": {"type": "focused_2d_mask", "xAxis": " Heat", "yAxis": "Wind", "xMin": 10, "xMax": 20, "yMin": 0.1, "yMax": 9, "scope": {"Load": {"mode": "range", "min": 1, "max": 2}, "Heat": {"mode": "all"}}}}
+    a, b = rules.normalised([when, box, {"guiSpec": None}, "x", {"guiSpec": {"type": "polygon"}}, {**when, "editableMode": "text"}], goal)
+    assert a["text"] == "not (Heat >= 55 and (Load < 1 or Load > 3.25))" and a["enabled"] and a["id"].startswith("rule_") and len(a["id"]) == 17
+    assert b["text"] == "not (Heat >= 10 and Heat <= 20 and Wind >= 0.1 and Wind <= 9 and Load >= 1 and Load <= 2)" and b["id"] == "mine" and not b["enabled"]
+    assert rules.normalised([when], goal)[0]["id"] == a["id"] and rules.normalised(None, goal) == []
+    for wrong in ({"guiSpec": {"type": "conditional_range", "if": {"axis": "Rain", "op": ">", "value": 1}, "then": {"axis": "Load", "min": 1, "max": 2}}}, {"guiSpec": {**when["guiSpec"], "then": {"axis": "Load", "min": 3, "max": 2}}}, {"guiSpec": {**box["guiSpec"], "xMin": "wide"}}):
+        with pytest.raises(GridError):
+            rules.normalised([wrong], goal)
