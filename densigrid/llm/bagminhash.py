@@ -331,7 +331,9 @@ def blocks_of(met: DataFrame) -> DataFrame:
     apart = met.select("leader", "id", "words", (1 - F.col("similar")).alias("d"), (F.col("similar") < SIMILAR).alias("stray"))
     stray = F.col("stray")
     groups = apart.groupBy("leader").agg(F.count("*").alias("n"), F.sum("words").alias("all_words"), F.min(F.when(stray, F.col("d"))).alias("nearest")).where("nearest IS NOT NULL")
-    rows = apart.join(by_merge(groups.select(link_key("leader").alias("k"), "n", "all_words", "nearest")), F.col("leader") == F.col("k")).drop("k").where(F.col("d") >= F.col("nearest") - NEAR)
+    # Both sides by another expression than what is grouped next, so the parts of a large group can be split.
+    found = apart.withColumn("l", link_key("leader")).join(by_merge(groups.select(link_key("leader").alias("k"), "n", "all_words", "nearest")), F.col("l") == F.col("k"))
+    rows = found.where(F.col("d") >= F.col("nearest") - NEAR).drop("k", "l")
     few = (F.col("n") <= BLOCK_ROWS) & (F.col("all_words") <= BLOCK_WORDS)
     zero = F.lit(0)
     one = rows.where(few).select("leader", F.lit(-1).alias("cell"), zero.alias("tb"), zero.alias("qb"), F.when(stray, 3).otherwise(1).alias("role"), "id")

@@ -28,6 +28,9 @@ BLOCK = 512
 #: Tokens after which a shard is closed (a document is never split).
 SHARD_TOKENS = 250_000
 
+#: Characters of a text by which rows of one id are parted.
+HEAD = 64
+
 SHARDS = "part int, shard int, part_start long, doc_ids array<long>, lengths array<long>, n_tokens long, codes binary"
 
 
@@ -175,8 +178,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
         if ids:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SHARDS).write.mode("overwrite").parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("head", F.substring("text", 1, HEAD))
+    # Rows of one id, or of none, can be very many: they are parted by how their texts begin.
+    ordered = rows.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, SHARDS).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
@@ -202,18 +207,28 @@ def read_tokens(shards: DataFrame) -> DataFrame:
 
 
 def tokens_at(shards: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, place -> the id at that place of the document (null outside it), without decoding what is before it."""
+    """doc_id, place, id: the ids at wanted places of documents (null outside them), without decoding what is before them.
+
+    Places are looked up by document first, and go to their shard together (at most as many as it has documents and tokens,
+    as a repeated wish counts once); so a shard's codes move once.
+    """
     ship(shards.sparkSession)
-    wanted = shards.select("*", F.posexplode("doc_ids").alias("i", "doc_id")).join(places.select("doc_id", "place"), "doc_id")
+    where = shards.select("part", "shard", F.posexplode("doc_ids").alias("i", "doc_id")).join(places.select("doc_id", F.col("place").cast("long").alias("place")), "doc_id")
+    asked = where.groupBy("part", "shard").agg(F.collect_set(F.struct("i", "place")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            ids = [int(Codes(r["codes"]).at(np.array([r["at"] + r["place"]]))[0]) if 0 <= r["place"] < r["n"] else None for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(ids, pa.int64())], names=["doc_id", "place", "id"])
-
-    at = F.aggregate(F.slice("lengths", 1, F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return wanted.select("doc_id", F.col("place").cast("long").alias("place"), at.alias("at"), F.get("lengths", F.col("i")).alias("n"), "codes").mapInArrow(run, "doc_id long, place long, id long")
+            for row in batch.to_pylist():
+                lengths = np.array(row["lengths"], np.int64)
+                starts = np.cumsum(lengths) - lengths
+                i, place = (np.array([x[n] for x in row["asked"]], np.int64) for n in ("i", "place"))
+                inside = (place >= 0) & (place < lengths[i])
+                ids = np.zeros(len(i), np.int64)
+                ids[inside] = Codes(row["codes"]).at(starts[i[inside]] + place[inside])
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in i], pa.int64()), pa.array(place), pa.array(ids, mask=~inside)], names=["doc_id", "place", "id"])
+
+    rows = shards.select("part", "shard", "doc_ids", "lengths", "codes").join(asked, ["part", "shard"])
+    return rows.mapInArrow(run, "doc_id long, place long, id long")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
