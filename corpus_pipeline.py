@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densigrid.llm import bagminhash, bpe, decontaminate, pii, quality
-from densigrid.llm.ship import fresh, shared_folder, table
+from densigrid.llm.ship import fresh, removed, shared_folder, table
 
 #: A document whose probability of being good text is below this is dropped.
 LEAST_QUALITY = 0.7
@@ -64,8 +64,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:  # read by the stage that is written now, and by nothing else
+            removed(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
