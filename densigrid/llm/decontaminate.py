@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.llm.ship import cut, fresh, small
+from densigrid.llm.ship import cut, fresh, small, text_id
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -71,7 +71,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def text_hash() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
+    return text_id(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densigrid.llm.ship import cut, let, quoted, small
+from densigrid.llm.ship import cut, let, quoted, small, text_id
 
 #: Fixed patterns.  In front of two of them stands a guard that only skips starts inside a run of the pattern's first
 #: characters, where no leftmost match can start; possessive loops keep the matcher's stack flat.  Neither changes a match.
@@ -105,7 +105,7 @@ def base_spans(kind: str, text: Column) -> Column:
 def scanned(docs: DataFrame, *others: str) -> DataFrame:
     """Columns ``others``, the text (null: empty), its hash, and the base spans of each kind."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*others, text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    rows = docs.select(*others, text.alias("text"), text_id(text).alias("text_hash"))
     return rows.select("*", *[base_spans(k, F.col("text")).alias(k) for k in BASE])
 
 

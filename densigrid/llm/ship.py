@@ -47,6 +47,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def text_id(text: Column) -> Column:
+    """128 bits that stand for a text: so many that no two texts of any corpus are taken for one by chance."""
+    return F.unhex(F.md5(F.encode(text, "UTF-8")))
+
+
 def quoted(name: str) -> str:
     """A column's name as Spark's expressions take it, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
