@@ -9,6 +9,9 @@ after the other.
 restart markers, and Huffman-decodes the intervals of all images of a batch in step with one another, a symbol of each at
 a time.  It gives the dimensions and the DC-only luminance thumbnail.  The thumbnail's hash tells for each cell of an
 8 x 8 grid whether it is lighter than the mean.
+
+A null text is an empty one, which has one payload unit of bytes 255.  Equal texts, and so repeated rows, have equal
+values, long texts go on in further images, and an empty table gives no rows.
 """
 
 from __future__ import annotations

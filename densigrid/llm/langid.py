@@ -6,7 +6,9 @@ of class scores for each bucket, and a text's scores are a mean over those.
 
 ``lang_pred`` is the likeliest language, ``und`` for a null text or one without letters (score 0).  ``score`` is its
 probability after temperature scaling on rows kept from training; ``rejected`` marks scores below the least threshold at
-which the accepted rows kept from training are right in at least ACCEPTED_RIGHT of cases.
+which the accepted rows kept from training are right in at least ACCEPTED_RIGHT of cases.  Of equally likely languages the
+first by name is given.  Texts of any length count as a whole, repeated rows get equal results, an empty table gives no
+rows, and without a language to learn every text is ``und``.
 """
 
 from __future__ import annotations

@@ -6,10 +6,12 @@ rows that may be learned from) the risk is
     pi * E_P[loss(+)]  +  max(0, E_U[loss(-)] - pi * E_P[loss(-)])
 
 and where the second term would fall below zero, a step is taken against it, as non-negative PU learning asks.  The loss
-is logistic.  The score is then mapped to a probability by a logistic fit on labelled rows that may be learned from.
+is logistic.  The prior is estimated by the share of label 1 among those labels, as they are there; labels 0 are used for
+it, and for the last step alone: the score is mapped to a probability by a logistic fit on rows of both labels.
 
 A text's features: shares of hashed word shapes (letter runs by case, digits, marks as they are) and eight figures on
-marks, case, repetition and word length, of the whole text.  An empty or null text has all features zero.
+marks, case, repetition and word length, of the whole text, however long.  An empty or null text has all features zero, so all of
+them have one score; repeated rows and ties have equal scores, and an empty table gives no rows.
 """
 
 from __future__ import annotations

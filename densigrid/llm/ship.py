@@ -133,11 +133,15 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
     return source.mapInArrow(run, schema)
 
 
-#: Rows up to which a materialised list of keys is broadcast; beyond it, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes in columns of no fixed width, up to which a materialised list of keys is broadcast; beyond it, both sides
+#: are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A materialised narrow table, marked for broadcast only if its counted size is within the bound."""
+    """A materialised narrow table, marked for broadcast only if its counted size is within the bounds."""
     kept = cut(df)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    wide = [F.col(quoted(n)) for n, t in kept.dtypes if t in ("string", "binary") or "<" in t]
+    size = F.sum(F.octet_length(F.to_json(F.struct(*wide)))) if wide else F.lit(0)
+    rows, used = kept.agg(F.count("*"), size).first()
+    return F.broadcast(kept) if rows <= BROADCAST_ROWS and (used or 0) <= BROADCAST_BYTES else kept

@@ -132,6 +132,31 @@ def test_contamination_of_odd_rows(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(df, items.limit(0)).collect())
 
 
+def test_partitions_of_items(spark):
+    """Items of many sizes, in documents that hold about 0.8 of them and less, against exact containment."""
+    rng, items, docs = random.Random(6), [], []
+    for i, n in enumerate([6, 9, 14, 20, 40, 90, 200, 500, 1100, 2500]):
+        words = [f"i{i}w{k}" for k in range(n)]
+        items.append((i, " ".join(words)))
+        for share in (1.0, 0.85, 0.8, 0.75, 0.5):
+            for _ in range(4):
+                a = rng.randrange(n - int(share * n) + 1)
+                docs.append((len(docs), " ".join([*(f"d{len(docs)}x{k}" for k in range(300)), *words[a : a + int(share * n)], "end"])))
+    runs = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    item_runs = {i: runs(t) for i, t in items}
+    want = {(d, str(i)) for d, t in docs for has in [runs(t)] for i, s in item_runs.items() if len(s & has) >= 0.8 * len(s)}
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where("contaminated").collect()
+    assert {(r.doc_id, r.item_ids) for r in got} == want and 60 < len(want) < 160
+
+
+def test_parameters_of_partitions():
+    for m in range(1, 60):
+        h = decontaminate.least_hits(m)
+        below = sum(decontaminate.comb(m, k) * 0.8**k * 0.2 ** (m - k) for k in range(h))
+        assert h == 1 or below <= decontaminate.MISS
+    assert [decontaminate.lookups(k) for k in (4, 10, 99)] == [18, 30, 50]
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
