@@ -82,6 +82,24 @@ def reordered(vector: Column, have: list[str], want: list[str]) -> Column:
     return F.when(good, F.array(*[F.get(vector, F.lit(p)) for p in places]))
 
 
+def optional_floats(cells: Column, n: int, default: float = 0.0) -> Column:
+    """An array of text or numbers as finite doubles; the default for each where there are not n of them, or one is no number."""
+    values = F.transform(cells, lambda x: parsed(x.cast("string")))
+    fits = F.coalesce((F.size(cells) == n) & F.forall(values, lambda x: x.isNotNull()), F.lit(False))
+    return F.when(fits, values).otherwise(F.array(*[F.lit(float(default))] * n))
+
+
+def tuple_of(parts: Column, n: int) -> Column:
+    """An array of text as n bin indices; null where it has another length, or a part is no integer of 0 or more."""
+    values = F.transform(parts, lambda x: x.cast("string").try_cast("int"))
+    return F.when((F.size(parts) == n) & F.forall(values, lambda x: x.isNotNull() & (x >= 0)), values)
+
+
+def delta(new: Column, old: Column) -> Column:
+    """Change to six digits; null where either side is pending."""
+    return F.round(new - old, 6)
+
+
 def axis_key(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
 

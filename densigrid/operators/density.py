@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.functions.cells import delta
 from densigrid.operators.occupancy import histogram, in_grid, indices, unmasked
 from densigrid.plans.grid import Goal, GridError
 
@@ -143,8 +144,8 @@ def delete_impact(modes: DataFrame, peers: DataFrame, unique: DataFrame) -> Data
     row = modes.agg(
         *[v.alias(f"all_{n}") for n, v in ext.items()],
         *[v.alias(f"without_{n}") for n, v in ext.items()],
-        *[F.round(v - v, 6).alias(f"delta_{n}") for n, v in ext.items()],
-        *[F.round(v - of("pooled", IMPACT[n]), 6).alias(f"effect_{n}") for n, v in ext.items()],
+        *[delta(v, v).alias(f"delta_{n}") for n, v in ext.items()],
+        *[delta(v, of("pooled", IMPACT[n])).alias(f"effect_{n}") for n, v in ext.items()],
     )
     size = peers.agg(F.count("*").alias("peers_all"), F.count("*").alias("peers_without"))
     return row.crossJoin(size).crossJoin(unique)  # of one row each

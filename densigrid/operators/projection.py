@@ -43,6 +43,15 @@ def projected(counts: DataFrame, goal: Goal, by: list[str] | None = None, most:
     return counts.select(*by, F.explode(each).alias("p"), "cnt").groupBy(*by, "p.x_axis", "p.y_axis", "p.x_bin", "p.y_bin").agg(F.sum("cnt").alias("cnt"))
 
 
+def pair_summaries(counts: DataFrame, goal: Goal, most: int = MOST_PAIRS) -> DataFrame:
+    """x_axis, y_axis, fields, skipped, max_cnt of every pair: which ones ``projected`` leaves out for their size, and the fullest
+    field of the others (0 where there is none)."""
+    bins = {a.name: a.bins for a in goal.axes}
+    every = counts.sparkSession.createDataFrame([(x, y, bins[x] * bins[y], skipped(goal, x, y)) for x, y in pairs(goal, most)], "x_axis string, y_axis string, fields long, skipped boolean")
+    fullest = projected(counts, goal, most=most).groupBy("x_axis", "y_axis").agg(F.max("cnt").alias("max_cnt"))
+    return every.join(fullest, ["x_axis", "y_axis"], "left").withColumn("max_cnt", F.coalesce("max_cnt", F.lit(0)).cast("long"))
+
+
 def selected(rows: DataFrame, goal: Goal, x: str, y: str, x_bin: int, y_bin: int) -> DataFrame:
     """Rows whose cell is in one field of a projection."""
     return rows.where((F.get("cell", F.lit(place(goal, x))) == x_bin) & (F.get("cell", F.lit(place(goal, y))) == y_bin))

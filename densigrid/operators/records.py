@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
-from densigrid.operators.occupancy import binned, from_keys, histogram, indices, vector_values
+from densigrid.operators.occupancy import binned, counters, from_keys, histogram, indices, summary, vector_values
 from densigrid.plans.grid import Goal, axis_key, peer_key
 
 
@@ -131,6 +131,21 @@ def rebuilt(observations: DataFrame, goal: Goal, order: list[str]) -> DataFrame:
     return stats.join(hashes, "record_id", "left").withColumn("grid_signature", F.lit(goal.signature()))
 
 
+def built(rows: DataFrame, goal: Goal, values: dict[str, Column], by: str = "record_id") -> DataFrame:
+    """What is saved of each dataset: counters by status, means, variances and deviations of each axis, hash of the histogram,
+    signature of the grid, and axis names; datasets without a fully numeric row have null statistics."""
+    placed = binned(rows, goal, values, [by])
+    record = counters(placed, [by]).join(summary(rows, goal, values, [by]), by, "left").join(occupancy_hash(histogram(placed, goal, [by]), [by]), by, "left")
+    return record.withColumns({"axis_names": F.array(*[F.lit(n) for n in goal.names]), "grid_signature": F.lit(goal.signature())})
+
+
+def mean_vectors(headers: DataFrame, observations: DataFrame, goal: Goal, order: list[str]) -> DataFrame:
+    """record_id, means (array in the goal's order of axes) of the given records that have observations."""
+    values = vector_values(goal, order)
+    means = [F.avg(values[n]) for n in goal.names]
+    return observations.join(headers.select("record_id"), "record_id", "left_semi").groupBy("record_id").agg(F.array(*means).alias("means"))
+
+
 def previous(logs: DataFrame) -> DataFrame:
     """Each log entry of a session with its number, and the axes before it: its own, else those after the entry before, else the goal's."""
     w = Window.partitionBy("session_id").orderBy("created_at", "log_id")

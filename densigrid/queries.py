@@ -455,6 +455,14 @@ def projection_all_pairs(spark, sf_dir):
     return projection.projected(occupancy.histogram(priced(spark, sf_dir), PRICING), PRICING)
 
 
+_WIDE = PRICING.with_axes([{"name": "price", "step": 0.5}])
+
+
+@query(f"SELECT 'discount' AS x_axis, 'price' AS y_axis, 2000000::BIGINT AS fields, TRUE AS skipped, 0::BIGINT AS max_cnt UNION ALL SELECT 'price', 'quantity', 2000000, TRUE, 0 UNION ALL SELECT 'discount', 'quantity', 100, FALSE, max(n) FROM (SELECT count(*) AS n FROM {sql_cells(_WIDE)} WHERE status = 'valid' GROUP BY b0, b2)")
+def projection_summaries(spark, sf_dir):
+    return projection.pair_summaries(occupancy.histogram(priced(spark, sf_dir, _WIDE), _WIDE), _WIDE)
+
+
 @query(f"SELECT key, count(*) AS cnt FROM {sql_cells(PRICING)} WHERE status = 'valid' AND record_id = {TARGET} AND b0 = 3 AND b2 = 4 GROUP BY 1")
 def projection_selection(spark, sf_dir):
     rows = priced(spark, sf_dir).where((F.col("record_id") == TARGET) & (F.col("status") == "valid"))
@@ -652,11 +660,37 @@ def record_summaries(spark, sf_dir):
     return headers(spark, sf_dir).select("record_id", F.trim("goal_id").alias("goal_id"), F.size("axis_names").cast("long").alias("n_axes"), F.col("grid_signature").isNotNull().alias("has_grid"))
 
 
-@query(f"SELECT record_id, count(*) AS row_count, count(*) FILTER (status = 'valid') AS valid_rows, round(avg(v1), 6) AS mean_price FROM {sql_cells(PRICING)} GROUP BY 1")
+_BUILT = ", ".join(f"round(avg(v{k}), 6) AS mean_{n}, round(coalesce(var_samp(v{k}), 0), 4) AS var_{n}, round(coalesce(stddev_samp(v{k}), 0), 6) AS std_{n}" for k, n in enumerate(PRICING.names))
+
+
+@query(f"SELECT r.*, occupancy_hash, 'discount|price|quantity' AS axes, '{PRICING.signature()}' AS grid_signature FROM (SELECT record_id, {_COUNTERS}, count(*) AS row_count, {_BUILT} FROM {sql_cells(PRICING)} GROUP BY 1) r LEFT JOIN {_HASHES} USING (record_id)")
 def make_record(spark, sf_dir):
-    meta = occupancy.counters(priced(spark, sf_dir), ["record_id"]).select("record_id", F.col("total_rows").alias("row_count"), "valid_rows")
-    stats = occupancy.summary(lines(spark, sf_dir), PRICING, values(), ["record_id"]).select("record_id", F.round("mean_price", 6).alias("mean_price"))
-    return meta.join(stats, "record_id")
+    out = records.built(lines(spark, sf_dir), PRICING, values())
+    out = out.withColumn("axes", F.array_join("axis_names", "|")).drop("axis_names")
+    return out.select(*[F.round(n, 4 if n.startswith("var") else 6).alias(n) if t == "double" else F.col(n) for n, t in out.dtypes])
+
+
+@query(f"SELECT l_suppkey AS record_id, round(avg(l_discount), 6) AS mean_discount, round(avg(l_extendedprice), 6) AS mean_price, round(avg(l_quantity), 6) AS mean_quantity FROM lineitem WHERE l_suppkey IN (SELECT record_id FROM {SQL_HEADERS} WHERE {_PEER}) GROUP BY 1")
+def peer_mean_vectors(spark, sf_dir):
+    got = records.mean_vectors(records.peers(headers(spark, sf_dir), "pricing", PRICING.names), observations(spark, sf_dir), PRICING, ORDER)
+    return got.select("record_id", *[F.round(F.col("means")[k], 6).alias(f"mean_{n}") for k, n in enumerate(PRICING.names)])
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (2, 3) THEN 0.0::DOUBLE ELSE l_quantity END AS a, CASE WHEN l_linenumber IN (2, 3) THEN 0.0::DOUBLE ELSE l_discount END AS b FROM lineitem""")
+def optional_vectors(spark, sf_dir):
+    """One part is no number where l_linenumber is 2, one is missing where it is 3."""
+    q, d = F.col("l_quantity").cast("string"), F.col("l_discount").cast("string")
+    parts = F.when(F.col("l_linenumber") == 2, F.array(q, F.lit("n/a"))).when(F.col("l_linenumber") == 3, F.array(q)).otherwise(F.array(q, d))
+    got = lines(spark, sf_dir).select("l_orderkey", "l_linenumber", cells.optional_floats(parts, 2).alias("v"))
+    return got.select("l_orderkey", "l_linenumber", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+
+
+@query("SELECT l_linenumber - 2 AS x, CAST(floor(l_quantity / 10) AS INTEGER) AS y, count(*) AS cnt FROM lineitem WHERE l_linenumber NOT IN (1, 4) GROUP BY ALL")
+def sanitize_tuples(spark, sf_dir):
+    """Tuples as text: the first part is negative where l_linenumber is 1, the second no number where it is 4."""
+    q = F.when(F.col("l_linenumber") == 4, "x").otherwise(F.floor(F.col("l_quantity") / 10).cast("int").cast("string"))
+    got = lines(spark, sf_dir).select(cells.tuple_of(F.array((F.col("l_linenumber") - 2).cast("string"), q), 2).alias("t")).where("t IS NOT NULL")
+    return got.groupBy(F.col("t")[0].alias("x"), F.col("t")[1].alias("y")).agg(F.count("*").alias("cnt"))
 
 
 @query("SELECT * FROM (VALUES ('discount', 0.0::DOUBLE, 0.1::DOUBLE, 0.02::DOUBLE), ('price', 0.0, 200000.0, 10000.0), ('quantity', 0.0, 50.0, 5.0)) t(axis, low, high, step)")

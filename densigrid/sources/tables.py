@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,18 @@ class Store:
             self.save_goals(kept)
         return len(kept) < len(goals)
 
+    def goal(self, goal_id: str) -> Goal:
+        for g in self.load_goals():
+            if g.id == goal_id.strip():
+                return g
+        raise GridError(f"there is no goal {goal_id!r}", hint="the ids of saved goals are in load_goals()")
+
+    def record(self, record_id: str) -> DataFrame:
+        found = self.records().where(F.col("record_id") == record_id.strip())
+        if found.isEmpty():
+            raise GridError(f"there is no record {record_id!r}")
+        return found
+
     def append(self, name: str, rows: DataFrame, by: str | None = "goal_id") -> None:
         writer = rows.write.mode("append")
         (writer.partitionBy(by) if by else writer).parquet(self.path(name))
@@ -92,6 +106,40 @@ class Store:
         rows = self.read("records")
         return rows.join(self.read("deleted").distinct(), "record_id", "left_anti") if exists(self.spark, self.path("deleted")) else rows
 
+    def log_preview(self, goal: Goal, session: str, changes: list[dict], created_at: str) -> dict:
+        """Append an entry on a previewed grid to the goal's log: its number in the session, the axes before (those after the
+        session's last entry, else the goal's) and after.  Only a session's own last entry is read."""
+        last = None
+        if exists(self.spark, self.path("logs")):
+            mine = self.read("logs").where((F.col("goal_id") == goal.id) & (F.col("session_id") == session))
+            last = mine.agg(F.max("sequence").alias("n"), F.max_by("axes_after", "sequence").alias("axes")).first()
+        after = json.dumps([vars(a) for a in goal.with_axes(changes).axes])
+        before = last.axes if last and last.n else json.dumps([vars(a) for a in goal.axes])
+        entry = {"goal_id": goal.id, "session_id": session, "sequence": (last.n or 0) + 1 if last else 1, "created_at": created_at, "axes_before": before, "axes_after": after}
+        self.append("logs", self.spark.createDataFrame([tuple(entry.values())], "goal_id string, session_id string, sequence long, created_at string, axes_before string, axes_after string"))
+        return entry
+
+    def apply_grid(self, goal_id: str, changes: list[dict], order: list[str]) -> DataFrame:
+        """Change a goal's axes and rebuild its records from their observations on the new grid: goals first, then the records
+        as a new version, which ``rebuilt_records`` reads; so a reader finds the old records or the new ones."""
+        from densigrid.operators.records import rebuilt
+
+        goal = self.goal(goal_id).with_axes(changes)
+        rows = rebuilt(self.read("observations").where(F.col("goal_id") == goal.id), goal, order).withColumn("goal_id", F.lit(goal.id))
+        self.upsert_goal(goal)
+        self.append("rebuilt", rows)
+        return self.rebuilt_records(goal)
+
+    def rebuilt_records(self, goal: Goal) -> DataFrame:
+        """Records as they are on the goal's present grid."""
+        return self.read("rebuilt").where((F.col("goal_id") == goal.id) & (F.col("grid_signature") == goal.signature())).dropDuplicates(["record_id"])
+
+    def write_envelope(self, key: str, payload: object) -> None:
+        """Append an envelope ``{"key", "payload"}``; ``latest_payload`` reads the newest of each key."""
+        last = self.read("envelopes").agg(F.max("id")).first()[0] if exists(self.spark, self.path("envelopes")) else 0
+        row = (int(last) + 1, json.dumps({"key": key, "payload": payload}, ensure_ascii=False))
+        self.append("envelopes", self.spark.createDataFrame([row], "id long, content string"), None)
+
     def status(self) -> DataFrame:
         """name, rows, path of each table that exists."""
         made = [(n, self.spark.read.parquet(self.path(n)).count(), self.path(n)) for n in ("goals", "records", "observations", "logs") if exists(self.spark, self.path(n))]

@@ -62,6 +62,34 @@ def test_store(spark, tmp_path):
     assert {r.name: r.rows for r in store.status().collect()} == {"goals": 6, "records": 2} or store.status().count() == 2
 
 
+def test_previews_and_applied_grids(spark, tmp_path):
+    store, goal = Store(spark, str(tmp_path / "s")), Goal("tide", (Axis("depth", 0.0, 60.0, 5.0), Axis("salt", 0.0, 8.0, 1.0)))
+    store.save_goals([goal])
+    assert store.goal(" tide") == goal
+    finer, wider = [{"name": " DEPTH", "step": 2.5}], [{"name": "salt", "high": 16.0}]
+    first, second, other = (store.log_preview(goal, s, c, "2024-01-01") for s, c in (("a", finer), ("a", wider), ("b", wider)))
+    assert [e["sequence"] for e in (first, second, other)] == [1, 2, 1]
+    assert second["axes_before"] == first["axes_after"] and other["axes_before"] == first["axes_before"] and store.read("logs").count() == 3
+    obs = [("r1", "tide", [61.0, 1.0]), ("r1", "tide", [3.0, 1.0]), ("r2", "tide", [4.0, 9.0]), ("r3", "other", [1.0, 1.0])]
+    store.append("observations", spark.createDataFrame(obs, "record_id string, goal_id string, v array<double>"))
+    store.append("records", spark.createDataFrame([("r1", "tide"), ("r2", "tide")], "record_id string, goal_id string"))
+    before = store.apply_grid("tide", [], ["depth", "salt"]).orderBy("record_id").collect()
+    after = store.apply_grid("tide", finer + wider, ["depth", "salt"]).orderBy("record_id").collect()
+    assert [r.record_id for r in after] == ["r1", "r2"] == [r.record_id for r in before] and store.goal("tide").total_bins == 24 * 16
+    assert before[0].occupancy_hash != after[0].occupancy_hash and before[1].occupancy_hash is None and after[1].occupancy_hash
+    assert store.record("r2").first().goal_id == "tide"
+    for wrong in (lambda: store.goal("none"), lambda: store.record("none")):
+        with pytest.raises(GridError):
+            wrong()
+
+
+def test_envelopes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for key, payload in (("goals", [1]), ("records", {"a": 1}), ("goals", [2])):
+        store.write_envelope(key, payload)
+    assert {r.key: r.payload for r in latest_payload(store.read("envelopes")).collect()} == {"goals": "[2]", "records": '{"a":1}'}
+
+
 def test_rows_from_text_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,10\n3,\n")
     (tmp_path / "a.tsv").write_text("x\ty\n1\t10\n")
