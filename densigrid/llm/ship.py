@@ -113,9 +113,10 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
     ship(df.sparkSession)
     n = len(keep)
     at = keep.index(text) if text in keep and dict(df.dtypes)[text] == "string" else n
-    # A text that is kept need not be sent twice.
-    source = df.select(*map(quoted, keep), *[F.col(text).cast("string").alias(fresh(df, "sent"))] * (at == n))
-    head = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in source.schema.fields[:n])
+    # Numbered names on the way, as Arrow plans take no names that need quotes.  A text that is kept need not be sent twice.
+    names = [f"kept{i}" for i in range(n)]
+    source = df.select(*[F.col(quoted(c)).alias(k) for c, k in zip(keep, names)], *[F.col(text).cast("string").alias("sent")] * (at == n))
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:n])
     schema = f"{head}, {fields}" if keep else fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +128,11 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(n)] + [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in made.values()],
-                    names=[*keep, *made],
+                    names=[*names, *made],
                 )
 
-    return source.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
+    return out.toDF(*keep, *out.columns[n:])
 
 
 #: Rows, and bytes in columns of no fixed width, up to which a materialised list of keys is broadcast; beyond it, both sides
