@@ -7,6 +7,7 @@ pooled (peers and target) and internal (target) are three readings of that one s
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,6 +161,8 @@ def reevaluated(rows: DataFrame, goal: Goal, record: str) -> DataFrame:
     0 < e' <= e: only own cells are looked at again, and only their distinct values meet.
     """
     own = histogram(rows, goal, [record]).withColumnRenamed("cnt", "o")
+    if goal.total_bins < 1 << 62:  # a cell's number is joined faster than its indices
+        own = own.withColumn("cell", reduce(lambda n, ka: n * ka[1].bins + F.col("cell")[ka[0]], enumerate(goal.axes), F.lit(0).cast("long")))
     whole = own.groupBy("cell").agg(F.sum("o").alias("g"))
     both = own.join(whole, "cell").withColumn("e", F.col("g") - F.col("o"))
     totals = whole.agg(F.count("*").alias("all_cells"), F.sum("g").alias("all_rows"))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
-from densigrid.operators.occupancy import binned, counters, from_keys, histogram, indices, summary, vector_values
+from densigrid.operators.occupancy import binned, counters, from_keys, histogram, in_grid, indices, summary, vector_values
 from densigrid.plans.grid import Goal, axis_key, peer_key
+from densigrid.plans.rules import boxes_of
 
 
 def has_axes(names: list[str], column: str = "axis_names") -> Column:
@@ -44,13 +45,14 @@ def global_counts(headers: DataFrame, observations: DataFrame, goal: Goal, order
     """The reference density (cell, cnt), and one row of counters: eligible records (also if none of their rows is
     valid), records left out for want of vectors, observations, occupied cells, infeasible rows and cells."""
     rows = binned(observations.join(headers.select("record_id"), "record_id", "left_semi"), goal, vector_values(goal, order), ["record_id"], boxes)
-    # One pass: rows per record, status and cell; all counters are sums over those.
+    # Rows per cell, then whether the cell is masked: both counters of rows and of cells are sums over occupied cells.
     names = indices(goal)
-    cells_of = rows.select("record_id", "status", *[F.col("cell")[k].alias(n) for k, n in enumerate(names)]).groupBy("record_id", "status", *names).agg(F.count("*").alias("n"))
-    per_cell = cells_of.groupBy("status", *names).agg(F.sum("n").alias("n"))
-    of = lambda status, what: F.coalesce(F.sum(F.when(F.col("status") == status, what)), F.lit(0)).cast("long")
-    inner = per_cell.agg(of("valid", F.col("n")).alias("observations"), of("valid", F.lit(1)).alias("occupied_bins"), of("masked", F.col("n")).alias("infeasible_rows"), of("masked", F.lit(1)).alias("infeasible_bins"))
-    eligible = cells_of.agg(F.count_distinct("record_id").alias("eligible_records"))
+    per_cell = in_grid(rows, goal).groupBy(*names).agg(F.count("*").alias("n"))
+    mask = cells.masked(boxes_of(goal) if boxes is None else boxes, {a.name: F.col(n) for a, n in zip(goal.axes, names)})
+    told = per_cell.select("n", mask.alias("masked"))
+    of = lambda masked, what: F.coalesce(F.sum(F.when(F.col("masked") == masked, what)), F.lit(0)).cast("long")
+    inner = told.agg(of(False, F.col("n")).alias("observations"), of(False, F.lit(1)).alias("occupied_bins"), of(True, F.col("n")).alias("infeasible_rows"), of(True, F.lit(1)).alias("infeasible_bins"))
+    eligible = rows.agg(F.count_distinct("record_id").alias("eligible_records"))
     facts = headers.agg(F.count_distinct("record_id").alias("records")).crossJoin(eligible).crossJoin(inner)  # of one row each
     facts = facts.select("eligible_records", (F.col("records") - F.col("eligible_records")).alias("legacy_excluded"), "observations", "occupied_bins", "infeasible_rows", "infeasible_bins")
     return histogram(rows, goal, boxes=boxes), facts
@@ -91,7 +93,10 @@ def subset_counts(headers: DataFrame, observations: DataFrame, goal: Goal) -> Da
 
 
 def occupancy_hash(counts: DataFrame, by: list[str]) -> DataFrame:
-    """by..., occupancy_hash: sha256 of the histogram as a compact JSON object with sorted keys."""
+    """by..., occupancy_hash: sha256 of the histogram as a compact JSON object with sorted keys.
+
+    A digest of one text needs that text: a record's occupied cells (not its rows) are gathered in one row, some 20 bytes each.
+    """
     item = F.concat(F.lit('"'), cells.bin_key(F.col("cell")), F.lit('":'), F.col("cnt").cast("string"))
     return counts.groupBy(*by).agg(F.sha2(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(item)), ","), F.lit("}")), 256).alias("occupancy_hash"))
 
