@@ -41,7 +41,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header for each supplier: some belong to another goal, some lack an axis; SILENT more have no observations."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id")).union(spark.createDataFrame([(i,) for i in SILENT], "record_id long"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("record_id")).union(spark.range(SILENT[0], SILENT[-1] + 1).toDF("record_id"))
     goal = F.when(F.col("record_id") % 4 == 3, "other").otherwise(" pricing ")
     names = F.when(F.col("record_id") % 5 == 4, F.array(F.lit("Discount"), F.lit("PRICE"))).otherwise(F.array(F.lit(" Discount"), F.lit("price"), F.lit("Quantity")))
     return s.select("record_id", goal.alias("goal_id"), names.alias("axis_names"), F.when(F.col("record_id") % 6 != 5, "sig").alias("grid_signature"))
