@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from densigrid.llm import bagminhash, bpe, dac, decontaminate, jpeg, langid, pii, quality, quotes, toxicity
+from densigrid.llm import bagminhash, bpe, dac, decontaminate, jpeg, langid, pii, quality, quotes, rules, runs, toxicity, trie
 from densigrid.llm.learn import remainder
 from densigrid.llm.ship import table
 
@@ -57,8 +57,22 @@ def op6_addressable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.tree(table(spark, sf_dir, "conversations"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.periodic(docs, ["doc_id"], runs.planted(docs))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_near_duplicates, op4_personal_data, op5_quality, op6_addressable_tokens, op7_jpeg_media, op8_quotations, op9_decontamination, op10_toxicity)}
+    first = (op1_byte_bpe, op2_language, op3_near_duplicates, op4_personal_data, op5_quality, op6_addressable_tokens, op7_jpeg_media, op8_quotations, op9_decontamination, op10_toxicity)
+    return {f.__name__: f for f in (*first, op11_conversation_trie, op12_periodic_runs, op13_quality_rules)}
 
 
 OP9 = r"""
@@ -116,5 +130,57 @@ SELECT p.*, chat_sha256 FROM parts p JOIN chats c ON p.conv_id IS NOT DISTINCT F
 """
 
 
+#: CRC-32 of a number's decimal digits: each digit's code, then eight steps of the register.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+OP11 = f"""
+WITH turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS place,
+         coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1),
+shape AS (SELECT o.conv_id, o.conv_id - o.conv_id % 5 AS root, o.h, least(o.h, coalesce(r.n, 0)) AS n_head FROM (SELECT *, {_CRC} % 9 AS h FROM own) o LEFT JOIN own r ON r.conv_id = o.conv_id - o.conv_id % 5),
+built AS (
+  SELECT s.conv_id, place + 1 AS depth, role, text FROM shape s JOIN turns t ON t.conv_id = s.root AND place < h
+  UNION ALL SELECT s.conv_id, place - h + n_head + 1, role, text FROM shape s JOIN turns t ON t.conv_id = s.conv_id AND place >= h),
+prefixes AS (
+  SELECT conv_id, depth, strlen(text) AS bytes, max(depth) OVER (PARTITION BY conv_id) AS total,
+         md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING)) AS key FROM built
+  UNION ALL SELECT conv_id, 0, 0, coalesce((SELECT max(depth) FROM built b WHERE b.conv_id = shape.conv_id), 0), '' FROM shape),
+nodes AS (
+  SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, max(total) > depth AS inner_,
+         sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (total = depth), '')) AS ends_sha256 FROM prefixes GROUP BY key, depth),
+paths AS (SELECT n.key, n.depth, p.key AS top, p.depth AS top_depth FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth),
+below AS (
+  SELECT top AS key, count(*) FILTER (NOT inner_) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens, count(*) FILTER (n.depth = top_depth + 1) AS n_children
+  FROM paths JOIN nodes n USING (key) GROUP BY top),
+parents AS (SELECT p.key, n.conv_id AS parent_conv_id FROM paths p JOIN nodes n ON n.key = p.top AND p.top_depth = p.depth - 1)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM nodes JOIN below USING (key) LEFT JOIN parents USING (key)
+"""
+
+
+_STOP = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+_FAILED = ", ".join(f"CASE WHEN {r.sql()} THEN '{r.name}' END" for r in rules.RULES)
+_BASE = " OR ".join(r.sql() for r in rules.RULES if r.base)
+
+OP13 = rf"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+parts AS (SELECT *, regexp_extract_all(t, '{rules.WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{rules.WORD}')) AS l FROM texts),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM parts)),
+twice AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, s) > 1),
+covered AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS i FROM twice) GROUP BY r),
+measured AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{rules.SPACE}', '', 'g')) AS word_chars, length(regexp_replace(t, '{rules.SYMBOLS}', '', 'g')) AS n_symbols,
+         len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_lettered_words,
+         len(list_filter(w, lambda x: lower(regexp_replace(x, '^[^\p{{L}}]+|[^\p{{L}}]+$', '', 'g')) IN ({_STOP}))) AS n_stop_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '[\p{{Ll}}\p{{Lo}}]') AND length(x) > 1)) AS n_shouted_words,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[ 	-]*[-*•·][ 	-]'))) AS n_bullet_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '([.][.][.]|…)[ 	-]*$'))) AS n_ellipsis_lines
+  FROM parts LEFT JOIN covered USING (r))
+SELECT *, array_to_string(list_filter([{_FAILED}], lambda x: x IS NOT NULL), ',') AS failed, {_BASE} AS base_failed, len(list_filter([{_FAILED}], lambda x: x IS NOT NULL)) = 0 AS kept FROM measured
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quotations": OP8, "op9_decontamination": OP9}
+    return {"op8_quotations": OP8, "op9_decontamination": OP9, "op11_conversation_trie": OP11, "op13_quality_rules": OP13}
