@@ -287,7 +287,7 @@ def ecdf_rank(spark, sf_dir):
 
 @query(f"{_modes_sql(FINE)} SELECT mode, {_SPEC} FROM scored GROUP BY 1")
 def ecdf_specificity(spark, sf_dir):
-    return rounded(density.specificity(density.scored_cells(modes_of(spark, sf_dir))))
+    return rounded(density.specificity(density.by_count(modes_of(spark, sf_dir))))
 
 
 @query(f"{_modes_sql(FINE)} SELECT mode, key, target, ref, round(s, 6) AS specificity FROM scored")
@@ -297,7 +297,7 @@ def scored_target_cells(spark, sf_dir):
 
 @query(f"{_modes_sql(FINE)} SELECT mode, {_RARE} FROM scored GROUP BY 1")
 def rarity(spark, sf_dir):
-    return rounded(density.rarity(modes_of(spark, sf_dir), FINE.total_bins))
+    return rounded(density.rarity(density.by_count(modes_of(spark, sf_dir)), FINE.total_bins))
 
 
 _BY_RECORD = f"(SELECT record_id, key, count(*) AS cnt FROM {sql_cells(PRICING)} WHERE status = 'valid' GROUP BY ALL)"
@@ -629,14 +629,40 @@ def rebuild_records(spark, sf_dir):
 _LOO = f"""WITH own AS (SELECT record_id, key, count(*) AS o FROM {sql_cells(PRICING)} WHERE status = 'valid' GROUP BY ALL),
 pairs AS (SELECT r.record_id, w.key, w.g - coalesce(own.o, 0) AS e, coalesce(own.o, 0) AS o FROM (SELECT DISTINCT record_id FROM own) r CROSS JOIN (SELECT key, sum(o)::BIGINT AS g FROM own GROUP BY 1) w LEFT JOIN own ON own.record_id = r.record_id AND own.key = w.key),
 ranked AS (SELECT *, cume_dist() OVER (PARTITION BY record_id ORDER BY e) AS cd FROM pairs WHERE e > 0),
-scored AS (SELECT p.record_id, p.e, p.o, CASE WHEN p.e = 0 THEN 1.0::DOUBLE ELSE 1 - cd END AS s, sum(p.e) OVER (PARTITION BY p.record_id) AS refs FROM pairs p LEFT JOIN ranked USING (record_id, key))
-SELECT record_id, round(sum(o * s) / sum(o), 6) AS specificity_score, round(max(s) FILTER (o > 0), 6) AS max_specificity, round(coalesce(sum(o) FILTER (e = 0), 0) / sum(o), 6) AS unseen_bin_rate,
- round(coalesce(sum(o) FILTER (s >= 0.95 - 1e-12), 0) / sum(o), 6) AS extreme_specificity_rate, sum(o)::BIGINT AS valid_rows, any_value(refs)::BIGINT AS reference_rows FROM scored GROUP BY 1"""
+sized AS (SELECT *, sum(e) OVER (PARTITION BY record_id) AS refs FROM pairs),
+scored AS (SELECT p.record_id, p.e, p.o, refs, CASE WHEN p.e = 0 THEN 1.0::DOUBLE ELSE 1 - cd END AS s, -ln((p.e + 0.5::DOUBLE) / (refs + 0.5::DOUBLE * 1000)) AS r, CASE WHEN p.e > 0 THEN p.e / refs * ln(p.e / refs + 1e-12) END AS plnp FROM sized p LEFT JOIN ranked USING (record_id, key)),
+loo AS (SELECT record_id, sum(o * s) / sum(o) AS specificity_score, max(s) FILTER (o > 0) AS max_specificity, coalesce(sum(o) FILTER (e = 0), 0) / sum(o) AS unseen_bin_rate,
+ coalesce(sum(o) FILTER (s >= 0.95 - 1e-12), 0) / sum(o) AS extreme_specificity_rate, sum(o * r) / sum(o) AS mean_rarity, max(r) FILTER (o > 0) AS max_rarity, sum(o)::BIGINT AS valid_rows, any_value(refs)::BIGINT AS reference_rows,
+ count(*) FILTER (e > 0) AS occupied_bins, -sum(plnp) / ln(count(*) FILTER (e > 0)) AS e FROM scored GROUP BY 1),
+terms AS (SELECT *, reference_rows / (reference_rows + 1000::DOUBLE) AS s, occupied_bins / 1000::DOUBLE AS c FROM loo),
+now_ AS (SELECT *, pow(s * c * e, 1.0::DOUBLE / 3) AS confidence FROM terms),
+was AS (SELECT s_suppkey AS record_id, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 101) / 100::DOUBLE END AS uploaded_specificity, CASE WHEN s_suppkey % 9 <> 0 THEN (s_suppkey % 10) / 10::DOUBLE END AS uploaded_confidence FROM supplier),
+both_ AS (SELECT *, CASE WHEN uploaded_specificity >= 0.75 AND specificity_score <= 0.55 THEN 'fell' WHEN uploaded_specificity IS NULL THEN NULL WHEN specificity_score >= 0.75 THEN 'specific' ELSE 'mild' END AS kind FROM now_ JOIN was USING (record_id))
+SELECT record_id, round(specificity_score, 6) AS specificity_score, round(max_specificity, 6) AS max_specificity, round(unseen_bin_rate, 6) AS unseen_bin_rate, round(extreme_specificity_rate, 6) AS extreme_specificity_rate,
+ round(mean_rarity, 6) AS mean_rarity, round(max_rarity, 6) AS max_rarity, valid_rows, reference_rows, occupied_bins, round(s, 6) AS s, round(c, 6) AS c, round(e, 6) AS e, round(confidence, 6) AS confidence, uploaded_specificity, uploaded_confidence,
+ round(specificity_score - uploaded_specificity, 6) AS specificity_delta, round(confidence - uploaded_confidence, 6) AS confidence_delta,
+ CASE WHEN kind IS NULL AND coalesce(uploaded_confidence, 1) >= 0.4 THEN 'similar' ELSE concat_ws(',', kind, CASE WHEN uploaded_confidence < 0.4 THEN 'weak_support' END) END AS interpretation FROM both_"""
 
 
 @query(_LOO)
 def reevaluate_all(spark, sf_dir):
-    return rounded(density.reevaluated(priced(spark, sf_dir), PRICING, "record_id"))
+    """Every record against all others, beside what was saved at its upload (here made from its id; some have no score, some no confidence)."""
+    now = density.reevaluated(priced(spark, sf_dir), PRICING, "record_id", valid_bins=PRICING.total_bins)
+    key = F.col("s_suppkey")
+    was = table(spark, sf_dir, "supplier").select(key.alias("record_id"), F.when(key % 7 != 0, (key % 101) / 100.0).alias("specificity_score"), F.when(key % 9 != 0, (key % 10) / 10.0).alias("confidence"))
+    return rounded(density.compared_with_upload(now, was, "record_id"))
+
+
+_LOO_ROLES = f"""WITH own AS (SELECT record_id, key, count(*) AS o FROM {sql_cells(ROLES.design)} WHERE status = 'valid' GROUP BY ALL),
+pairs AS (SELECT r.record_id, w.g - coalesce(own.o, 0) AS e FROM (SELECT DISTINCT record_id FROM own) r CROSS JOIN (SELECT key, sum(o)::BIGINT AS g FROM own GROUP BY 1) w LEFT JOIN own ON own.record_id = r.record_id AND own.key = w.key)
+SELECT record_id, reference_rows, occupied_bins, {_ROUND_TERMS} FROM {_confidence_sql("(SELECT record_id, e AS cnt FROM pairs)", "100", 1000.0, "record_id")}"""
+
+
+@query(_LOO_ROLES)
+def reevaluate_roles(spark, sf_dir):
+    """The confidence of the others of every record, where it is on another grid than the scores: that of the input axes."""
+    got = density.reevaluated(priced(spark, sf_dir, ROLES), ROLES, "record_id", priced(spark, sf_dir, ROLES.design), ROLES.design.total_bins)
+    return rounded(got.select("record_id", "reference_rows", "occupied_bins", "s", "c", "e", "confidence"))
 
 
 _TERMS = {"confidence": "confidence", "coverage": "c", "equitability": "e", "specificity": "specificity_score", "mean_rarity": "mean_rarity"}

@@ -132,7 +132,7 @@ def test_leave_one_out_against_recomputing(spark):
     goal = Goal("g", (Axis("x", 0.0, 6.0, 1.0), Axis("y", 0.0, 6.0, 1.0)))
     rows = [(rng.randrange(5), [rng.gauss(3, 1.2), rng.gauss(3, 1.2)]) for _ in range(400)] + [(9, [0.5, 5.5])]
     df = spark.createDataFrame(rows, "record_id int, v array<double>")
-    got = {r.record_id: r for r in density.reevaluated(occupancy.rebinned(df, goal, ["x", "y"], ["record_id"]), goal, "record_id").collect()}
+    got = {r.record_id: r for r in density.reevaluated(occupancy.rebinned(df, goal, ["x", "y"], ["record_id"]), goal, "record_id", valid_bins=36).collect()}
     cells = Counter()
     for rec, v in rows:
         if all(0 <= x <= 6 for x in v):
@@ -150,7 +150,47 @@ def test_leave_one_out_against_recomputing(spark):
         assert r.specificity_score == pytest.approx(sum(n * score[c] for c, n in own.items()) / total)
         assert r.max_specificity == pytest.approx(max(score.values()))
         assert r.unseen_bin_rate == pytest.approx(sum(n for c, n in own.items() if not ref[c]) / total)
-        assert (r.valid_rows, r.reference_rows) == (total, sum(occupied))
+        assert (r.valid_rows, r.reference_rows, r.occupied_bins) == (total, sum(occupied), len(occupied))
+        n = sum(occupied)
+        rare = {c: -math.log((ref[c] + 0.5) / (n + 0.5 * 36)) for c in own}
+        assert r.mean_rarity == pytest.approx(sum(k * rare[c] for c, k in own.items()) / total) and r.max_rarity == pytest.approx(max(rare.values()))
+        e = -sum(x / n * math.log(x / n + 1e-12) for x in occupied) / math.log(len(occupied))
+        s, c = n / (n + 10.0), len(occupied) / 36
+        assert (r.s, r.c, r.e) == pytest.approx((s, c, e)) and r.confidence == pytest.approx((s * c * e) ** (1 / 3))
+
+
+def test_leave_one_out_without_others_and_without_a_mask_count(spark):
+    goal = Goal("g", (Axis("x", 0.0, 6.0, 1.0),))
+    df = spark.createDataFrame([("only", [1.0]), ("only", [5.0])], "record_id string, v array<double>")
+    r = density.reevaluated(occupancy.rebinned(df, goal, ["x"], ["record_id"]), goal, "record_id", valid_bins=6).first()
+    assert (r.specificity_score, r.unseen_bin_rate, r.confidence, r.reference_rows) == (1.0, 1.0, 0.0, 0) and r.mean_rarity == pytest.approx(math.log(6))
+    two = df.unionByName(spark.createDataFrame([("other", [1.0])], "record_id string, v array<double>"))
+    pending = density.reevaluated(occupancy.rebinned(two, goal, ["x"], ["record_id"]), goal, "record_id")
+    assert all(r.c is None and r.confidence is None and r.s > 0 for r in pending.collect())
+    assert density.reevaluated(occupancy.rebinned(df.limit(0), goal, ["x"], ["record_id"]), goal, "record_id").collect() == []
+
+
+def test_comparison_with_upload(spark):
+    now = spark.createDataFrame([(1, 0.5, 0.9), (2, 0.8, None), (3, 0.6, 0.5), (4, 0.6, 0.5), (5, None, None)], "record_id int, specificity_score double, confidence double")
+    was = spark.createDataFrame([(1, 0.8, 0.3), (2, 0.9, 0.8), (3, 0.1, None), (5, 0.9, 0.1)], "record_id int, specificity_score double, confidence double")
+    got = {r.record_id: (r.specificity_delta, r.confidence_delta, r.interpretation) for r in density.compared_with_upload(now, was, "record_id").collect()}
+    assert got == {1: (-0.3, 0.6, "fell,weak_support"), 2: (-0.1, None, "specific"), 3: (0.5, None, "mild"), 4: (None, None, "similar"), 5: (None, None, "weak_support")}
+
+
+def test_running_sums(spark, monkeypatch):
+    """In blocks, also of one value, with groups and without."""
+    from densigrid.operators import prefix
+
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(3), rng.choice([0, 1, 2, 50, 4095, 4096, 10**12]) + rng.randrange(4)): rng.randrange(9) for _ in range(60)}.items())
+    df = spark.createDataFrame([(g, at, n) for (g, at), n in rows], "g int, at long, n long")
+    for block in (1, 3, 4096):
+        monkeypatch.setattr(prefix, "BLOCK", block)
+        got = {(r.g, r.at): (r.s, r.s_all) for r in prefix.running(df, "at", {"s": "n"}, ["g"]).collect()}
+        assert got == {(g, at): (sum(n for (h, b), n in rows if h == g and b <= at), sum(n for (h, _), n in rows if h == g)) for (g, at), _ in rows}
+    one = df.groupBy("at").agg(F.sum("n").alias("n"))
+    total = sum(n for _, n in rows)
+    assert {r.s_all for r in prefix.running(one, "at", {"s": "n"}).collect()} == {total}
 
 
 def test_many_boxes_by_join(spark):
