@@ -254,3 +254,61 @@ def test_boxes_are_tested_on_cells(spark):
 
     cases = lambda name: queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN")
     assert cases("mask_filter") <= cases("bin_occupancy") + 3
+
+
+def random_boxes(rng, n, bins, width):
+    out = []
+    for _ in range(n):
+        box = []
+        for b in bins:
+            s = rng.randrange(b)
+            box += [s, min(b, s + 1 + rng.randrange(width))]
+        out.append(tuple(box))
+    return out
+
+
+def box_frame(spark, boxes, d):
+    return spark.createDataFrame(boxes, ", ".join(f"s{k} int, e{k} int" for k in range(d)))
+
+
+def test_a_hundred_thousand_boxes_by_an_equi_join(spark):
+    import numpy as np
+
+    from densigrid.operators.masks import every_cell, outside_boxes
+
+    rng = random.Random(8)
+    bins = (60, 40, 50)
+    goal = Goal("g", tuple(Axis(n, 0.0, float(b), 1.0) for n, b in zip("abc", bins)))
+    boxes = random_boxes(rng, 99_990, (60, 40, 50), 1) + [(s, s + 3, 0, 40, 0, 50) for s in (5, 6)] + [(0, 60, 7, 8, 0, 50)] + random_boxes(rng, 7, bins, 9)
+    counts = every_cell(spark, goal, 200_000).withColumn("cnt", F.lit(1))
+    left = outside_boxes(counts, goal, box_frame(spark, boxes, 3))
+    free = np.ones(bins, bool)
+    for s0, e0, s1, e1, s2, e2 in boxes:
+        free[s0:e0, s1:e1, s2:e2] = False
+    assert 0 < free.sum() < free.size and {tuple(r.cell) for r in left.select("cell").collect()} == set(map(tuple, np.argwhere(free).tolist()))
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("n, bins, width", [(1000, (9, 8, 7, 9, 8), 4), (60, (1000, 3, 500), 300), (40, (20,), 4), (0, (5, 5), 2)])
+def test_union_of_many_boxes(spark, n, bins, width):
+    import numpy as np
+
+    from densigrid.operators.masks import sizes
+
+    boxes = random_boxes(random.Random(n), n, bins, width)
+    goal = Goal("g", tuple(Axis(c, 0.0, float(b), 1.0) for c, b in zip("abcde", bins)))
+    masked = np.zeros(bins, bool)
+    for box in boxes:
+        masked[tuple(slice(box[2 * k], box[2 * k + 1]) for k in range(len(bins)))] = True
+    r = sizes(box_frame(spark, boxes, len(bins)), goal).first()
+    assert (int(r.total_bins), int(r.masked_bins), int(r.valid_bins)) == (masked.size, masked.sum(), (~masked).sum())
+
+
+def test_union_beyond_longs_and_open_boxes(spark):
+    from densigrid.operators.masks import sizes
+
+    goal = Goal("g", tuple(Axis(c, 0.0, 1e6, 1.0) for c in "abcd"))
+    boxes = [(None, None, 0, 10**6, 3, 2_000_000, None, 10**6), (5, 5, 0, 1, 0, 1, 0, 1), (0, 1, 0, 1, 0, 1, 0, 1)]
+    r = sizes(box_frame(spark, boxes, 4), goal).first()
+    assert int(r.total_bins) == 10**24 and int(r.masked_bins) == 10**18 * (10**6 - 3) + 1 and int(r.valid_bins) == 10**24 - int(r.masked_bins)
