@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.plans.grid import Goal, GridError, axis_key
+from densigrid.sources.files import written
 
 #: Fixed limits of what is drawn.
 MOST_PAIRS, MOST_CELLS, MOST_TUPLES = 36, 50_000, 5_000
@@ -62,6 +63,13 @@ def crosshair(goal: Goal, bins: dict[str, int]) -> list[tuple[str, str, int | No
     return [(x, y, bins.get(x), bins.get(y)) for x, y in pairs(goal) if x in bins or y in bins]
 
 
+def crosshairs(chosen: DataFrame, goal: Goal, keep: list[str]) -> DataFrame:
+    """keep..., x_axis, y_axis, x_bin, y_bin of every selection (a row with a bin, or null, for each axis) in the pairs of axes of which one
+    is selected."""
+    each = [F.struct(F.lit(x).alias("x_axis"), F.lit(y).alias("y_axis"), F.col(x).cast("int").alias("x_bin"), F.col(y).cast("int").alias("y_bin")) for x, y in pairs(goal)]
+    return chosen.select(*keep, F.explode(F.array(*each)).alias("p")).select(*keep, "p.*").where("x_bin IS NOT NULL OR y_bin IS NOT NULL")
+
+
 def sampled(rows: DataFrame, order: list[Column], limit: int = MOST_TUPLES) -> DataFrame:
     """Every n/limit-th row in a stated order: rows floor(i * n / limit) for i = 0 .. limit - 1; all rows if they are no more.
 
@@ -70,11 +78,12 @@ def sampled(rows: DataFrame, order: list[Column], limit: int = MOST_TUPLES) -> D
     """
     if limit <= 0:
         return rows.limit(0)
-    n = rows.count()
-    if n <= limit:
-        return rows
     columns = rows.columns
-    parts = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # Written once: counts and positions must come from the same ranges, also if executors are lost between them.
+    parts = written(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    n = parts.count()
+    if n <= limit:
+        return parts.select(*columns)
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     shift = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__shift"))
     placed = parts.join(F.broadcast(shift), "__part").withColumn("__at", F.col("__shift") + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1)

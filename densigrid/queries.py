@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,10 +14,10 @@ from densigrid.fixtures import (
 )
 from densigrid.functions import cells
 from densigrid.functions.expression import compile_expression
-from densigrid.operators import density, masks, occupancy, projection, records, report
+from densigrid.operators import density, grids, masks, occupancy, projection, records, report
 from densigrid.plans.grid import Goal
 from densigrid.plans.rules import boxes_of, feasible_size, normalised
-from densigrid.sources import tables
+from densigrid.sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,9 +85,20 @@ def bin_index_clamped(spark, sf_dir):
     return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", cells.bin_index_clamped(PRICING.axes[1], F.col("l_extendedprice")).alias("price_bin"))
 
 
-@query("SELECT * FROM (VALUES ('pricing', 1000), ('pricing_fine', 20000), ('pricing_roles', 1000), ('events_k', 200)) t(goal, total_bins)")
+def _grids(spark, sf_dir) -> DataFrame:
+    """A goal for each supplier, whose resolutions depend on it: (goal_id, axis, low, high, step)."""
+    key = F.col("s_suppkey")
+    axes = F.array(*[F.struct(F.lit(a.name).alias("axis"), F.lit(a.low).alias("low"), F.lit(a.high).alias("high"), step.alias("step")) for a, step in zip(PRICING.axes, (F.lit(0.01), 1000.0 * (1 + key % 7), 1.0 + key % 5))])
+    return table(spark, sf_dir, "supplier").select(key.alias("goal_id"), F.explode(axes).alias("a")).select("goal_id", "a.*")
+
+
+_SQL_GRIDS = " UNION ALL ".join(f"SELECT s_suppkey AS goal_id, '{a.name}' AS axis, {double(a.low)} AS low, {double(a.high)} AS high, CAST({step} AS DOUBLE) AS step FROM supplier" for a, step in zip(PRICING.axes, ("0.01", "1000 * (1 + s_suppkey % 7)", "1 + s_suppkey % 5")))
+_SQL_BINS = "greatest(1, ceil((high - low) / step))"
+
+
+@query(f"SELECT goal_id, count(*)::INTEGER AS axes, CAST(product({_SQL_BINS}) AS BIGINT) AS total_bins FROM ({_SQL_GRIDS}) GROUP BY 1")
 def total_bins(spark, sf_dir):
-    return spark.createDataFrame([(g.id, g.total_bins) for g in (PRICING, FINE, ROLES, EVENTS)], "goal string, total_bins int")
+    return grids.total_bins(_grids(spark, sf_dir)).withColumn("total_bins", F.col("total_bins").cast("long"))
 
 
 @query(f"SELECT key, {', '.join(f'round(least({double(a.low)} + (b{k} + 0.5) * {double(a.step)}, {double(a.high)}), 9) AS {a.name}' for k, a in enumerate(PRICING.axes))} FROM (SELECT DISTINCT key, b0, b1, b2 FROM {sql_cells(PRICING)} WHERE status = 'valid')")
@@ -217,15 +229,32 @@ _GRID = "(SELECT a.i AS b0, b.i AS b1, c.i AS b2 FROM (SELECT unnest(range(10))
 _IN_BOX = " OR ".join("(" + " AND ".join(f"b{MASKED.names.index(n)} >= {s} AND b{MASKED.names.index(n)} < {e}" for n, (s, e) in b.items()) + ")" for b in boxes_of(MASKED))
 
 
-@query(f"SELECT count(*) AS masked_bins FROM {_GRID} WHERE {_IN_BOX}")
+def _boxes(spark, sf_dir) -> DataFrame:
+    """A box for each part, on the fine grid: some are open on an axis, some reach beyond it."""
+    k, size = F.col("p_partkey").cast("int"), F.col("p_size").cast("int")
+    low = F.when(k % 50 != 7, k % 10)
+    return table(spark, sf_dir, "part").select(low.alias("s0"), (k % 10 + 1).alias("e0"), (size % 40).alias("s1"), (size % 40 + 1 + k % 3).alias("e1"), (k % 47).alias("s2"), (k % 47 + 2).alias("e2"))
+
+
+_SQL_BOXES = "(SELECT CASE WHEN p_partkey % 50 <> 7 THEN p_partkey % 10 ELSE 0 END AS s0, p_partkey % 10 + 1 AS e0, p_size % 40 AS s1, least(40, p_size % 40 + 1 + p_partkey % 3) AS e1, p_partkey % 47 AS s2, p_partkey % 47 + 2 AS e2 FROM part)"
+_SQL_BOXED = f"(SELECT DISTINCT b0, b1, unnest(range(s2, e2)) AS b2 FROM (SELECT b0, unnest(range(s1, e1)) AS b1, s2, e2 FROM (SELECT unnest(range(s0, e0)) AS b0, s1, e1, s2, e2 FROM {_SQL_BOXES})))"
+
+
+@query(f"SELECT count(*) AS masked_bins FROM {_SQL_BOXED}")
 def mask_union_volume(spark, sf_dir):
-    return masks.union_size(spark, MASKED, boxes_of(MASKED))
+    return masks.union_volume(_boxes(spark, sf_dir), FINE).select(F.col("masked_bins").cast("long").alias("masked_bins"))
 
 
-@query(f"SELECT 1000::BIGINT AS total_bins, count(*) FILTER ({_IN_BOX}) AS masked_bins, count(*) FILTER (NOT ({_IN_BOX})) AS valid_bins FROM {_GRID}")
+@query(f"SELECT 20000::BIGINT AS total_bins, count(*) AS masked_bins, 20000 - count(*) AS valid_bins FROM {_SQL_BOXED}")
 def a_valid(spark, sf_dir):
-    size = feasible_size(MASKED)
-    return spark.createDataFrame([(size["total_bins"], size["masked_bins"], size["valid_bins"])], "total_bins long, masked_bins long, valid_bins long")
+    out = masks.sizes(_boxes(spark, sf_dir), FINE)
+    return out.select(*[F.col(c).cast("long").alias(c) for c in out.columns])
+
+
+@query(f"SELECT key, count(*) AS cnt FROM {sql_cells(FINE)} c WHERE status = 'valid' AND NOT EXISTS (SELECT 1 FROM {_SQL_BOXED} m WHERE m.b0 = c.b0 AND m.b1 = c.b1 AND m.b2 = c.b2) GROUP BY 1")
+def mask_box_join(spark, sf_dir):
+    """Occupied cells that none of many boxes, given as rows, masks."""
+    return keyed(masks.outside_boxes(occupancy.histogram(priced(spark, sf_dir, FINE), FINE), FINE, _boxes(spark, sf_dir)))
 
 
 _EXPRESSION = "price <= 1000000 * discount ** 2 + 5000 * min(quantity, 10) and not quantity > 45"
@@ -237,10 +266,19 @@ def _centre_columns(goal: Goal) -> dict:
     return {a.name: cells.centre(a, F.col("cell")[k]) for k, a in enumerate(goal.axes)}
 
 
-@query(f"SELECT count(*) AS valid_bins FROM (SELECT {_CENTRES} FROM {_GRID}) WHERE {_SQL_EXPRESSION}")
+_SQL_FILLED = f"(SELECT b0, b1, b2, count(*) AS cnt FROM {sql_cells(PRICING)} WHERE status = 'valid' GROUP BY ALL)"
+
+
+def _every_cell(spark, sf_dir) -> DataFrame:
+    """All cells of the grid, with the rows in them."""
+    counts = occupancy.histogram(priced(spark, sf_dir), PRICING)
+    return masks.every_cell(spark, PRICING).join(counts, "cell", "left")
+
+
+@query(f"SELECT count(*) AS valid_bins, count(cnt) AS occupied_valid_bins, coalesce(sum(cnt), 0)::BIGINT AS rows FROM (SELECT cnt, {_CENTRES} FROM {_GRID} LEFT JOIN {_SQL_FILLED} USING (b0, b1, b2)) WHERE {_SQL_EXPRESSION}")
 def expression_valid_bins(spark, sf_dir):
     good = compile_expression(_EXPRESSION, _centre_columns(PRICING))
-    return masks.every_cell(spark, PRICING).where(good).agg(F.count("*").alias("valid_bins"))
+    return _every_cell(spark, sf_dir).where(good).agg(F.count("*").alias("valid_bins"), F.count("cnt").alias("occupied_valid_bins"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"))
 
 
 @query(f"SELECT coalesce(sum(cnt) FILTER (ok), 0)::BIGINT AS kept_rows, count(*) FILTER (ok) AS kept_bins, coalesce(sum(cnt) FILTER (NOT ok), 0)::BIGINT AS infeasible_rows, count(*) FILTER (NOT ok) AS infeasible_bins FROM (SELECT cnt, {_SQL_EXPRESSION} AS ok FROM (SELECT cnt, {_CENTRES} FROM (SELECT b0, b1, b2, count(*) AS cnt FROM {sql_cells(PRICING)} WHERE status = 'valid' GROUP BY ALL)))")
@@ -469,9 +507,15 @@ def projection_selection(spark, sf_dir):
     return keyed(projection.selected(rows, PRICING, "discount", "quantity", 3, 4).groupBy("cell").agg(F.count("*").alias("cnt")))
 
 
-@query("SELECT * FROM (VALUES ('discount', 'price', 1, 2), ('discount', 'quantity', 1, NULL), ('price', 'quantity', 2, NULL)) t(x_axis, y_axis, x_bin, y_bin)")
+_CHOSEN = f"(SELECT s_suppkey AS record_id, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 10 END AS b0, CASE WHEN s_suppkey % 4 = 1 THEN s_suppkey % 7 END AS b1, CASE WHEN s_suppkey % 5 <> 2 THEN 3 END AS b2 FROM supplier)"
+
+
+@query(" UNION ALL ".join(f"SELECT record_id, '{PRICING.names[i]}' AS x_axis, '{PRICING.names[j]}' AS y_axis, b{i}::INTEGER AS x_bin, b{j}::INTEGER AS y_bin FROM {_CHOSEN} WHERE b{i} IS NOT NULL OR b{j} IS NOT NULL" for i, j in ((0, 1), (0, 2), (1, 2))))
 def crosshair_markers(spark, sf_dir):
-    return spark.createDataFrame(projection.crosshair(PRICING, {"discount": 1, "price": 2}), "x_axis string, y_axis string, x_bin int, y_bin int")
+    """A selection for each supplier, on some axes."""
+    k = F.col("s_suppkey")
+    chosen = table(spark, sf_dir, "supplier").select(k.alias("record_id"), F.when(k % 3 != 0, k % 10).alias("discount"), F.when(k % 4 == 1, k % 7).alias("price"), F.when(k % 5 != 2, F.lit(3)).alias("quantity"))
+    return projection.crosshairs(chosen, PRICING, ["record_id"])
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, count(*) OVER () AS n FROM lineitem)
@@ -481,10 +525,20 @@ def tuple_sample(spark, sf_dir):
     return projection.sampled(rows, [F.col(c) for c in rows.columns]).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT 500000 AS most_bins, 10000000::BIGINT AS total_bins, TRUE AS skipped")
+_SQL_PREVIEWED = f"(SELECT goal_id, axis, low, CASE WHEN goal_id % 3 = 1 AND axis = 'quantity' THEN 80.0::DOUBLE ELSE high END AS high, CASE WHEN goal_id % 3 = 0 AND axis = 'price' THEN 25.0::DOUBLE ELSE step END AS step FROM ({_SQL_GRIDS}))"
+
+
+def _previewed(spark, sf_dir) -> DataFrame:
+    """Finer prices for some suppliers' goals, a longer axis of quantities for others, an axis that no goal has for the rest."""
+    k, none = F.col("s_suppkey"), F.lit(None).cast("double")
+    asks = lambda axis, low, high, step: F.struct(F.lit(axis).alias("axis"), low.alias("low"), high.alias("high"), step.alias("step"))
+    asked = F.when(k % 3 == 0, asks(" PRICE", none, none, F.lit(25.0))).when(k % 3 == 1, asks("Quantity ", none, F.lit(80.0), none)).otherwise(asks("depth", F.lit(0.0), F.lit(1.0), F.lit(0.1)))
+    return grids.with_preview(_grids(spark, sf_dir), table(spark, sf_dir, "supplier").select(k.alias("goal_id"), asked.alias("a")).select("goal_id", "a.*"))
+
+
+@query(f"SELECT goal_id, count(*)::INTEGER AS axes, CAST(product({_SQL_BINS}) AS BIGINT) AS total_bins, product({_SQL_BINS}) > 500000 AS skipped FROM {_SQL_PREVIEWED} GROUP BY 1")
 def preview_skipped(spark, sf_dir):
-    goal = PRICING.with_axes([{"name": "price", "step": 1.0}])
-    return spark.createDataFrame([(500_000, goal.total_bins, goal.total_bins > 500_000)], "most_bins int, total_bins long, skipped boolean")
+    return grids.guarded(_previewed(spark, sf_dir)).withColumn("total_bins", F.col("total_bins").cast("long"))
 
 
 # Records
@@ -562,12 +616,12 @@ def stored_or_rebinned_counts(spark, sf_dir):
     return keyed(records.chosen_counts(observations(spark, sf_dir).where(_HALF), maps, FINE, ORDER))
 
 
-@query(f"SELECT count(*) AS masked_bins FROM {_GRID} WHERE {_IN_BOX}")
+@query(f"SELECT count(*) AS masked_bins, count(cnt) AS occupied_masked_bins, coalesce(sum(cnt), 0)::BIGINT AS rows FROM {_GRID} LEFT JOIN {_SQL_FILLED} USING (b0, b1, b2) WHERE {_IN_BOX}")
 def rule_text_masked_bins(spark, sf_dir):
-    """Cells that the rules' text masks: the same as their boxes."""
+    """Cells that the rules' text masks, and the rows in them: the same as their boxes do."""
     centres = _centre_columns(MASKED)
     free = cells.all_of([compile_expression(r["text"], centres) for r in normalised(list(MASKED.rules), MASKED)])
-    return masks.every_cell(spark, MASKED).where(~free).agg(F.count("*").alias("masked_bins"))
+    return _every_cell(spark, sf_dir).where(~free).agg(F.count("*").alias("masked_bins"), F.count("cnt").alias("occupied_masked_bins"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("rows"))
 
 
 @query(f"SELECT 'discount' AS axis, 10 AS total_bins, count(DISTINCT b0) AS occupied_bins FROM {_PEER_CELLS} WHERE status = 'valid' UNION ALL SELECT 'price', 10, count(DISTINCT b1) FROM {_PEER_CELLS} WHERE status = 'valid' UNION ALL SELECT 'quantity', 10, count(DISTINCT b2) FROM {_PEER_CELLS} WHERE status = 'valid' UNION ALL SELECT '*', 1000, count(DISTINCT key) FROM {_PEER_CELLS} WHERE status = 'valid'")
@@ -676,9 +730,20 @@ def delete_impact(spark, sf_dir):
     return density.delete_impact(_three_modes(spark, sf_dir, FINE), peers, bin_uniqueness(spark, sf_dir))
 
 
+def _store(spark) -> tables.Store:
+    """A store of its own for each run, in the folder that all of the cluster sees."""
+    return tables.Store(spark, f"{files.shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
 @query(f"SELECT record_id FROM {SQL_HEADERS} WHERE record_id <> {TARGET}")
 def delete_record(spark, sf_dir):
-    return headers(spark, sf_dir).where(F.col("record_id") != TARGET).select("record_id")
+    """Two records are deleted in a store, and one of them is saved again."""
+    store, rows = _store(spark), headers(spark, sf_dir).select(F.col("record_id").cast("string").alias("record_id"), F.trim("goal_id").alias("goal_id"))
+    store.append("records", rows)
+    for record in (TARGET, TARGET + 1):
+        store.delete_record(str(record))
+    store.append("records", rows.where(F.col("record_id") == str(TARGET + 1)))
+    return store.records().select(F.col("record_id").cast("long").alias("record_id"))
 
 
 @query(f"SELECT record_id, trim(goal_id) AS goal_id, len(keys) AS n_axes, grid_signature IS NOT NULL AS has_grid FROM {SQL_HEADERS}")
@@ -719,10 +784,9 @@ def sanitize_tuples(spark, sf_dir):
     return got.groupBy(F.col("t")[0].alias("x"), F.col("t")[1].alias("y")).agg(F.count("*").alias("cnt"))
 
 
-@query("SELECT * FROM (VALUES ('discount', 0.0::DOUBLE, 0.1::DOUBLE, 0.02::DOUBLE), ('price', 0.0, 200000.0, 10000.0), ('quantity', 0.0, 50.0, 5.0)) t(axis, low, high, step)")
+@query(f"SELECT * FROM {_SQL_PREVIEWED}")
 def preview_axes_merge(spark, sf_dir):
-    goal = PRICING.with_axes([{"name": " Discount", "step": 0.02}, {"name": "PRICE", "high": 200000.0}])
-    return spark.createDataFrame([(a.name, a.low, a.high, a.step) for a in goal.axes], "axis string, low double, high double, step double")
+    return _previewed(spark, sf_dir)
 
 
 _PREVIEW = PRICING.with_axes([{"name": "discount", "step": 0.02}, {"name": "price", "high": 200000.0}])
@@ -740,6 +804,23 @@ def apply_grid(spark, sf_dir):
     return rows.groupBy("record_id").agg(F.count(F.when(valid, 1)).alias("valid_rows"), F.count_distinct(F.when(valid, cells.bin_key(F.col("cell")))).alias("occupied_bins")).withColumn("grid_signature", F.lit(_PREVIEW.signature()))
 
 
+@query(f"""SELECT record_id, row_count, round(mean_price, 6) AS mean_price, h.occupancy_hash, '{_PREVIEW.signature()}' AS grid_signature FROM (SELECT l_suppkey AS record_id, count(*) AS row_count, avg(l_extendedprice) AS mean_price FROM lineitem WHERE l_suppkey <> {TARGET} GROUP BY 1)
+  LEFT JOIN (SELECT record_id, sha256('{{' || string_agg('"' || key || '":' || cnt, ',' ORDER BY '"' || key || '":' || cnt) || '}}') AS occupancy_hash FROM (SELECT record_id, key, count(*) AS cnt FROM {sql_cells(_PREVIEW)} WHERE status = 'valid' GROUP BY ALL) GROUP BY 1) h USING (record_id)""")
+def apply_grid_stored(spark, sf_dir):
+    """Half of the observations are saved and a grid is applied; then the others, and another grid; a record is deleted.  What
+    is read back through the store has all rows, on the second grid."""
+    store = _store(spark)
+    rows = observations(spark, sf_dir).select(F.col("record_id").cast("string").alias("record_id"), F.lit(PRICING.id).alias("goal_id"), "v")
+    store.save_goals([PRICING])
+    store.append("records", rows.select("record_id", "goal_id").distinct())
+    store.append("observations", rows.where(F.col("v")[2] < 25))
+    store.apply_grid(PRICING.id, [{"name": "discount", "step": 0.05}], ORDER)
+    store.append("observations", rows.where(F.col("v")[2] >= 25))
+    store.delete_record(str(TARGET))
+    now = store.apply_grid(PRICING.id, [{"name": "discount", "step": 0.02}, {"name": "price", "high": 200000.0}], ORDER)
+    return now.select(F.col("record_id").cast("long").alias("record_id"), "row_count", F.round("mean_price", 6).alias("mean_price"), "occupancy_hash", "grid_signature")
+
+
 _LOGS = "(SELECT event_id AS log_id, user_id AS session_id, ts AS created_at, CASE WHEN event_type = 'click' THEN event_type END AS axes_before, props AS axes_after, 'goal' AS goal_axes FROM events)"
 
 
@@ -760,6 +841,10 @@ def preview_log_previous(spark, sf_dir):
 
 @query("SELECT n_nationkey AS id, CASE WHEN n_nationkey = 3 THEN 'changed' ELSE n_name END AS name FROM nation UNION ALL SELECT 1000, 'new'")
 def goal_upsert(spark, sf_dir):
-    old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    new = spark.createDataFrame([(3, "changed"), (1000, "new")], "id long, name string").select(F.col("id").cast(old.schema["id"].dataType).alias("id"), "name")
-    return old.join(F.broadcast(new), "id", "left_anti").unionByName(new)
+    """Goals of a store, one for each nation: one is changed, one is new, one comes and goes."""
+    store, axes = _store(spark), PRICING.axes
+    store.save_goals([Goal(str(r.n_nationkey), axes, name=r.n_name) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()])  # goals are few
+    for goal in (Goal("3", axes, name="changed"), Goal("1000", axes, name="new"), Goal("2000", axes)):
+        store.upsert_goal(goal)
+    store.delete_goal("2000")
+    return spark.createDataFrame([(int(g.id), g.name) for g in store.load_goals()], "id long, name string")
