@@ -17,7 +17,7 @@ from densigrid.functions.expression import compile_expression
 from densigrid.operators import density, grids, masks, occupancy, projection, records, report
 from densigrid.plans.grid import Goal
 from densigrid.plans.rules import boxes_of, feasible_size, normalised
-from densigrid.sources import files, tables
+from densigrid.sources import files, saved, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -751,6 +751,72 @@ def record_summaries(spark, sf_dir):
     return headers(spark, sf_dir).select("record_id", F.trim("goal_id").alias("goal_id"), F.size("axis_names").cast("long").alias("n_axes"), F.col("grid_signature").isNotNull().alias("has_grid"))
 
 
+@query("""SELECT s_suppkey AS record_id, round(s_acctbal, 2) AS specificity_score, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 10 END::BIGINT AS total_bins, s_suppkey % 3 = 0 AS mask_enabled, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END::INTEGER AS warnings,
+  CASE WHEN s_suppkey % 7 <> 0 THEN '{}' END AS modes, CASE WHEN s_suppkey % 6 = 0 THEN s_name END AS note, s_suppkey / 4.0::DOUBLE AS evenness FROM supplier""")
+def snapshots_at_upload(spark, sf_dir):
+    """Snapshots as JSON, made from suppliers: odd ones in the older spelling, some with both, with keys of no meaning, values of a
+    wrong type or explicit nulls."""
+    k, old = F.col("s_suppkey"), F.col("s_suppkey") % 2 == 1
+    key = lambda new, older, value: F.when(old, F.concat(F.lit(f'"{older}":'), value)).otherwise(F.concat(F.lit(f'"{new}":'), value))
+    parts = F.array_compact(F.array(
+        F.when(k % 9 == 0, F.lit('"specificity_score":-1')),
+        key("specificityScore", "specificity_score", F.round("s_acctbal", 2).cast("string")),
+        key("totalBins", "total_bins", F.when(k % 5 == 0, F.lit('"many"')).otherwise((k % 10).cast("string"))),
+        key("feasibleMaskEnabled", "feasible_mask_enabled", (k % 3 == 0).cast("string")),
+        key("equitabilityE", "equitability_e", (k / 4.0).cast("string")),
+        F.when(k % 4 == 0, F.lit('"outOfDomainWarnings":[{"axis":"x"}]')).when(k % 4 == 1, F.lit('"outOfDomainWarnings":3')),
+        F.when(k % 7 == 0, F.lit('"referenceModes":null')),
+        F.when(k % 6 == 0, F.concat(F.lit('"note":"'), F.col("s_name"), F.lit('"'))),
+    ))
+    texts = table(spark, sf_dir, "supplier").select(k.alias("record_id"), F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("t"))
+    got = texts.select("record_id", saved.snapshot(F.col("t")).alias("s"))
+    modes = F.when(F.col("s.referenceModes").isNotNull(), F.col("s.referenceModes"))
+    return got.select(
+        "record_id", F.col("s.specificityScore").alias("specificity_score"), F.col("s.totalBins").alias("total_bins"), F.col("s.feasibleMaskEnabled").alias("mask_enabled"),
+        F.size(F.from_json("s.outOfDomainWarnings", "array<string>")).alias("warnings"), modes.alias("modes"), F.col("s.other")["note"].alias("note"), F.col("s.equitabilityE").alias("evenness"),
+    )
+
+
+_SQL_SAVED = """(SELECT s_suppkey AS k, CASE s_suppkey % 11 WHEN 1 THEN 'no_object' WHEN 2 THEN 'no_axis_names' WHEN 3 THEN 'value_no_number' WHEN 4 THEN 'lengths_differ' WHEN 5 THEN 'no_goal' WHEN 6 THEN 'row_count_no_number' WHEN 7 THEN 'no_values' END AS reason FROM supplier)"""
+
+
+def _saved_texts(spark, sf_dir) -> DataFrame:
+    """A store's contents of 50 records each, made from suppliers: lists, and objects with ``clusters``; many records lack something."""
+    k = F.col("s_suppkey")
+    bad = lambda n, wrong, right: F.when(k % 11 == n, F.lit(wrong)).otherwise(right)
+    text = k.cast("string")
+    fields = F.array_compact(F.array(
+        F.concat(F.lit('"id":"'), text, F.lit('"')),
+        F.when(k % 11 != 5, F.lit('"goalId":" g "')),
+        bad(2, '"axisNames":7', F.lit('"axisNames":["Price ","discount"]')),
+        F.when(k % 11 == 7, F.lit('"values":null')).when(k % 11 == 3, F.lit('"values":[1,"x"]')).when(k % 11 == 4, F.lit('"values":[1]')).otherwise(F.concat(F.lit('"values":["'), text, F.lit('",0.5]'))),
+        bad(6, '"rowCount":"many"', F.concat(F.lit('"rowCount":'), (k % 3).cast("string"))),
+        F.concat(F.lit('"binOccupancy":{"[0,1]":'), (k % 5).cast("string"), F.lit(',"[1,1]":"2","[2,2]":-1,"[3,3]":"x"}')),
+        F.lit('"rowLevelVectors":[[1,2],[3],["4","5"],[6,null],"x"],"further":{"a":1}'),
+        F.when(k % 2 == 0, F.lit('"createdAt":"2020","binOccupancyHash":"given"')),
+        F.lit('"analysisAtUpload":{"specificity_score":0.25}'),
+    ))
+    item = F.when(k % 11 == 1, F.lit("[1]")).otherwise(F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))
+    lists = table(spark, sf_dir, "supplier").groupBy(F.floor(k / 50).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("l"))
+    return lists.select(F.when(F.col("part") % 2 == 0, F.col("l")).otherwise(F.concat(F.lit('{"version":1,"clusters":'), F.col("l"), F.lit("}"))).alias("content"))
+
+
+@query(f"""SELECT k::VARCHAR AS record_id, 'g' AS goal_id, 'discount|price' AS axes, k::DOUBLE AS first_value, CASE WHEN k % 3 = 0 THEN 1 ELSE k % 3 END AS row_count, CASE WHEN k % 5 = 0 THEN 1 ELSE 2 END::INTEGER AS cells, 2 + k % 5 AS valid_rows, 2 AS vectors,
+  CASE WHEN k % 2 = 0 THEN 'given' WHEN k % 5 = 0 THEN sha256('{{"[1,1]":2}}') ELSE sha256('{{"[0,1]":' || k % 5 || ',"[1,1]":2}}') END AS occupancy_hash, CASE WHEN k % 2 = 0 THEN '2020' ELSE 'now' END AS created_at, 0.25::DOUBLE AS specificity_at_upload FROM {_SQL_SAVED} WHERE reason IS NULL""")
+def saved_records(spark, sf_dir):
+    """Records that can be used, of contents in both shapes."""
+    got = saved.usable(saved.records(_saved_texts(spark, sf_dir).select(F.explode(saved.items(F.col("content"))).alias("item")), "now"))
+    return got.select(
+        "record_id", "goal_id", F.col("axis_signature").alias("axes"), F.col("values")[0].alias("first_value"), "row_count", F.size("bin_occupancy").alias("cells"), F.col("meta.valid_rows").alias("valid_rows"), F.size("vectors").alias("vectors"),
+        "occupancy_hash", "created_at", F.col("at_upload.specificityScore").alias("specificity_at_upload"),
+    )
+
+
+@query(f"SELECT reason, count(*) AS records FROM {_SQL_SAVED} WHERE reason IS NOT NULL GROUP BY 1")
+def saved_records_dropped(spark, sf_dir):
+    return saved.dropped(saved.records(_saved_texts(spark, sf_dir).select(F.explode(saved.items(F.col("content"))).alias("item")), "now"))
+
+
 _BUILT = ", ".join(f"round(avg(v{k}), 6) AS mean_{n}, round(coalesce(var_samp(v{k}), 0), 4) AS var_{n}, round(coalesce(stddev_samp(v{k}), 0), 6) AS std_{n}" for k, n in enumerate(PRICING.names))
 
 
