@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from densigrid.fixtures import (
 )
 from densigrid.functions import cells
 from densigrid.functions.expression import compile_expression
-from densigrid.operators import density, grids, masks, occupancy, projection, records, report
+from densigrid.operators import density, grids, masks, occupancy, preview, projection, records, report
 from densigrid.plans.grid import Goal
 from densigrid.plans.rules import boxes_of, feasible_size, normalised
 from densigrid.sources import files, saved, tables
@@ -293,8 +294,8 @@ def expression_filter_bins(spark, sf_dir):
 # Density
 
 
-def _modes_sql(goal: Goal, masked_goal: Goal | None = None) -> str:
-    return f"""WITH rows_ AS (SELECT record_id = {TARGET} AS t, key FROM {sql_cells(goal)} WHERE status = 'valid'),
+def _modes_sql(goal: Goal, source: str = "lineitem") -> str:
+    return f"""WITH rows_ AS (SELECT record_id = {TARGET} AS t, key FROM {sql_cells(goal, source=source)} WHERE status = 'valid'),
 counts AS (SELECT key, count(*) FILTER (NOT t) AS peer, count(*) FILTER (t) AS target FROM rows_ GROUP BY 1),
 modes AS (SELECT 'external' AS mode, key, peer AS ref, target FROM counts UNION ALL SELECT 'pooled', key, peer + target, target FROM counts UNION ALL SELECT 'internal', key, target, target FROM counts),
 ranked AS (SELECT mode, key, cume_dist() OVER (PARTITION BY mode ORDER BY ref) AS cd FROM modes WHERE ref > 0),
@@ -369,11 +370,11 @@ def _three_modes(spark, sf_dir, goal: Goal) -> DataFrame:
     return rounded(density.reference_modes(selected, selected if same else split(design), goal, design, feasible_size(design)["valid_bins"]))
 
 
-def _three_modes_sql(goal: Goal, where: str = "") -> str:
+def _three_modes_sql(goal: Goal, where: str = "", source: str = "lineitem") -> str:
     design = goal.design
-    d = _modes_sql(design).replace("WITH rows_", "WITH drows").replace("FROM rows_", "FROM drows").replace("counts AS", "dcounts AS").replace("FROM counts", "FROM dcounts").replace("modes AS", "dmodes AS").split(",\nranked")[0]
+    d = _modes_sql(design, source).replace("WITH rows_", "WITH drows").replace("FROM rows_", "FROM drows").replace("counts AS", "dcounts AS").replace("FROM counts", "FROM dcounts").replace("modes AS", "dmodes AS").split(",\nranked")[0]
     valid = str(feasible_size(design)["valid_bins"])
-    return f"""{_modes_sql(goal)}, {d.removeprefix('WITH ')},
+    return f"""{_modes_sql(goal, source)}, {d.removeprefix('WITH ')},
 conf AS (SELECT * FROM {_confidence_sql('(SELECT mode, key, ref AS cnt FROM dmodes)', valid, goal.k, 'mode')}),
 spec AS (SELECT mode, {_SPEC}, {_RARE} FROM scored GROUP BY 1)
 SELECT mode, specificity_score, max_specificity, unseen_bin_rate, extreme_specificity_rate, valid_target_rows, mean_rarity, max_rarity, reference_rows, occupied_bins, {_ROUND_TERMS}
@@ -863,6 +864,43 @@ def grid_preview(spark, sf_dir):
     return _three_modes(spark, sf_dir, _PREVIEW)
 
 
+_COARSER = [{"name": " Discount", "step": 0.02}, {"name": "PRICE", "high": 200000.0}]
+_LOOKED_AT = replace(MASKED, id="pricing").with_axes(_COARSER)
+_ROLES_LOOKED_AT = replace(ROLES, id="pricing").with_axes(_COARSER)
+_PEERS_AND_TARGET = f"(SELECT * FROM lineitem WHERE l_suppkey = {TARGET} OR l_suppkey IN (SELECT record_id FROM {SQL_HEADERS} WHERE {_PEER}))"
+_TOO_FINE = [{"name": "price", "step": 0.5}]
+
+
+def _request_sql(name: str, goal: Goal, target: bool) -> str:
+    """The peers' part and, with a target, the three modes."""
+    size, design = feasible_size(goal.design), goal.design
+    mine = f"(SELECT record_id FROM {SQL_HEADERS} WHERE {_PEER} AND record_id <> {TARGET})"
+    alone = _confidence_sql(f"(SELECT 1 AS one, key, count(*) AS cnt FROM {sql_cells(design)} WHERE status = 'valid' AND record_id IN {mine} GROUP BY ALL)", str(size["valid_bins"]), goal.k, "one", "0")
+    modes = _three_modes_sql(goal, source=_PEERS_AND_TARGET) if target else ""
+    terms = "reference_rows AS preview_rows, occupied_bins AS preview_bins, round(s, 6) AS preview_s, round(c, 6) AS preview_c, round(e, 6) AS preview_e, round(confidence, 6) AS preview_confidence"
+    scores = "mode, specificity_score, max_specificity, extreme_specificity_rate, unseen_bin_rate, mean_rarity, max_rarity, s, c, e, confidence, reference_rows, occupied_bins, valid_target_rows"
+    blank = "CAST(NULL AS VARCHAR) AS mode, " + ", ".join(f"CAST(NULL AS {'BIGINT' if n.strip() in ('reference_rows', 'occupied_bins', 'valid_target_rows') else 'DOUBLE'}) AS {n}" for n in scores.split(", ")[1:])
+    known = f"SELECT '{name}' AS request, FALSE AS skipped, {goal.total_bins}::BIGINT AS total_bins, {size['masked_bins']}::BIGINT AS masked_bins, {size['valid_bins']}::BIGINT AS valid_bins, seen AS eligible_records, n - seen AS legacy_excluded, p.* EXCLUDE (one)"
+    count = f"(SELECT count(*) AS n, count(*) FILTER (record_id IN (SELECT l_suppkey FROM lineitem)) AS seen FROM {mine})"
+    if target:
+        return f"{known}, {', '.join(f'm.{c}' for c in scores.split(', '))} FROM (SELECT one, {terms} FROM {alone}) p CROSS JOIN {count} CROSS JOIN ({modes}) m"
+    return f"{known}, {blank} FROM (SELECT one, {terms} FROM {alone}) p CROSS JOIN {count}"
+
+
+_SKIPPED_SQL = "SELECT 'skipped' AS request, TRUE AS skipped, 20000000::BIGINT AS total_bins, 0::BIGINT AS masked_bins, 20000000::BIGINT AS valid_bins, 0 AS eligible_records, 0 AS legacy_excluded, 0 AS preview_rows, 0 AS preview_bins, 0 AS preview_s, NULL AS preview_c, 0 AS preview_e, NULL AS preview_confidence, NULL AS mode, NULL AS specificity_score, NULL AS max_specificity, NULL AS extreme_specificity_rate, NULL AS unseen_bin_rate, NULL AS mean_rarity, NULL AS max_rarity, NULL AS s, NULL AS c, NULL AS e, NULL AS confidence, NULL AS reference_rows, NULL AS occupied_bins, NULL AS valid_target_rows"
+
+
+@query(" UNION ALL BY NAME ".join(f"(SELECT * FROM ({x}))" for x in (_request_sql("masked", _LOOKED_AT, True), _request_sql("roles", _ROLES_LOOKED_AT, True), _request_sql("peers", _LOOKED_AT, False), _SKIPPED_SQL)))
+def preview_request(spark, sf_dir):
+    """Previews with a target, on grids with rules and with an output axis; of the peers alone; and one that is too fine to be made."""
+    rows, own = observations(spark, sf_dir), observations(spark, sf_dir).where(F.col("record_id") == TARGET).select("v")
+    heads, masked, roles = headers(spark, sf_dir), replace(MASKED, id="pricing"), replace(ROLES, id="pricing")
+    ask = lambda name, goal, changes, target: preview.request(heads, rows, goal, goal.names, changes, ORDER, target, without=str(TARGET)).withColumn("request", F.lit(name))
+    asked = [ask("masked", masked, _COARSER, own), ask("roles", roles, _COARSER, own), ask("peers", masked, _COARSER, None), ask("skipped", replace(PRICING, id="pricing"), _TOO_FINE, own)]
+    out = rounded(reduce(DataFrame.unionByName, asked))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("total_bins", "masked_bins", "valid_bins")})
+
+
 @query(f"SELECT record_id, count(*) FILTER (status = 'valid') AS valid_rows, count(DISTINCT key) FILTER (status = 'valid') AS occupied_bins, '{_PREVIEW.signature()}' AS grid_signature FROM {sql_cells(_PREVIEW, source=SQL_OBSERVATIONS)} GROUP BY 1")
 def apply_grid(spark, sf_dir):
     rows = occupancy.rebinned(observations(spark, sf_dir), _PREVIEW, ORDER, ["record_id"])
