@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def running(df: DataFrame, at: str, sums: dict[str, str], by: list[str] | None = None) -> DataFrame:
+def running(df: DataFrame, at: str, sums: dict[str, str], by: list[str] | None = None, block: int | None = None) -> DataFrame:
     """``df`` (one row for each by..., at) with the sums of columns over all rows of the group whose ``at`` is no greater, and
     with ``<name>_all``, the sum over the group: ``sums`` maps names of results to columns.  ``at`` is an integer of 0 or more.
 
     Rows are added up in blocks of BLOCK neighbouring values; only the blocks' totals are added up group by group.  Where
     the values are counts of n rows, there are at most 2 sqrt(n / BLOCK) blocks (of those beyond t there are at most n / t), some
-    300,000 for 10^14 rows; so also a single group is no large task.
+    300,000 for 10^14 rows; so also a single group is no large task.  Other values need a ``block`` that leaves few enough.
     """
     by = by or []
-    parts = df.withColumn("__b", F.floor(F.col(at) / BLOCK))
+    parts = df.withColumn("__b", F.floor(F.col(at) / (block or BLOCK)))
     totals = parts.groupBy(*by, "__b").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

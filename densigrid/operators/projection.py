@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from densigrid.functions import cells
+from densigrid.operators.prefix import BLOCK, running
 from densigrid.plans.grid import Goal, GridError, axis_key
 from densigrid.sources.files import written
 
@@ -31,12 +34,12 @@ def place(goal: Goal, name: str) -> int:
         raise GridError(f"no axis {name!r}") from None
 
 
-def projected(counts: DataFrame, goal: Goal, by: list[str] | None = None, most: int = MOST_PAIRS) -> DataFrame:
+def projected(counts: DataFrame, goal: Goal, by: list[str] | None = None, most: int = MOST_PAIRS, fields: int | None = MOST_CELLS) -> DataFrame:
     """by..., x_axis, y_axis, x_bin, y_bin, cnt of all pairs in one pass over the occupied cells.
 
-    Only occupied fields are rows; pairs with more than MOST_CELLS fields are left out.
+    Only occupied fields are rows; pairs with more than ``fields`` fields are left out (None: no pair is).
     """
-    chosen = [p for p in pairs(goal, most) if not skipped(goal, *p)]
+    chosen = [p for p in pairs(goal, most) if fields is None or not skipped(goal, *p, fields)]
     by = by or []
     if not chosen:
         return counts.select(*by, F.lit("").alias("x_axis"), F.lit("").alias("y_axis"), F.lit(0).alias("x_bin"), F.lit(0).alias("y_bin"), "cnt").limit(0)
@@ -53,6 +56,43 @@ def pair_summaries(counts: DataFrame, goal: Goal, most: int = MOST_PAIRS) -> Dat
     return every.join(fullest, ["x_axis", "y_axis"], "left").withColumn("max_cnt", F.coalesce("max_cnt", F.lit(0)).cast("long"))
 
 
+def cell_number(goal: Goal) -> Column:
+    """A cell's place in the order of cells, for grids whose cells a long can number."""
+    return reduce(lambda n, ka: n * ka[1].bins + F.col("cell")[ka[0]], enumerate(goal.axes), F.lit(0).cast("long"))
+
+
+def visuals(counts: DataFrame, goal: Goal, chosen: dict[str, int] | None = None, limit: int = MOST_TUPLES, most: int = MOST_PAIRS) -> DataFrame:
+    """All that a report draws of a target and its peers, from one frame of cells (cell, peer, target): kind, x_axis, y_axis, x_bin,
+    y_bin, key, peer, target.
+
+    pair: the fields of each pair of axes (the first ``most`` pairs, those of up to MOST_CELLS fields), which have a row in
+    them.  axis: every bin of each input axis (of each axis if none is), empty ones too.  tuple: a systematic sample of
+    the target's rows in the order of cells, with how many fall in each cell (all rows if they are no more than ``limit``): rows
+    floor(i n / limit), so their number is exact and no row is touched.  cross: where the ``chosen`` bins stand in each pair.
+    """
+    if goal.total_bins >= 1 << 62:
+        raise GridError("the grid has too many cells to be drawn", hint="use a coarser resolution")
+    spark = counts.sparkSession
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    drawn = [a for a in goal.axes if a.is_input] or list(goal.axes)
+    at = lambda name: F.col("cell")[place(goal, name)]
+    field = lambda kind, x, y, i, j: F.struct(F.lit(kind).alias("kind"), F.lit(x).alias("x_axis"), (F.lit(y) if y else text).alias("y_axis"), i.alias("x_bin"), j.alias("y_bin"))
+    each = [field("pair", x, y, at(x), at(y)) for x, y in pairs(goal, most) if not skipped(goal, x, y)] + [field("axis", a.name, None, at(a.name), none) for a in drawn]
+    counts = written(counts)
+    sums = counts.select(F.explode(F.array(*each)).alias("p"), "peer", "target")
+    empty = [spark.range(a.bins).select(field("axis", a.name, None, F.col("id").cast("int"), none).alias("p"), *[F.lit(0).cast("long").alias(c) for c in ("peer", "target")]) for a in drawn]
+    fields = reduce(DataFrame.unionByName, [sums, *empty]).groupBy("p").agg(F.sum("peer").alias("peer"), F.sum("target").alias("target")).select("p.*", text.alias("key"), "peer", "target")
+
+    mine = counts.where("target > 0").withColumn("number", cell_number(goal))
+    ranked = running(mine.select("number", "cell", "target"), "number", {"upto": "target"}, block=max(BLOCK, goal.total_bins // (1 << 16) + 1))
+    n, b, a = F.col("upto_all"), F.col("upto"), F.col("upto") - F.col("target")
+    above = lambda x: F.floor((x * limit + n - 1) / n)  # noqa: E731  how many of the sampled rows stand before row x
+    taken = F.when(n <= limit, F.col("target")).otherwise(above(b) - above(a)) if limit > 0 else F.lit(0)
+    tuples = ranked.select(F.lit("tuple").alias("kind"), text.alias("x_axis"), text.alias("y_axis"), none.alias("x_bin"), none.alias("y_bin"), cells.bin_key(F.col("cell")).alias("key"), F.lit(0).cast("long").alias("peer"), taken.cast("long").alias("target")).where("target > 0")
+    cross = spark.createDataFrame([("cross", x, y, i, j, None, 0, 0) for x, y, i, j in crosshair(goal, chosen or {})], fields.schema)
+    return fields.unionByName(tuples).unionByName(cross)
+
+
 def selected(rows: DataFrame, goal: Goal, x: str, y: str, x_bin: int, y_bin: int) -> DataFrame:
     """Rows whose cell is in one field of a projection."""
     return rows.where((F.get("cell", F.lit(place(goal, x))) == x_bin) & (F.get("cell", F.lit(place(goal, y))) == y_bin))

@@ -542,6 +542,29 @@ def preview_skipped(spark, sf_dir):
     return grids.guarded(_previewed(spark, sf_dir)).withColumn("total_bins", F.col("total_bins").cast("long"))
 
 
+_DRAWN = f"(SELECT b0, b1, b2, key, count(*) FILTER (record_id <> {TARGET}) AS peer, count(*) FILTER (record_id = {TARGET}) AS target FROM {sql_cells(ROLES)} WHERE status = 'valid' GROUP BY ALL)"
+_SQL_VISUALS = " UNION ALL ".join(
+    [f"SELECT 'pair' AS kind, '{ROLES.names[i]}' AS x_axis, '{ROLES.names[j]}' AS y_axis, b{i} AS x_bin, b{j} AS y_bin, NULL::VARCHAR AS key, sum(peer)::BIGINT AS peer, sum(target)::BIGINT AS target FROM {_DRAWN} GROUP BY b{i}, b{j}" for i, j in ((0, 1), (0, 2), (1, 2))]
+    + [f"SELECT 'axis', '{ROLES.names[i]}', NULL, i, NULL, NULL, coalesce(sum(peer), 0)::BIGINT, coalesce(sum(target), 0)::BIGINT FROM (SELECT unnest(range(10))::INTEGER AS i) LEFT JOIN {_DRAWN} ON b{i} = i GROUP BY i" for i in (0, 1)]
+    + [f"""SELECT 'tuple', NULL, NULL, NULL, NULL, key, 0, count(*) FROM (SELECT key, row_number() OVER (ORDER BY b0, b1, b2) - 1 AS pos, count(*) OVER () AS n FROM {sql_cells(ROLES)} WHERE status = 'valid' AND record_id = {TARGET})
+  WHERE pos IN (SELECT CAST(floor(i * (SELECT count(*) FROM {sql_cells(ROLES)} WHERE status = 'valid' AND record_id = {TARGET}) / 50) AS BIGINT) FROM (SELECT unnest(range(50)) AS i)) GROUP BY key"""]
+    + ["SELECT * FROM (VALUES ('cross', 'discount', 'price', 1, 2, NULL, 0, 0), ('cross', 'discount', 'quantity', 1, NULL, NULL, 0, 0), ('cross', 'price', 'quantity', 2, NULL, NULL, 0, 0)) t"]
+)
+
+
+@query(_SQL_VISUALS)
+def report_visuals(spark, sf_dir):
+    """Pairs, axes, 50 sampled rows and crosshairs of a target and its peers, from one scan."""
+    counts = density.split_counts(priced(spark, sf_dir, ROLES), ROLES, F.col("record_id") == TARGET)
+    return projection.visuals(counts, ROLES, {"discount": 1, "price": 2}, limit=50)
+
+
+@query(" UNION ALL ".join(f"SELECT '{_WIDE.names[i]}' AS x_axis, '{_WIDE.names[j]}' AS y_axis, b{i} AS x_bin, b{j} AS y_bin, count(*) AS cnt FROM {sql_cells(_WIDE)} WHERE status = 'valid' GROUP BY ALL" for i, j in ((0, 1), (0, 2), (1, 2))))
+def projection_wide_pairs(spark, sf_dir):
+    """All pairs, also those of more fields than are drawn."""
+    return projection.projected(occupancy.histogram(priced(spark, sf_dir, _WIDE), _WIDE), _WIDE, fields=None)
+
+
 # Records
 
 

@@ -10,7 +10,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from densigrid.plans.grid import Axis, Goal, GridError, digest
+from densigrid.plans.grid import Axis, Goal, GridError, axis_key, digest
 from densigrid.sources import files
 
 #: Used where nothing is stored yet.
@@ -172,6 +172,19 @@ class Store:
         self.append("logs", self.spark.createDataFrame([tuple(entry.values())], "goal_id string, session_id string, sequence long, created_at string, action string, axes_before string, axes_after string"))
         return entry
 
+    def preview(self, goal_id: str, selected: list[str], changes: list[dict], order: list[str], target: DataFrame | None = None, session: str = "", created_at: str = "", action: str = "preview_recalculated") -> tuple[DataFrame, dict | None]:
+        """A previewed grid of a goal over the store's records (``preview.request``), and the log entry of the session, if one is named
+        and the preview was not too large to be made."""
+        from densigrid.operators import preview
+        from densigrid.operators.grids import MOST_PREVIEW_BINS
+
+        goal = self.goal(goal_id)
+        made = preview.request(self.records(goal.id), self.observations(goal.id), goal, selected, changes, order, target)
+        if not session.strip() or preview.previewed_goal(goal, selected, changes).total_bins > MOST_PREVIEW_BINS:
+            return made, None
+        wanted = {axis_key(n) for n in selected}
+        return made, self.log_preview(goal, session.strip(), [c for c in changes if axis_key(c["name"]) in wanted], created_at, action)
+
     def apply_grid(self, goal_id: str, changes: list[dict], order: list[str]) -> DataFrame:
         """Change a goal's axes and rebuild its records from their observations on the new grid.  The records are written
         first, under a name of their own; then one manifest names them and the changed goal.  An error if someone else
