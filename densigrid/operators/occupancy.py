@@ -42,13 +42,18 @@ def number_values(df: DataFrame, goal: Goal, mapping: dict[str, str]) -> dict[st
 
 
 def binned(df: DataFrame, goal: Goal, values: dict[str, Column], keep: list[str] | None = None, boxes: list[dict] | None = None) -> DataFrame:
+    """keep..., status, cell, and __invalid: is a value missing?  Above PREDICATE_BOXES boxes the status of rows inside the grid is null:
+    which of them are masked is then told for cells, by a join (``histogram``, ``counters``)."""
     boxes = boxes_of(goal) if boxes is None else boxes
     keep = keep or []
     named = df.select(*keep, *[values[a.name].alias(f"__v{k}") for k, a in enumerate(goal.axes)])
     v = {a.name: F.col(f"__v{k}") for k, a in enumerate(goal.axes)}
     placed = named.select("*", *[cells.bin_index(a, v[a.name]).alias(f"__b{k}") for k, a in enumerate(goal.axes)])
     index = {a.name: F.col(f"__b{k}") for k, a in enumerate(goal.axes)}
-    return placed.select(*keep, cells.status(goal, v, index, boxes).alias("status"), F.array(*index.values()).alias("cell"))
+    many = len(boxes) > masks.PREDICATE_BOXES
+    told = cells.status(goal, v, index, [] if many else boxes)
+    told = F.when(told != "valid", told) if many else told
+    return placed.select(*keep, told.alias("status"), F.array(*index.values()).alias("cell"), cells.any_of([x.isNull() for x in v.values()]).alias("__invalid"))
 
 
 def indices(goal: Goal) -> list[str]:
@@ -96,11 +101,35 @@ def axis_histogram(rows: DataFrame, goal: Goal, by: list[str] | None = None) ->
     return counts.select(*by, F.explode(pairs).alias("p"), "cnt").groupBy(*by, "p.axis", "p.idx").agg(F.sum("cnt").alias("cnt"))
 
 
-def counters(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+def cell_counters(rows: DataFrame, goal: Goal, by: list[str] | None = None, boxes: list[dict] | None = None) -> DataFrame:
+    """by..., total_rows, invalid_rows, out_of_domain_rows, and rows and cells of valid and masked ones.
+
+    Rows are counted per cell first, those outside the grid as two more cells, and masks are tested on what is left.
+    """
+    by, names = by or [], indices(goal)
+    boxes = boxes_of(goal) if boxes is None else boxes
+    inside = cells.all_of([F.col("cell")[k].isNotNull() for k in range(len(names))])
+    flat = rows.select(*by, *[F.when(inside, F.col("cell")[k]).alias(n) for k, n in enumerate(names)], "__invalid")
+    grouped = flat.groupBy(*by, *names, "__invalid").agg(F.count("*").alias("n"))
+    zero, here, n = F.lit(0).cast("long"), F.col(names[0]).isNotNull(), F.col("n")
+    amount = lambda on, what, name: F.coalesce(F.sum(F.when(on, what)), zero).cast("long").alias(name)
+    apart = [F.coalesce(F.sum("n"), zero).alias("total_rows"), amount(F.col("__invalid"), n, "invalid_rows"), amount(~F.col("__invalid") & ~here, n, "out_of_domain_rows")]
+    if len(boxes) <= masks.PREDICATE_BOXES:
+        mask = cells.masked(boxes, {a.name: F.col(c) for a, c in zip(goal.axes, names)})
+        told = grouped.withColumn("masked", here & mask)
+        free = here & ~F.col("masked")
+        return told.groupBy(*by).agg(*apart, amount(free, n, "valid_rows"), amount(free, F.lit(1), "valid_bins"), amount(F.col("masked"), n, "masked_rows"), amount(F.col("masked"), F.lit(1), "masked_bins"))
+    left = unmasked(grouped.where(here), goal, ["n"], boxes)
+    kept = left.groupBy(*by).agg(F.sum("n").alias("valid_rows"), F.count("*").alias("valid_bins"))
+    every = grouped.groupBy(*by).agg(*apart, amount(here, n, "in_rows"), amount(here, F.lit(1), "in_bins"))
+    out = every.join(kept, by, "left") if by else every.crossJoin(kept)  # of one row each
+    valid_rows, valid_bins = F.coalesce("valid_rows", zero), F.coalesce("valid_bins", zero)
+    return out.select(*by, "total_rows", "invalid_rows", "out_of_domain_rows", valid_rows.alias("valid_rows"), valid_bins.alias("valid_bins"), (F.col("in_rows") - valid_rows).alias("masked_rows"), (F.col("in_bins") - valid_bins).alias("masked_bins"))
+
+
+def counters(rows: DataFrame, goal: Goal, by: list[str] | None = None, boxes: list[dict] | None = None) -> DataFrame:
     """Rows by status, in total, and distinct masked cells."""
-    aggs = [F.count(F.when(F.col("status") == s, 1)).alias(n) for s, n in (("valid", "valid_rows"), ("invalid", "invalid_rows"), ("out_of_domain", "out_of_domain_rows"), ("masked", "masked_rows"))]
-    masked_cells = F.count_distinct(F.when(F.col("status") == "masked", cells.bin_key(F.col("cell")))).alias("masked_bins")
-    return rows.groupBy(*(by or [])).agg(F.count("*").alias("total_rows"), *aggs, masked_cells)
+    return cell_counters(rows, goal, by, boxes).select(*(by or []), "total_rows", "valid_rows", "invalid_rows", "out_of_domain_rows", "masked_rows", "masked_bins")
 
 
 def summary(df: DataFrame, goal: Goal, values: dict[str, Column], by: list[str] | None = None) -> DataFrame:

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
-from densigrid.operators.occupancy import binned, counters, from_keys, histogram, in_grid, indices, summary, vector_values
+from densigrid.operators.occupancy import binned, cell_counters, counters, from_keys, histogram, summary, vector_values
 from densigrid.plans.grid import Goal, axis_key, peer_key
-from densigrid.plans.rules import boxes_of
 
 
 def has_axes(names: list[str], column: str = "axis_names") -> Column:
@@ -45,13 +44,9 @@ def global_counts(headers: DataFrame, observations: DataFrame, goal: Goal, order
     """The reference density (cell, cnt), and one row of counters: eligible records (also if none of their rows is
     valid), records left out for want of vectors, observations, occupied cells, infeasible rows and cells."""
     rows = binned(observations.join(headers.select("record_id"), "record_id", "left_semi"), goal, vector_values(goal, order), ["record_id"], boxes)
-    # Rows per cell, then whether the cell is masked: both counters of rows and of cells are sums over occupied cells.
-    names = indices(goal)
-    per_cell = in_grid(rows, goal).groupBy(*names).agg(F.count("*").alias("n"))
-    mask = cells.masked(boxes_of(goal) if boxes is None else boxes, {a.name: F.col(n) for a, n in zip(goal.axes, names)})
-    told = per_cell.select("n", mask.alias("masked"))
-    of = lambda masked, what: F.coalesce(F.sum(F.when(F.col("masked") == masked, what)), F.lit(0)).cast("long")
-    inner = told.agg(of(False, F.col("n")).alias("observations"), of(False, F.lit(1)).alias("occupied_bins"), of(True, F.col("n")).alias("infeasible_rows"), of(True, F.lit(1)).alias("infeasible_bins"))
+    inner = cell_counters(rows, goal, boxes=boxes).select(
+        F.col("valid_rows").alias("observations"), F.col("valid_bins").alias("occupied_bins"), F.col("masked_rows").alias("infeasible_rows"), F.col("masked_bins").alias("infeasible_bins")
+    )
     eligible = rows.agg(F.count_distinct("record_id").alias("eligible_records"))
     facts = headers.agg(F.count_distinct("record_id").alias("records")).crossJoin(eligible).crossJoin(inner)  # of one row each
     facts = facts.select("eligible_records", (F.col("records") - F.col("eligible_records")).alias("legacy_excluded"), "observations", "occupied_bins", "infeasible_rows", "infeasible_bins")
@@ -140,7 +135,7 @@ def built(rows: DataFrame, goal: Goal, values: dict[str, Column], by: str = "rec
     """What is saved of each dataset: counters by status, means, variances and deviations of each axis, hash of the histogram,
     signature of the grid, and axis names; datasets without a fully numeric row have null statistics."""
     placed = binned(rows, goal, values, [by])
-    record = counters(placed, [by]).join(summary(rows, goal, values, [by]), by, "left").join(occupancy_hash(histogram(placed, goal, [by]), [by]), by, "left")
+    record = counters(placed, goal, [by]).join(summary(rows, goal, values, [by]), by, "left").join(occupancy_hash(histogram(placed, goal, [by]), [by]), by, "left")
     return record.withColumns({"axis_names": F.array(*[F.lit(n) for n in goal.names]), "grid_signature": F.lit(goal.signature())})
 
 

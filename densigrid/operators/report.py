@@ -74,9 +74,9 @@ def report_row(goal: Goal, modes: DataFrame, target: DataFrame, means: DataFrame
         "experiment_goal": F.lit(goal.name or goal.id), "goal_id": F.lit(goal.id), "axis_names": F.lit(json.dumps(goal.names, ensure_ascii=False)),
         "peer_group_size": F.col("eligible_records"), "peer_record_count": F.col("eligible_records"), "external_peer_record_count": F.col("eligible_records"),
         "external_peer_observation_count": F.col("reference_rows"), "reference_observation_count": F.col("reference_rows"), "reference_occupied_bins": F.col("occupied_bins"),
-        "reference_density_policy": F.lit("external"), "primary_reference_mode": F.lit("external"), "target_included_in_reference": F.lit(False), "no_external_reference": alone,
+        "reference_density_policy": F.lit("external_only"), "primary_reference_mode": F.lit("external"), "target_included_in_reference": F.lit(False), "no_external_reference": alone,
         "internal_density_mode": F.lit(False), "self_contained_reference_warning": F.when(alone, "no saved record to compare with").otherwise(""), "engine": F.lit("density_grid"),
-        "specificity_method": F.lit("ecdf"), "mean_bin_specificity": F.col("specificity_score"), "rare_bin_rate": F.col("extreme_specificity_rate"),
+        "specificity_method": F.lit("occupied_bin_count_ecdf"), "mean_bin_specificity": F.col("specificity_score"), "rare_bin_rate": F.col("extreme_specificity_rate"),
         "infeasible_target_rows": F.col("masked_out_target_rows"), "feasible_mask_enabled": F.lit(bool(text)), "feasible_expressions": F.lit(json.dumps(text, ensure_ascii=False)),
         "feasible_mask_evaluation_skipped": F.lit(False), "feasible_mask_warning": F.lit(""), "coverage_warning": F.when(F.col("c").isNull(), "pending").otherwise(""),
         "valid_bins": F.lit(sizes["valid_bins"]).cast("long"), "masked_bins": F.lit(sizes["masked_bins"]).cast("long"), "valid_domain_ratio": F.lit(sizes["valid_bins"] / sizes["total_bins"]),

@@ -170,7 +170,7 @@ _COUNTERS = "count(*) AS total_rows, count(*) FILTER (status = 'valid') AS valid
 
 @query(f"SELECT record_id, {_COUNTERS} FROM {sql_cells(MASKED)} GROUP BY 1")
 def occupancy_meta(spark, sf_dir):
-    return occupancy.counters(priced(spark, sf_dir, MASKED), ["record_id"])
+    return occupancy.counters(priced(spark, sf_dir, MASKED), MASKED, ["record_id"])
 
 
 @query("SELECT l_suppkey AS record_id, count(*) AS row_count, " + ", ".join(f"round(avg({MAPPING[n]}), 6) AS mean_{n}, round(coalesce(var_samp({MAPPING[n]}), 0), 4) AS var_{n}, round(coalesce(stddev_samp({MAPPING[n]}), 0), 6) AS std_{n}" for n in PRICING.names) + " FROM lineitem GROUP BY 1")
@@ -398,7 +398,7 @@ def reference_modes_masked(spark, sf_dir):
 
 def _diagnosed(spark, sf_dir, mode: str) -> DataFrame:
     """One mode on the masked grid, with what became of the target's rows."""
-    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(F.col("record_id") == TARGET))
+    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(F.col("record_id") == TARGET), MASKED)
     return rounded(density.with_target(_three_modes(spark, sf_dir, MASKED).where(F.col("mode") == mode), target))
 
 
@@ -443,7 +443,7 @@ def summary_verdict(spark, sf_dir):
 
 @query(f"SELECT kind, rows, total_rows FROM (SELECT {_COUNTERS} FROM {sql_cells(MASKED)} WHERE record_id = {TARGET}) CROSS JOIN LATERAL (VALUES ('out_of_domain', out_of_domain_rows), ('masked', masked_rows)) t(kind, rows) WHERE rows > 0")
 def out_of_domain_warnings(spark, sf_dir):
-    return report.warnings(occupancy.counters(priced(spark, sf_dir, MASKED).where(F.col("record_id") == TARGET)))
+    return report.warnings(occupancy.counters(priced(spark, sf_dir, MASKED).where(F.col("record_id") == TARGET), MASKED))
 
 
 # The report of a record, from its peers of the goal; its JSON columns are parsed again to compare numbers.
@@ -453,7 +453,7 @@ _REPORT_TIME = "2024-01-01T00:00:00+00:00"
 def _report(spark, sf_dir) -> DataFrame:
     mine = F.col("record_id") == TARGET
     peers = records.global_counts(records.peers(headers(spark, sf_dir), "pricing", PRICING.names, str(TARGET)), observations(spark, sf_dir), MASKED, ORDER)[1]
-    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(mine))
+    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(mine), MASKED)
     means = rounded(occupancy.summary(lines(spark, sf_dir).where(mine), MASKED, values()))
     return report.report_row(MASKED, _three_modes(spark, sf_dir, MASKED), target, means, peers, feasible_size(MASKED), _REPORT_TIME)
 
@@ -462,16 +462,49 @@ _REPORT_PEERS = f"""(SELECT count(DISTINCT record_id) AS eligible, count(*) FILT
   FROM {sql_cells(MASKED)} WHERE record_id <> {TARGET} AND record_id IN (SELECT record_id FROM {SQL_HEADERS} WHERE trim(goal_id) = 'pricing' AND len(keys) = 3))"""
 
 
-@query(f"""SELECT 'pricing_masked' AS goal_id, eligible AS peer_record_count, reference_rows AS reference_observation_count, specificity_score, mean_rarity, confidence, s AS observation_support_S, out_of_domain_rate,
-  masked_out_target_rows, rows_ AS infeasible_peer_rows, bins AS infeasible_peer_bins, {feasible_size(MASKED)['valid_bins']}::BIGINT AS valid_bins, '["discount","price","quantity"]' AS axes,
-  (SELECT round(avg(l_discount), 6) FROM lineitem WHERE l_suppkey = {TARGET}) AS mean_discount, 3 AS modes, 55 AS fields FROM ({_diagnosed_sql("external")}) CROSS JOIN {_REPORT_PEERS}""")
+_SIZE = feasible_size(MASKED)
+_REPORT_TERMS = ("specificity_score", "mean_rarity", "confidence", "reference_rows")
+
+
+@query(f"""WITH m AS ({_three_modes_sql(MASKED)}), x AS ({_diagnosed_sql("external")}), v AS (SELECT avg(l_discount) AS v0, avg(l_extendedprice) AS v1, avg(l_quantity) AS v2 FROM lineitem WHERE l_suppkey = {TARGET})
+SELECT 'pricing_masked' AS experiment_goal, 'pricing_masked' AS goal_id, '["discount","price","quantity"]' AS axis_names, eligible AS peer_group_size, eligible AS peer_record_count, eligible AS external_peer_record_count,
+  reference_rows AS external_peer_observation_count, reference_rows AS reference_observation_count, occupied_bins AS reference_occupied_bins, 'external_only' AS reference_density_policy, 'external' AS primary_reference_mode,
+  FALSE AS target_included_in_reference, reference_rows = 0 AS no_external_reference, FALSE AS internal_density_mode, NULL::VARCHAR AS self_contained_reference_warning, 'density_grid' AS engine, 'occupied_bin_count_ecdf' AS specificity_method,
+  specificity_score, specificity_score AS mean_bin_specificity, max_specificity, extreme_specificity_rate, mean_rarity, max_rarity, unseen_bin_rate, extreme_specificity_rate AS rare_bin_rate, out_of_domain_rate, masked_out_target_rows,
+  masked_out_target_rows AS infeasible_target_rows, TRUE AS feasible_mask_enabled, 3 AS feasible_expressions, FALSE AS feasible_mask_evaluation_skipped, NULL::VARCHAR AS feasible_mask_warning, NULL::VARCHAR AS coverage_warning,
+  {_SIZE["valid_bins"]}::BIGINT AS valid_bins, {_SIZE["masked_bins"]}::BIGINT AS masked_bins, round({_SIZE["valid_bins"]} / {_SIZE["total_bins"]}.0::DOUBLE, 6) AS valid_domain_ratio, rows_ AS infeasible_peer_rows, bins AS infeasible_peer_bins,
+  confidence, s AS "observation_support_S", c AS "coverage_C", e AS "equitability_E", reference_rows AS peer_observation_count, valid_target_rows, invalid_target_rows, out_of_domain_rows, {_SIZE["total_bins"]}::BIGINT AS total_bins, occupied_bins,
+  '{_REPORT_TIME}' AS analysis_timestamp, concat_ws(',', CASE WHEN masked_out_target_rows > 0 THEN 'masked:' || masked_out_target_rows END, CASE WHEN out_of_domain_rows > 0 THEN 'out_of_domain:' || out_of_domain_rows END) AS out_of_domain_warnings,
+  'Coverage:' || CASE WHEN c < 0.3 THEN 'down' ELSE 'stable' END || ',Equitability:' || CASE WHEN e < 0.5 THEN 'down' ELSE 'stable' END || ',Observation Support:' || CASE WHEN s < 0.6 THEN 'down' ELSE 'stable' END AS confidence_reasons,
+  CASE WHEN specificity_score > 0.75 AND confidence > 0.7 THEN 'rare_and_supported' WHEN specificity_score > 0.75 AND confidence <= 0.4 THEN 'rare_but_weakly_supported' WHEN specificity_score <= 0.5 THEN 'ordinary' ELSE 'moderate' END AS summary_messages, '[]' AS grid_preview_logs,
+  round(v0, 6) AS target_vector_0, round(v1, 6) AS target_vector_1, round(v2, 6) AS target_vector_2, {", ".join(f"(SELECT {t} FROM m WHERE m.mode = '{m}') AS {m}_{t}" for m in density.MODES for t in _REPORT_TERMS)}
+FROM x CROSS JOIN v CROSS JOIN {_REPORT_PEERS}""")
 def export_report(spark, sf_dir):
-    row = _report(spark, sf_dir)
-    return row.select(
-        "goal_id", "peer_record_count", "reference_observation_count", "specificity_score", "mean_rarity", "confidence", "observation_support_S", F.round("out_of_domain_rate", 6).alias("out_of_domain_rate"),
-        "masked_out_target_rows", "infeasible_peer_rows", "infeasible_peer_bins", "valid_bins", F.replace("axis_names", F.lit(" "), F.lit("")).alias("axes"),
-        F.from_json("target_vector", "array<double>")[0].alias("mean_discount"), F.size(F.from_json("reference_modes", "array<struct<mode:string>>")).alias("modes"), F.lit(len(row.columns)).alias("fields"),
-    )
+    """The flat report, written as csv and as json and read back: all fields are those of the csv, and both files are the same.
+    Lists are taken apart to be compared."""
+    made = _report(spark, sf_dir)
+    folder = f"{files.shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    row = files.written(made)
+    for kind in ("csv", "json"):
+        report.write_report(row, f"{folder}/{kind}", kind)
+    schema = row.schema
+    back = spark.read.schema(schema).options(header=True, escape='"').csv(f"{folder}/csv")
+    same = spark.read.schema(schema).json(f"{folder}/json")
+    numbers = [f.name for f in schema if f.dataType.simpleString() in ("double", "bigint", "boolean")]
+    back = back.join(same.select(*[F.col(n).alias(f"__{n}") for n in numbers]), reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"__{n}")) for n in numbers]), "left_semi")
+    modes = F.from_json("reference_modes", "array<struct<mode:string,specificity_score:double,mean_rarity:double,confidence:double,reference_rows:bigint>>")
+    of = lambda m, t: F.get(F.filter(modes, lambda x: x["mode"] == m), F.lit(0))[t]
+    texts = lambda name, fields, show: F.array_join(F.array_sort(F.transform(F.from_json(name, f"array<struct<{fields}>>"), show)), ",").alias(name)
+    shown = {
+        "axis_names": F.replace("axis_names", F.lit(" "), F.lit("")).alias("axis_names"),
+        "feasible_expressions": F.size(F.from_json("feasible_expressions", "array<string>")).alias("feasible_expressions"),
+        "out_of_domain_warnings": texts("out_of_domain_warnings", "kind:string,rows:bigint", lambda x: F.concat_ws(":", x["kind"], x["rows"].cast("string"))),
+        "confidence_reasons": texts("confidence_reasons", "label:string,impact:string", lambda x: F.concat_ws(":", x["label"], x["impact"])),
+        "summary_messages": texts("summary_messages", "verdict:string", lambda x: x["verdict"]),
+    }
+    vector = [F.from_json("target_vector", "array<double>")[k].alias(f"target_vector_{k}") for k in range(3)]
+    kept = [shown.get(n, F.col(n)) for n in report.REPORT_FIELDS if n not in ("target_vector", "reference_modes")]
+    return rounded(back.select(*kept, *vector, *[of(m, t).alias(f"{m}_{t}") for m in density.MODES for t in _REPORT_TERMS]))
 
 
 # Projections

@@ -80,7 +80,7 @@ def test_status_precedence_and_edges(spark):
     got = occupancy.binned(df, goal, occupancy.text_values(df, goal, {"X": "x", "y": "y"}), ["x"])
     assert [r.status for r in got.select("status").collect()] == ["masked", "valid", "out_of_domain", "invalid", "invalid", "invalid", "invalid", "valid", "masked", "invalid", "invalid", "invalid"]
     assert got.where("x = '10'").first().cell == [9, 7]
-    counters = occupancy.counters(got).first()
+    counters = occupancy.counters(got, goal).first()
     assert (counters.total_rows, counters.valid_rows, counters.masked_rows, counters.masked_bins) == (12, 2, 2, 1)
 
 
@@ -96,7 +96,7 @@ def test_empty_table(spark):
     df = frame(spark, [])
     goal = Goal("g", (Axis("x", 0.0, 10.0, 1.0),))
     rows = occupancy.binned(df, goal, occupancy.text_values(df, goal, {"x": "x"}))
-    assert occupancy.histogram(rows, goal).count() == 0 and occupancy.counters(rows).first().total_rows == 0
+    assert occupancy.histogram(rows, goal).count() == 0 and occupancy.counters(rows, goal).first().total_rows == 0
 
 
 def test_summary_of_one_row_and_of_rows_outside(spark):
