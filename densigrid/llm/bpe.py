@@ -27,6 +27,9 @@ from densigrid.llm.ship import map_texts
 #: where texts have no spaces and each "word" is a whole text.
 REMEMBERED, LONGEST = 250_000, 64
 
+#: Beginnings of so many bytes, twice that, ... HEADS times that are remembered with their last tokens: many words share them.
+HEAD, HEADS = 4, 8
+
 # A cut is safe before a single space with a visible character after it: no match of the pattern crosses it.
 _ODD = re.compile(r" (?:\s|$)")
 _SAFE = re.compile(r" (?=\S)")
@@ -74,16 +77,19 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self.matches = regex.compile(pattern).findall
         self.stays = Memo(lambda t: self.merged(self.tokens[t]) == [t])
-        self.fits = Memo(lambda p: self.merged(self.tokens[p[0]] + self.tokens[p[1]]) == [p[0], p[1]])
+        self.halves = Memo(self._halves, len(self.tokens))
+        self.fits = Memo(self._fit, 2 * REMEMBERED)
+        self.heads = Memo(lambda h: tuple(self.last_tokens(h)))
         self.piece = Memo(lambda m: tuple(self.encode_piece(m)), 100_000)
         self.word = Memo(lambda w: tuple(self.encode_part(" " + w)))
 
-    def merged(self, piece: bytes) -> list[int]:
-        """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined.  For short bytes."""
+    def merged(self, piece: bytes, least: int = 1) -> list[int]:
+        """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined (or as many parts as
+        ``least`` are left).  For short bytes."""
         parts, find = [piece[i : i + 1] for i in range(len(piece))], self.ranks.get
         pairs = [find(a + b, 1 << 60) for a, b in zip(parts, parts[1:])]
-        while pairs and (least := min(pairs)) < 1 << 60:
-            i = pairs.index(least)
+        while len(pairs) >= least and (lowest := min(pairs)) < 1 << 60:
+            i = pairs.index(lowest)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del pairs[i]
             if i:
@@ -92,16 +98,50 @@ class PrefixBPE:
                 pairs[i] = find(parts[i] + parts[i + 1], 1 << 60)
         return [self.ranks[p] for p in parts]
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose join makes the token last, if they and theirs all have lower ranks: then the joins of its bytes
+        are made in the order of ranks.  A single byte has itself twice; None where it is otherwise."""
+        if len(self.tokens[token]) == 1:
+            return token, token
+        parts = self.merged(self.tokens[token], 2)
+        return tuple(parts) if len(parts) == 2 and max(parts) < token and all(self.halves[p] for p in parts) else None
+
+    def _fit(self, pair: int) -> bool:
+        """Do two tokens, as one number, stay as they are side by side?
+
+        Their joins are undone, the latest first: what then touches at the border must not have been a better join than the
+        one undone last.  Tokens out of the order of ranks are joined anew.
+        """
+        a, b = divmod(pair, len(self.tokens))
+        if not (self.halves[a] and self.halves[b]):
+            return self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+        tokens, find, halves, bound = self.tokens, self.ranks.get, self.halves, 1 << 60
+        while find(tokens[a] + tokens[b], bound) >= bound:
+            a_byte, b_byte = len(tokens[a]) == 1, len(tokens[b]) == 1
+            if a_byte and b_byte:
+                return True
+            if b_byte or (a > b and not a_byte):
+                bound, a = a, halves[a][1]
+            else:
+                bound, b = b + 1, halves[b][0]  # of equal joins the left one comes first
+        return False
+
     def last_tokens(self, piece: bytes, last: list[int] | None = None) -> list[int]:
         """For each prefix its last token; ``last`` holds those of the first prefixes and is extended in place."""
-        last = [] if last is None else last
-        find, longest = self.ranks.get, self.longest
+        if last is None:
+            known = min((len(piece) - 1) // HEAD, HEADS) * HEAD
+            last = list(self.heads[piece[:known]]) if known else []
+        find, longest, fits, stays, size = self.ranks.get, self.longest, self.fits, self.stays, len(self.tokens)
+        # Only one token can be right, so they may be tried in any order: mostly the last one grows.
+        grows = len(last) - len(self.tokens[last[-1]]) if last else 0
         for end in range(len(last) + 1, len(piece) + 1):
-            for start in range(max(0, end - longest), end):
-                token = find(piece[start:end])
-                if token is not None and (self.fits[last[start - 1], token] if start else self.stays[token]):
-                    last.append(token)
-                    break
+            token = find(piece[grows:end])
+            if token is None or not (fits[last[grows - 1] * size + token] if grows else stays[token]):
+                for grows in range(end - longest if end > longest else 0, end):
+                    token = find(piece[grows:end])
+                    if token is not None and (fits[last[grows - 1] * size + token] if grows else stays[token]):
+                        break
+            last.append(token)
         return last
 
     def edited(self, old: bytes, last: list[int], at: int, cut: int, new: bytes) -> tuple[bytes, list[int]]:
