@@ -10,6 +10,8 @@ hold, so that even a short window is compressed and not stored.  A window's gain
 dictionary less that under the toxic one; a word of fewer letters than SHORTEST has none.  A text's score is a logistic
 function of how many windows, and which share of them, gain 2, 3, 4 and 5 bytes.  It is fitted on labelled texts that the
 dictionaries behind their figures were not made from: each half of the sample is measured with those of the other half.
+On the same figures the threshold is calibrated, which is where the score is 0.5: toxic texts are rare, and where precision
+and recall are best together is not where a text of even odds stands.
 
 A null text is an empty one, which has no windows, and all such texts have one low score; repeated rows and ties have
 equal scores, a text of any length is scored as a whole, and an empty table gives no rows.  Without a labelled text of
@@ -173,7 +175,24 @@ def learned(bad: list[Counter], fine: list[Counter]) -> Model:
             kept = [d for i, d in enumerate(side) if half is None or i % 2 == half]
             x += [model.features(d, memo) for d in kept]
             y += [label] * len(kept)
-    return Model(*dictionaries(bad, fine), logistic(np.array(x), np.array(y), ridge=0.1))
+    x, y = np.array(x), np.array(y)
+    weights = logistic(x, y, ridge=0.1)
+    weights[-1] -= threshold(x @ weights[:-1] + weights[-1], y)
+    return Model(*dictionaries(bad, fine), weights)
+
+
+def threshold(margins: np.ndarray, y: np.ndarray) -> float:
+    """The margin from which texts are called toxic: where precision and recall are best together (F1, of equal ones the lowest).
+
+    Half way between two texts, so that neither stands on it; 0 where it would be best to call all texts toxic, as nothing is told then.
+    """
+    order = np.argsort(-margins, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    last = np.append(margins[order][1:] < margins[order][:-1], True)  # of equal margins all or none are called
+    f1[~last] = -1.0
+    best = len(f1) - 1 - int(np.argmax(f1[::-1]))
+    return float((margins[order][best] + margins[order][best + 1]) / 2) if best + 1 < len(y) else 0.0
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

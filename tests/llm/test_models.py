@@ -111,7 +111,7 @@ def test_stage_without_a_model_drops_nothing(spark, tmp_path):
 
 
 def test_recall_of_toxicity_in_each_language(spark):
-    """Of held-out labelled rows 85 % of the toxic ones are found and 1 % of the others; half at least in each language.
+    """Of held-out labelled rows 90 % of the toxic ones are found and 1 % of the others; half at least in each language.
 
     Most of what is missed is junk (repeats, tables, shouting) without a toxic word of any kind.
     """
@@ -119,7 +119,7 @@ def test_recall_of_toxicity_in_each_language(spark):
     labels = table(spark, path, "labels").where("toxic IS NOT NULL").join(table(spark, path, "documents"), "doc_id").select("doc_id", "lang", "toxic")
     rows = queries.op10_toxicity(spark, path).where("held_out").join(labels, "doc_id").collect()
     found = lambda keep: np.mean([r.predicted for r in rows if keep(r)])
-    assert found(lambda r: r.toxic == 1) >= 0.85 and found(lambda r: r.toxic == 0) <= 0.01
+    assert found(lambda r: r.toxic == 1) >= 0.9 and found(lambda r: r.toxic == 0) <= 0.01
     langs = {r.lang for r in rows}
     assert len(langs) == 4 and all(found(lambda r: r.toxic == 1 and r.lang == x) >= 0.5 for x in langs)
 
@@ -223,3 +223,16 @@ def test_empty_documents(spark, module):
     else:
         labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
         assert module.score(none, module.fit(none, labels), ["doc_id"]).count() == 0
+
+
+def test_threshold():
+    """Best F1 by trying all; ties of the margin stay together; nothing to choose gives 0."""
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        margins, y = rng.integers(-3, 4, 30).astype(float), (rng.random(30) < 0.3).astype(float)
+        f1 = lambda t: 2 * y[margins > t].sum() / max(1, (margins > t).sum() + y.sum())
+        got = toxicity.threshold(margins, y)
+        assert got not in margins or got == 0.0
+        if y.any() and got != 0.0:
+            assert f1(got) == max(f1(t) for t in np.arange(-3.5, 4.0))
+    assert toxicity.threshold(np.array([1.0, 1.0]), np.array([1.0, 1.0])) == 0.0
