@@ -9,10 +9,15 @@ word t near it (CONTEXT characters to either side),
 where p(e) is the share of documents with e, and p(e | t) the share of the documents with t that have it near e, shrunk
 by c / (c + PRIOR) as it is known from only c distinct contexts; copies with the same context count once there, so repeats
 of a text do not make evidence.  IC(e | t) is what a reader of t still lacks to know e, in bits, whatever the size of the
-corpus.  A word that leaves REMOVE bits or less (with PRIOR 1: two contexts or more, and hardly a document without e) is
-removed from the texts that have it near e, wherever it stands in them; one that leaves GENERALISE bits or less (as a word that the corpus has only once, beside
-e: a name, a nickname, a number of a customer) is generalised to its kind.  So the method judges every entity, also one
-that occurs once.
+corpus.  A word discloses e if it reveals DISCLOSED of IC(e) or more and leaves GENERALISE bits or less, and if that is no
+chance: given that it stands beside e once, the other documents with t, documents(t) - 1, would be beside e as often as c - 1
+times or more with a probability of at most the binomial tail for p(e).  That is bounded from above by
+(documents(t) - 1)^k p(e)^k / k! with k = c - 1, and must be CHANCE at most; so one context is never evidence, and a word
+that the corpus has only once is left alone whatever stands beside it.  A disclosing word that leaves REMOVE bits or less is removed from the
+texts that have it near e, wherever it stands in them; the others are generalised to their kind.
+
+A name can also be tied to an entity by form: a word near an e-mail address that is one of the words of its local part
+is generalised, without any counts.
 
 Spans are code-point ranges ``kind:start:end``, end exclusive, by kind (email, ip, card, phone, term), then start.  A null
 text is an empty one and has none; sanitising leaves null texts null, and texts without entities as they are.  Repeated
@@ -22,6 +27,7 @@ rows each get their spans; an empty table gives no rows, and columns of any name
 from __future__ import annotations
 
 from functools import reduce
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,10 +48,13 @@ CONTEXT = 80
 #: Weight of doubt, in contexts, and bits that a word may leave of an entity to be generalised, or removed.
 PRIOR = 1.0
 GENERALISE, REMOVE = 1.0, 0.6
+#: Share of an entity's information that a disclosing word reveals at least, and how probable its company with it may be by chance.
+DISCLOSED, CHANCE = 0.8, 0.01
 #: Matches of a text whose places are added up together.
 RUN = 128
 
 _WORD = r"[\p{L}\p{N}]{4,}"
+_NAME = r"\p{L}{4,}"
 _SPAN = "struct<start:int,end:int,text:string>"
 
 
@@ -116,7 +125,9 @@ def has_entity() -> Column:
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """text_hash, terms: array<struct<term, remove>> of the texts that hold an entity and words that disclose it."""
     entities = scanned(docs).where(has_entity()).withColumn("row", F.monotonically_increasing_id())
-    entity = lambda kind: lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["text"])).alias("e"), s["start"].alias("start"), s["end"].alias("end"))
+    # The words of an e-mail address's local part go with it.
+    form = lambda kind, s: F.regexp_extract_all(F.substring_index(F.lower(s["text"]), "@", 1), F.lit(_NAME), 0) if kind == "email" else F.array().cast("array<string>")
+    entity = lambda kind: lambda s: F.struct(F.xxhash64(F.lit(kind), F.lower(s["text"])).alias("e"), s["start"].alias("start"), s["end"].alias("end"), form(kind, s).alias("form"))
     spans = F.concat(*[F.transform(k, entity(k)) for k in BASE])
     each = entities.select("row", "text_hash", "text", F.explode(spans).alias("s"))
     # One character more than the context on either side, where the text has it: a run of letters and digits that begins
@@ -125,26 +136,41 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     after = F.substring("text", F.col("s.end") + 1, F.lit(CONTEXT + 1))
     whole = lambda part, edge: F.when(F.length(part) > CONTEXT, F.regexp_replace(part, edge, "")).otherwise(part)
     inner = F.concat(whole(before, r"^[\p{L}\p{N}]+"), F.lit(" "), whole(after, r"[\p{L}\p{N}]+$"))
-    near = each.select("row", "text_hash", F.col("s.e").alias("e"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(inner), F.lit(_WORD), 0))).alias("words"))
+    near = each.select("row", "text_hash", F.col("s.e").alias("e"), F.col("s.form").alias("form"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(inner), F.lit(_WORD), 0))).alias("words"))
     near = cut(near.withColumn("context", F.xxhash64(F.array_join("words", " "))))
     if near.isEmpty():
         return near.select("text_hash", F.array(F.struct(F.lit("").alias("term"), F.lit(False).alias("remove"))).alias("terms"))
     # Contexts are counted once each, documents once for an entity and a word.
-    beside = near.select("row", "text_hash", "e", "context", F.explode("words").alias("term"))
-    pairs = cut(beside.groupBy("e", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("both")))
+    beside = near.select("row", "text_hash", "e", "context", "form", F.explode("words").alias("term"))
+    pairs = cut(beside.groupBy("e", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("row").alias("both")).where("contexts > 1"))
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Every word of the corpus is counted, partly before the shuffle; the candidates are looked up in the counts (by an
     # inner join: a semi join would be moved below the count).  The other way round, each occurrence of a candidate would be
     # a row, and a larger corpus has more candidates.
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), 0))).alias("term"))
     often = words.groupBy("term").agg(F.count("*").alias("documents")).join(small(pairs.select("term").distinct()), "term")
-    left = -F.log2(F.col("both") / F.col("documents") * F.col("contexts") / (F.col("contexts") + PRIOR))
-    told = small(pairs.join(small(often), "term").select("e", "term", left.alias("bits")).where(F.col("bits") <= GENERALISE))
+    having = near.select("row", "e").distinct().groupBy("e").agg(F.count("*").alias("having"))
+    counted = pairs.join(small(often), "term").join(small(having.join(pairs.select("e").distinct(), "e", "left_semi")), "e")
+    told = small(counted.select("e", "term", *[v.alias(n) for n, v in disclosure(docs.count()).items()]).where((F.col("bits") <= GENERALISE) & (F.col("disclosed") >= DISCLOSED) & (F.col("log_chance") <= log2(CHANCE))))
     # By entity and word together: an entity that very many texts hold does not bring each of them the words of all others.
-    terms = beside.select("text_hash", "e", "term").distinct().join(told, ["e", "term"]).groupBy("text_hash", "term").agg(F.max(F.col("bits") <= REMOVE).alias("remove"))
+    asked = beside.groupBy("text_hash", "e", "term").agg(F.max(F.array_contains("form", F.col("term"))).alias("formed"))
+    met = asked.join(told.select("e", "term", "bits"), ["e", "term"], "left").where("formed OR bits IS NOT NULL")
+    terms = met.groupBy("text_hash", "term").agg(F.max(F.coalesce(F.col("bits") <= REMOVE, F.lit(False))).alias("remove"))
     return terms.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("term", "remove"))).alias("terms"))
 
 
+def disclosure(documents: int) -> dict[str, Column]:
+    """Of counts (having: documents with the entity, documents: with the word, both, contexts) in a corpus of so many documents: bits that
+    the word leaves of the entity, share of its information that the word reveals (0 where all documents have the entity), and
+    log2 of the bound on the probability of so many contexts by chance."""
+    ic = -F.log2(F.col("having") / F.lit(float(documents)))
+    bits = -F.log2(F.col("both") / F.col("documents") * F.col("contexts") / (F.col("contexts") + PRIOR))
+    k = F.col("contexts") - 1
+    factorial = F.aggregate(F.sequence(F.lit(1), F.least(k, F.lit(64))), F.lit(0.0), lambda a, i: a + F.log2(i.cast("double")))  # beyond 64 a smaller divisor: still a bound
+    chance = k * (F.log2(F.greatest(F.col("documents") - 1, F.lit(1)).cast("double")) - ic) - factorial
+    return {"bits": bits, "disclosed": F.when(ic > 0, (ic - bits) / ic).otherwise(0.0), "log_chance": F.least(chance, F.lit(0.0))}
+
+
 def with_terms(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Scanned rows and, in the column ``term``, the spans of disclosing words that do not touch a base span."""
     told = small(disclosing_terms(docs).select(F.col("text_hash").alias("told_hash"), "terms"))
