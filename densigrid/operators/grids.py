@@ -34,3 +34,10 @@ def total_bins(axes: DataFrame) -> DataFrame:
 def guarded(axes: DataFrame, most: int = MOST_PREVIEW_BINS) -> DataFrame:
     """goal_id, axes, total_bins, skipped: is a preview of the grid too large to be computed?"""
     return total_bins(axes).withColumn("skipped", F.col("total_bins") > most)
+
+
+def meta(axes: DataFrame) -> DataFrame:
+    """The axes with total_bins, and label: the name, and the unit in brackets where there is one (column ``unit``, if any)."""
+    unit = F.coalesce(F.col("unit"), F.lit("")) if "unit" in axes.columns else F.lit("")
+    label = F.when(unit != "", F.concat("axis", F.lit(" ("), unit, F.lit(")"))).otherwise(F.col("axis"))
+    return axes.withColumns({"total_bins": bins(F.col("low"), F.col("high"), F.col("step")), "label": label})

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from densigrid.functions import cells
 from densigrid.operators.occupancy import binned, cell_counters, counters, from_keys, histogram, summary, vector_values
+from densigrid.operators.grids import MANY_BINS
 from densigrid.plans.grid import Goal, axis_key, peer_key
+from densigrid.plans.rules import feasible_size
 
 
 def has_axes(names: list[str], column: str = "axis_names") -> Column:
@@ -69,6 +71,38 @@ def chosen_counts(observations: DataFrame, stored: DataFrame, goal: Goal, order:
     return made.unionByName(old)
 
 
+def chosen_design_counts(observations: DataFrame, stored: DataFrame, goal: Goal, order: list[str]) -> DataFrame:
+    """``chosen_counts`` on the grid of the input axes: stored histograms stand in only where that is the whole grid, as they hold
+    no other."""
+    design = goal.design
+    return chosen_counts(observations, stored if design.names == goal.names else stored.limit(0), design, order)
+
+
+def goal_preview(headers: DataFrame, observations: DataFrame, goal: Goal, order: list[str], boxes: list[dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """How much of a goal's grid of input axes its records fill: (axis, total_bins, occupied_bins, coverage), with a row ``*`` for the
+    whole grid (coverage of its valid cells), and (kind, amount) of what the user should know.
+
+    too_fine: the grid has more than MANY_BINS cells; legacy_excluded: records without vectors; axes_excluded: records of the
+    goal that lack an axis; masked: the rules mask cells.
+    """
+    design = goal.design
+    mine = peers(headers, goal.id, goal.names)
+    counts, facts = global_counts(mine, observations, design, order, boxes)
+    size = feasible_size(design)
+    parts = [F.struct(F.lit(a.name).alias("axis"), F.col("cell")[k].cast("string").alias("at")) for k, a in enumerate(design.axes)] + [F.struct(F.lit("*").alias("axis"), cells.bin_key(F.col("cell")).alias("at"))]
+    met = counts.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.axis").agg(F.count_distinct("p.at").alias("occupied_bins"))
+    every = [(a.name, a.bins, float(a.bins)) for a in design.axes] + [("*", design.total_bins, float(size["valid_bins"]))]
+    known = counts.sparkSession.createDataFrame(every, "axis string, total_bins long, of double")
+    filled = F.coalesce("occupied_bins", F.lit(0)).cast("long")
+    axes = known.join(met, "axis", "left").select("axis", "total_bins", filled.alias("occupied_bins"), F.when(F.col("of") > 0, filled / F.col("of")).otherwise(0.0).alias("coverage"))
+    lacking = headers.where((F.trim("goal_id") == goal.id) & ~has_axes(goal.names)).agg(F.count("*").alias("axes_excluded"))
+    told = facts.crossJoin(lacking)  # of one row each
+    fine = F.lit(design.total_bins if design.total_bins > MANY_BINS else 0)
+    kinds = {"too_fine": fine, "legacy_excluded": F.col("legacy_excluded"), "axes_excluded": F.col("axes_excluded"), "masked": F.lit(size["masked_bins"])}
+    warned = told.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.cast("long").alias("amount")) for k, v in kinds.items()])).alias("w")).select("w.*").where("amount > 0")
+    return axes, warned
+
+
 def peer_counts(headers: DataFrame, observations: DataFrame) -> DataFrame:
     """goal_id, records that have observations."""
     return headers.join(observations.select("record_id").distinct(), "record_id", "left_semi").groupBy("goal_id").agg(F.count_distinct("record_id").alias("peers"))

@@ -874,6 +874,74 @@ def saved_records_dropped(spark, sf_dir):
     return saved.dropped(saved.records(_saved_texts(spark, sf_dir).select(F.explode(saved.items(F.col("content"))).alias("item")), "now"))
 
 
+_SQL_GOALS = """(SELECT s_suppkey AS k, CASE s_suppkey % 13 WHEN 1 THEN 'no_name' WHEN 2 THEN 'no_axes' WHEN 3 THEN 'k_not_positive' WHEN 4 THEN 'axis_twice' WHEN 5 THEN 'axis_no_number' WHEN 6 THEN 'no_input_axis' WHEN 7 THEN 'axis_domain' WHEN 8 THEN 'axis_resolution' WHEN 9 THEN 'no_object' WHEN 10 THEN 'k_no_number' END AS reason FROM supplier)"""
+
+
+@query(f"""SELECT reason, CASE WHEN reason IS NULL THEN k::VARCHAR END AS goal_id, CASE WHEN reason IS NULL THEN CASE WHEN k % 2 = 0 THEN 10.0::DOUBLE ELSE 5.0 END END AS k, CASE WHEN reason IS NULL THEN 'Depth|salt|yield' END AS axes, CASE WHEN reason IS NULL THEN 2 END::INTEGER AS inputs,
+  CASE WHEN reason IS NULL THEN 10 * (1 + k % 4) END::BIGINT AS total_bins, CASE WHEN reason IS NULL THEN 'b > 1;a < 2' || CASE WHEN k % 3 = 0 THEN ';c == 3' ELSE '' END END AS legacy FROM {_SQL_GOALS}""")
+def stored_goals(spark, sf_dir):
+    """Goals as JSON, made from suppliers: many have something wrong with them."""
+    k = F.col("s_suppkey")
+    bad = lambda n, wrong, right: F.when(k % 13 == n, F.lit(wrong)).otherwise(right)
+    axis = lambda name, low, high, step, more="": F.concat(F.lit(f'{{"name":"{name}","domainMin":{low},"domainMax":'), high, F.lit(',"resolution":'), step, F.lit(f"{more}}}"))
+    depth = axis("Depth", 0, bad(7, "0", F.lit('"10"')), F.when(k % 13 == 8, "-1").when(k % 13 == 5, '"x"').otherwise("1"), ',"unit":" m "')
+    salt = F.when(k % 13 == 4, axis(" DEPTH ", 0, F.lit("1"), F.lit("1"))).otherwise(axis(" salt", 0, (1 + k % 4).cast("string"), F.lit("1")))
+    out = axis("yield", 0, F.lit("1"), F.lit("0.1"), ',"role":"Output"')
+    axes = F.when(k % 13 == 2, F.lit("[]")).when(k % 13 == 6, F.concat(F.lit("["), out, F.lit("]"))).otherwise(F.concat(F.lit("["), F.concat_ws(",", out, salt, depth), F.lit("]")))
+    text = F.concat(
+        F.lit('{"id":"'), k.cast("string"), F.lit('","name":"'), bad(1, "  ", F.lit(" tide ")), F.lit('","axes":'), axes,
+        F.when(k % 13 == 3, ',"K_m":0').when(k % 13 == 10, ',"K_m":"many"').when(k % 2 == 1, ',"km":5').otherwise(""),
+        F.lit(',"feasibleDomainRules":[{"expression":"own"}],"legacyAdvancedExpressions":[" b > 1",""],"feasibleDomainAdvancedExpressions":["a < 2","b > 1"],"feasibleDomainExpressions":["own"'),
+        F.when(k % 3 == 0, ',"c == 3"').otherwise(""), F.lit("]}"),
+    )
+    got = saved.goals(table(spark, sf_dir, "supplier").select(F.when(k % 13 == 9, F.lit("7")).otherwise(text).alias("goal")))
+    good = lambda c: F.when(F.col("reason").isNull(), c)
+    return got.select(
+        "reason", good(F.col("goal_id")).alias("goal_id"), good(F.col("k")).alias("k"), good(F.array_join(F.transform("axes", lambda a: a["name"]), "|")).alias("axes"), good(F.size("input_axes")).alias("inputs"),
+        good(F.col("total_bins").cast("long")).alias("total_bins"), good(F.array_join("legacy", ";")).alias("legacy"),
+    )
+
+
+@query(f"SELECT goal_id, axis, total_bins::BIGINT AS total_bins, CASE axis WHEN 'price' THEN 'price (EUR)' ELSE axis END AS label FROM (SELECT goal_id, axis, {_SQL_BINS} AS total_bins FROM ({_SQL_GRIDS}))")
+def axis_meta(spark, sf_dir):
+    axes = _grids(spark, sf_dir).withColumn("unit", F.when(F.col("axis") == "price", "EUR").when(F.col("axis") == "discount", ""))
+    return grids.meta(axes).select("goal_id", "axis", "total_bins", "label")
+
+
+_FINER = replace(MASKED, id="pricing").with_axes([{"name": "price", "step": 50.0}])
+_FINER_CELLS = f"(SELECT * FROM {sql_cells(_FINER, source=SQL_OBSERVATIONS)} WHERE record_id IN (SELECT record_id FROM {SQL_HEADERS} WHERE {_PEER}))"
+
+
+@query(f"""SELECT 'axis' AS what, 'discount' AS name, 10::BIGINT AS amount, count(DISTINCT b0) AS occupied, round(count(DISTINCT b0) / 10, 6) AS coverage FROM {_FINER_CELLS} WHERE status = 'valid'
+  UNION ALL SELECT 'axis', 'price', 2000, count(DISTINCT b1), round(count(DISTINCT b1) / 2000, 6) FROM {_FINER_CELLS} WHERE status = 'valid' UNION ALL SELECT 'axis', 'quantity', 10, count(DISTINCT b2), round(count(DISTINCT b2) / 10, 6) FROM {_FINER_CELLS} WHERE status = 'valid'
+  UNION ALL SELECT 'axis', '*', 200000, count(DISTINCT key), round(count(DISTINCT key) / {feasible_size(_FINER)["valid_bins"]}, 6) FROM {_FINER_CELLS} WHERE status = 'valid'
+  UNION ALL SELECT 'warning', 'too_fine', 200000, NULL, NULL UNION ALL SELECT 'warning', 'masked', {feasible_size(_FINER)["masked_bins"]}, NULL, NULL
+  UNION ALL SELECT 'warning', 'legacy_excluded', count(*), NULL, NULL FROM {SQL_HEADERS} WHERE {_PEER} AND record_id NOT IN (SELECT l_suppkey FROM lineitem) HAVING count(*) > 0
+  UNION ALL SELECT 'warning', 'axes_excluded', count(*), NULL, NULL FROM {SQL_HEADERS} WHERE trim(goal_id) = 'pricing' AND len(keys) < 3 HAVING count(*) > 0""")
+def goal_preview_warnings(spark, sf_dir):
+    axes, warned = records.goal_preview(headers(spark, sf_dir), observations(spark, sf_dir), _FINER, ORDER)
+    shown = axes.select(F.lit("axis").alias("what"), F.col("axis").alias("name"), F.col("total_bins").alias("amount"), F.col("occupied_bins").alias("occupied"), F.round("coverage", 6).alias("coverage"))
+    return shown.unionByName(warned.select(F.lit("warning").alias("what"), F.col("kind").alias("name"), "amount"), allowMissingColumns=True)
+
+
+@query(f"SELECT record_id, key, count(*) AS cnt FROM {sql_cells(ROLES.design)} WHERE status = 'valid' AND {_HALF} GROUP BY ALL")
+def stored_or_rebinned_design(spark, sf_dir):
+    """On the grid of the input axes: the records without vectors have only histograms of the whole grid, which cannot stand in."""
+    maps = keyed(occupancy.histogram(priced(spark, sf_dir), PRICING, ["record_id"]))
+    return keyed(records.chosen_design_counts(observations(spark, sf_dir).where(_HALF), maps, ROLES, ORDER))
+
+
+@query(f"""SELECT specificity_score AS "specificityScore", s AS "observationSupportS", confidence, reference_rows AS "peerObservationCount", out_of_domain_rows AS "outOfDomainRows", eligible AS "peerGroupSize", '{_REPORT_TIME}' AS "analysisTimestamp", FALSE AS "noExternalReference", 3 AS modes,
+  (CASE WHEN masked_out_target_rows > 0 THEN 1 ELSE 0 END + CASE WHEN out_of_domain_rows > 0 THEN 1 ELSE 0 END)::INTEGER AS warnings FROM ({_diagnosed_sql("external")}) CROSS JOIN {_REPORT_PEERS}""")
+def snapshot_made(spark, sf_dir):
+    """The snapshot that a record keeps of its report, as text and read again."""
+    row = _report(spark, sf_dir)
+    got = row.select(saved.snapshot(saved.at_upload(row)).alias("s"))
+    lists = {"modes": "s.referenceModes", "warnings": "s.outOfDomainWarnings"}
+    kept = ("specificityScore", "observationSupportS", "confidence", "peerObservationCount", "outOfDomainRows", "peerGroupSize", "analysisTimestamp", "noExternalReference")
+    return rounded(got.select(*[f"s.{c}" for c in kept], *[F.size(F.from_json(c, "array<string>")).alias(n) for n, c in lists.items()]))
+
+
 _BUILT = ", ".join(f"round(avg(v{k}), 6) AS mean_{n}, round(coalesce(var_samp(v{k}), 0), 4) AS var_{n}, round(coalesce(stddev_samp(v{k}), 0), 6) AS std_{n}" for k, n in enumerate(PRICING.names))
 
 

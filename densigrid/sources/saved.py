@@ -7,12 +7,16 @@ be used has the reason beside it.
 
 from __future__ import annotations
 
+import json
 import re
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
+from densigrid.plans.grid import Axis, Goal, GridError, rule_axes
+from densigrid.plans.rules import normalised
 
 #: Fixed keys of a snapshot, with their types.
 SNAPSHOT = {
@@ -194,3 +198,103 @@ def usable(found: DataFrame) -> DataFrame:
 def dropped(found: DataFrame) -> DataFrame:
     """reason, records: what was left out, and why."""
     return found.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("records"))
+
+
+
+#: Fixed value of a goal's K where it names none.
+K = 10.0
+
+_GOAL = (
+    "id string, name string, K_m string, km string, axes array<struct<name:string,unit:string,domainMin:string,domainMax:string,resolution:string,role:string>>, feasibleDomainRules array<string>,"
+    " legacyAdvancedExpressions array<string>, feasibleDomainAdvancedExpressions array<string>, feasibleDomainExpressions array<string>"
+)
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+
+
+def expressions(*lists: Column) -> Column:
+    """The expressions of several lists in order, each once, without empty ones."""
+    return F.array_distinct(F.filter(F.transform(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]), stripped), lambda x: x != ""))
+
+
+def goals(texts: DataFrame, text: str = "goal") -> DataFrame:
+    """Of goals as JSON text, each normalised, with ``reason``: null if it can be used, else what is wrong with it.
+
+    goal_id (if there is none, made from the name), name, k, axes (canonical order; low, high, step, unit, role), names of input and output
+    axes, total_bins of the input axes, rules as JSON, and legacy: the older expressions in order, each once, without those
+    that the rules' own texts repeat.
+    """
+    df = texts.withColumn("__g", F.from_json(F.when(F.col(text).rlike(r"^\s*\{"), F.col(text)), _GOAL))
+    f = lambda n: F.col(f"__g.{n}")
+    number = lambda x: F.when(F.abs(x.try_cast("double")) < float("inf"), x.try_cast("double"))
+    axis = lambda a: F.struct(F.lower(stripped(a["name"])).alias("key"), stripped(a["name"]).alias("name"), number(a["domainMin"]).alias("low"), number(a["domainMax"]).alias("high"), number(a["resolution"]).alias("step"), stripped(a["unit"]).alias("unit"), F.when(F.lower(stripped(a["role"])) == "output", "output").otherwise("input").alias("role"))
+    axes = F.array_sort(F.transform(f("axes"), axis))
+    given_k = F.coalesce(f("K_m"), f("km"))
+    k = F.when(given_k.isNull(), F.lit(K)).otherwise(number(given_k))
+    rules = F.coalesce(f("feasibleDomainRules"), F.array().cast("array<string>"))
+    rule_texts = F.array_compact(F.transform(rules, lambda r: F.get_json_object(r, "$.expression")))
+    own = F.filter(f("feasibleDomainExpressions"), lambda x: ~F.array_contains(rule_texts, stripped(x)))
+    name = stripped(f("name"))
+    df = df.withColumns({"__axes": axes, "__k": k, "__name": name, "__rules": rules, "__legacy": expressions(f("legacyAdvancedExpressions"), f("feasibleDomainAdvancedExpressions"), own)})
+    ax, inputs = F.col("__axes"), F.filter("__axes", lambda a: a["role"] == "input")
+    reason = (
+        F.when(~F.coalesce(F.col(text).rlike(r"^\s*\{"), F.lit(False)), "no_object")
+        .when(F.col("__name") == "", "no_name")
+        .when(ax.isNull() | (F.size(ax) <= 0), "no_axes")
+        .when(F.col("__k").isNull(), "k_no_number")
+        .when(F.col("__k") <= 0, "k_not_positive")
+        .when(F.exists(ax, lambda a: a["key"] == ""), "axis_without_name")
+        .when(F.size(F.array_distinct(F.transform(ax, lambda a: a["key"]))) < F.size(ax), "axis_twice")
+        .when(F.exists(ax, lambda a: a["low"].isNull() | a["high"].isNull() | a["step"].isNull()), "axis_no_number")
+        .when(F.size(inputs) == 0, "no_input_axis")
+        .when(F.exists(ax, lambda a: a["high"] <= a["low"]), "axis_domain")
+        .when(F.exists(ax, lambda a: a["step"] <= 0), "axis_resolution")
+    )
+    size = F.aggregate(inputs, F.lit(1).cast("decimal(38,0)"), lambda n, a: (n * F.greatest(F.lit(1), F.ceil((a["high"] - a["low"]) / a["step"])).cast("decimal(19,0)")).cast("decimal(38,0)"))
+    names = lambda of: F.transform(of, lambda a: a["name"])
+    return df.withColumn("reason", reason).select(
+        *[c for c in texts.columns if c != text],
+        "reason",
+        F.coalesce(F.nullif(stripped(f("id")), F.lit("")), F.concat(F.lit("goal_"), F.substring(F.sha1(F.col("__name")), 1, 12))).alias("goal_id"),
+        F.col("__name").alias("name"),
+        F.col("__k").alias("k"),
+        ax.alias("axes"),
+        names(inputs).alias("input_axes"),
+        names(F.filter("__axes", lambda a: a["role"] == "output")).alias("output_axes"),
+        F.when(F.col("reason").isNull(), size).alias("total_bins"),
+        F.col("__rules").alias("rules"),
+        F.col("__legacy").alias("legacy"),
+    )
+
+
+def as_goals(found: DataFrame) -> list[Goal]:
+    """Usable goals as plans take them, in order of id; goals are few.  Their rules are brought to the present shape; rules that
+    cannot be are left out."""
+    out = []
+    for r in usable(found).orderBy("goal_id").collect():
+        axes = tuple(Axis(a.name, a.low, a.high, a.step, a.unit, a.role) for a in r.axes)
+        goal = Goal(r.goal_id, axes, r.k, r.name)
+        inputs, rules = set(goal.design.names), []
+        for raw in r.rules:
+            try:
+                rules += [x for x in normalised([json.loads(raw)], goal) if rule_axes(x) <= inputs]
+            except (GridError, KeyError, TypeError, ValueError):
+                continue
+        out.append(replace(goal, rules=tuple(rules)))
+    return out
+
+
+def at_upload(report: DataFrame) -> Column:
+    """A snapshot as JSON text, in the present spelling, of a row of the flat report: what a record keeps of its upload."""
+    have = {c.lower(): c for c in report.columns}
+    names = {"peerGroupSize": "peer_group_size", "analysisTimestamp": "analysis_timestamp", "noExternalReference": "no_external_reference", "primaryReferenceMode": "primary_reference_mode", "referenceModes": "reference_modes", "outOfDomainWarnings": "out_of_domain_warnings"}
+    parts = []
+    for key, kind in SNAPSHOT.items():
+        column = next((have[s.lower()] for s in (*spellings(key), names.get(key, key)) if s.lower() in have), None)
+        if column:
+            text = F.to_json(F.array(F.col(column)))  # quotes and escapes are those of JSON
+            value = F.col(column) if kind == "json" else F.substring(text, F.lit(2), F.length(text) - 2)
+            parts.append(F.concat(F.lit(f'"{key}":'), F.coalesce(F.when(F.col(column).isNotNull(), value), F.lit("null"))))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))

@@ -79,3 +79,20 @@ def test_visuals(spark, limit):
     taken = mine if len(mine) <= limit else [mine[i * len(mine) // limit] for i in range(limit)]
     assert Counter({r.key: r.target for r in got if r.kind == "tuple"}) == Counter("[" + ",".join(map(str, c)) + "]" for c in taken)
     assert {(r.x_axis, r.y_axis, r.x_bin, r.y_bin) for r in got if r.kind == "cross"} == {("depth", "salt", None, 3), ("salt", "yield", 3, None)}
+
+
+def test_goal_preview_and_its_warnings(spark, tables):
+    from dataclasses import replace
+
+    from densigrid.operators import records
+
+    heads, obs, _ = tables
+    axes, warned = records.goal_preview(heads, obs, GOAL, ORDER)
+    got = {r.axis: r for r in axes.collect()}
+    assert set(got) == {"depth", "salt", "*"} and got["*"].total_bins == 96 and got["depth"].coverage == got["depth"].occupied_bins / 12
+    assert {r.kind: r.amount for r in warned.collect()} == {"legacy_excluded": 1, "axes_excluded": 1}
+    rule = {"type": "focused_2d_mask", "x": "depth", "y": "salt", "x_range": (0, 60), "y_range": (0, 8)}
+    shut = replace(GOAL.with_axes([{"name": "depth", "step": 0.001}]), rules=(rule,))
+    axes, warned = records.goal_preview(heads.limit(0), obs, shut, ORDER)
+    assert {(r.axis, r.occupied_bins, r.coverage) for r in axes.collect()} == {("depth", 0, 0.0), ("salt", 0, 0.0), ("*", 0, 0.0)}
+    assert {r.kind: r.amount for r in warned.collect()} == {"too_fine": 480_000, "masked": 480_000}

@@ -87,3 +87,46 @@ def test_files_of_both_shapes(spark, tmp_path):
     found = saved.read_records(spark, str(tmp_path), "now")
     assert sorted(r.record_id for r in saved.usable(found).collect()) == ["r", "s"]
     assert {r.reason: r.records for r in saved.dropped(found).collect()} == {"no_object": 1, "lengths_differ": 1}
+
+
+AXIS = {"name": "Depth", "domainMin": 0, "domainMax": "10", "resolution": 1}
+GOAL = {"id": " g ", "name": " Tide ", "axes": [{**AXIS, "name": " salt", "unit": " % "}, AXIS, {**AXIS, "name": "yield", "role": " OUTPUT "}]}
+
+
+def stored(spark, *values):
+    df = spark.createDataFrame([(i, v if v is None or isinstance(v, str) else json.dumps(v)) for i, v in enumerate(values)], "i int, goal string")
+    return saved.goals(df).orderBy("i")
+
+
+@pytest.mark.parametrize(
+    "change,reason",
+    [
+        ({"name": " "}, "no_name"), ({"axes": []}, "no_axes"), ({"axes": 3}, "no_axes"), ({"K_m": "x"}, "k_no_number"), ({"K_m": 0}, "k_not_positive"), ({"km": -1}, "k_not_positive"),
+        ({"axes": [{**AXIS, "name": " "}]}, "axis_without_name"), ({"axes": [AXIS, {**AXIS, "name": "DEPTH "}]}, "axis_twice"), ({"axes": [{**AXIS, "resolution": None}]}, "axis_no_number"),
+        ({"axes": [{**AXIS, "domainMax": "nan"}]}, "axis_no_number"), ({"axes": [{**AXIS, "role": "output"}]}, "no_input_axis"), ({"axes": [{**AXIS, "domainMax": 0}]}, "axis_domain"), ({"axes": [{**AXIS, "resolution": -1}]}, "axis_resolution"),
+    ],
+)
+def test_goals_that_cannot_be_used(spark, change, reason):
+    assert stored(spark, {**GOAL, **change}).first().reason == reason
+
+
+def test_goals_of_older_forms(spark):
+    rule = {"id": "r", "enabled": True, "expression": "own", "guiSpec": {"type": "conditional_range", "if": {"axis": "Depth", "op": ">", "value": 5}, "then": {"axis": "salt", "min": 0, "max": 4}}}
+    out = {**rule, "guiSpec": {**rule["guiSpec"], "then": {"axis": "yield", "min": 0, "max": 4}}}
+    full = {**GOAL, "km": "5", "feasibleDomainRules": [rule, out, 7, {"guiSpec": {"type": "conditional_range"}}], "legacyAdvancedExpressions": ["b", " a ", ""], "feasibleDomainAdvancedExpressions": ["a", "c"], "feasibleDomainExpressions": ["own", "d", "b"]}
+    rows = stored(spark, full, {k: v for k, v in GOAL.items() if k != "id"}, "7", None)
+    first, nameless, number, null = rows.collect()
+    assert (first.goal_id, first.name, first.k, first.legacy, first.input_axes, first.output_axes, int(first.total_bins)) == ("g", "Tide", 5.0, ["b", "a", "c", "d"], ["Depth", "salt"], ["yield"], 100)
+    assert [(a.name, a.unit, a.role) for a in first.axes] == [("Depth", "", "input"), ("salt", "%", "input"), ("yield", "", "output")]
+    assert nameless.k == 10.0 and nameless.legacy == [] and nameless.goal_id == "goal_" + hashlib.sha1(b"Tide").hexdigest()[:12]
+    assert number.reason == null.reason == "no_object"
+    goals = {g.id: g for g in saved.as_goals(rows)}
+    assert set(goals) == {"g", nameless.goal_id} and [r["id"] for r in goals["g"].rules] == ["r"] and goals["g"].k == 5.0 and goals["g"].design.names == ["Depth", "salt"]
+
+
+def test_snapshot_of_a_report(spark):
+    row = spark.createDataFrame([('say "x"\n', 0.5, 3, True, '[{"a":1}]', None, "t")], "engine string, specificity_score double, peer_group_size long, no_external_reference boolean, reference_modes string, coverage_C double, analysis_timestamp string")
+    text = row.select(saved.at_upload(row).alias("t")).first().t
+    assert json.loads(text) == {"engine": 'say "x"\n', "specificityScore": 0.5, "peerGroupSize": 3, "noExternalReference": True, "referenceModes": [{"a": 1}], "coverageC": None, "analysisTimestamp": "t"}
+    (back,) = snapshots(spark, text)
+    assert (back["engine"], back["specificityScore"], back["peerGroupSize"], back["noExternalReference"], back["referenceModes"], back["coverageC"]) == ('say "x"\n', 0.5, 3, True, '[{"a":1}]', None)
