@@ -111,9 +111,12 @@ def confidence(counts: DataFrame, valid_bins: int | None, k: float, by: list[str
     Without reference rows 0, null, 0, null; coverage and confidence are null while the number of valid cells is unknown.
     """
     by = by or []
-    total = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy(F.lit(1)))
     # Equal counts give equal terms, so the entropy runs over distinct counts.
     spread = counts.where(F.col(cnt) > 0).groupBy(*by, F.col(cnt).alias("x")).agg(F.count("*").alias("cells"), F.sum(cnt).alias("n"))
+    if by:
+        total = F.sum("n").over(Window.partitionBy(*by))
+    else:
+        spread, total = running(spread, "x", {"upto": "n"}), F.col("upto_all")
     terms = spread.select(*by, "cells", "n", (F.col("x") / total).alias("p"))
     made = terms.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("cells").alias("occ"), (-F.sum(F.col("cells") * F.col("p") * F.log(F.col("p") + F.lit(epsilon)))).alias("h"))
     n, occ = F.coalesce("n", F.lit(0)), F.coalesce("occ", F.lit(0))

@@ -1049,6 +1049,22 @@ def apply_grid_stored(spark, sf_dir):
     return now.select(F.col("record_id").cast("long").alias("record_id"), "row_count", F.round("mean_price", 6).alias("mean_price"), "occupancy_hash", "grid_signature")
 
 
+@query("""SELECT event_id::VARCHAR AS log_id, user_id::VARCHAR AS session_id, CASE WHEN event_id % 5 = 2 THEN 1 ELSE greatest(1, event_id % 7) END AS sequence, CASE WHEN event_id % 4 = 0 THEN 'preview_recalculated' ELSE event_type END AS action,
+  CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END::INTEGER AS axes, CASE WHEN event_id % 3 = 0 THEN value END AS step, 2::INTEGER AS modes, CASE WHEN event_id % 6 <> 1 THEN value END AS confidence, event_id % 2 = 0 AS applied FROM events WHERE event_id % 11 <> 5""")
+def preview_logs_read(spark, sf_dir):
+    """Log entries as JSON, made from events: some have no time, axes without a number, values of a wrong type."""
+    k, value = F.col("event_id"), F.col("value").cast("string")
+    axes = F.concat(F.lit('[{"name":" depth ","domainMin":0,"domainMax":"9","resolution":'), F.when(k % 3 == 0, value).otherwise(F.lit('"x"')), F.lit("},7]"))
+    modes = F.concat(F.lit('{"pooled":{"label":"","confidence":'), F.when(k % 6 == 1, F.lit('"high"')).otherwise(value), F.lit(',"occupiedBins":"3"},"external":{"noExternalReference":1},"internal":4,"other":{}}'))
+    text = F.concat(
+        F.lit('{"id":"'), k.cast("string"), F.lit('","sessionId":" '), F.col("user_id").cast("string"), F.lit('","sequence":'), F.when(k % 5 == 2, F.lit('"?"')).otherwise((k % 7).cast("string")), F.when(k % 11 != 5, ',"createdAt":"2024"').otherwise(""),
+        F.when(k % 4 != 0, F.concat(F.lit(',"action":"'), F.col("event_type"), F.lit('"'))).otherwise(""), F.lit(',"axesAfter":'), axes, F.lit(',"referenceModesAfter":'), modes, F.lit(',"appliedAsGoalDefault":'), (k % 2 == 0).cast("string"), F.lit("}"),
+    )
+    got = saved.logs(table(spark, sf_dir, "events").select(text.alias("entry")))
+    pooled = F.get(F.filter("modes_after", lambda m: m["mode"] == "pooled"), F.lit(0))
+    return got.select("log_id", "session_id", "sequence", "action", F.size("axes_after").alias("axes"), F.get("axes_after", F.lit(0))["step"].alias("step"), F.size("modes_after").alias("modes"), pooled["confidence"].alias("confidence"), "applied")
+
+
 _LOGS = "(SELECT event_id AS log_id, user_id AS session_id, ts AS created_at, CASE WHEN event_type = 'click' THEN event_type END AS axes_before, props AS axes_after, 'goal' AS goal_axes FROM events)"
 
 

@@ -298,3 +298,66 @@ def at_upload(report: DataFrame) -> Column:
             value = F.col(column) if kind == "json" else F.substring(text, F.lit(2), F.length(text) - 2)
             parts.append(F.concat(F.lit(f'"{key}":'), F.coalesce(F.when(F.col(column).isNotNull(), value), F.lit("null"))))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+_LOG = "id string, sessionId string, sequence string, createdAt string, action string, axesBefore array<string>, axesAfter array<string>, referenceModesBefore map<string,string>, referenceModesAfter map<string,string>, appliedAsGoalDefault string, appliedAt string"
+#: Fixed terms of a mode in a log entry, with their types.
+LOG_TERMS = {
+    "specificityScore": "double", "confidence": "double", "observationSupportS": "double", "coverageC": "double", "equitabilityE": "double", "referenceObservationCount": "long", "occupiedBins": "long",
+    "validBins": "long", "maskedBins": "long", "aValid": "long",
+}
+MODES = ("external", "pooled", "internal")
+_FALSE = ("", "false", "0", "0.0", "null", "[]", "{}")
+
+
+def _truth(text: Column) -> Column:
+    """Is a JSON value something: not null, false, 0, or empty?"""
+    return ~F.lower(F.coalesce(text, F.lit(""))).isin(*_FALSE)
+
+
+def _log_axes(axes: Column) -> Column:
+    """Axes that have a name and three numbers."""
+    one = lambda t: F.from_json(F.when(t.rlike(r"^\s*\{"), t), "name string, domainMin string, domainMax string, resolution string")
+    made = F.transform(F.transform(axes, one), lambda a: F.struct(stripped(a["name"]).alias("name"), *[a[k].try_cast("double").alias(n) for k, n in (("domainMin", "low"), ("domainMax", "high"), ("resolution", "step"))]))
+    kept = F.filter(made, lambda a: (a["name"] != "") & a["low"].isNotNull() & a["high"].isNotNull() & a["step"].isNotNull())
+    return F.coalesce(kept, F.array().cast("array<struct<name:string,low:double,high:double,step:double>>"))
+
+
+def _log_modes(modes: Column) -> Column:
+    """The known modes that are objects, in fixed order, with their terms; a term of a wrong type is null."""
+    fields = ", ".join(f"{k} string" for k in ("label", "referencePolicy", "targetIncludedInReference", "noExternalReference", *LOG_TERMS))
+
+    def one(mode: str) -> Column:
+        text = F.element_at(modes, mode)
+        m = F.from_json(text, fields)
+        whole = lambda v: F.floor(v.try_cast("double")).cast("long")
+        terms = [(whole(m[k]) if t == "long" else m[k].try_cast(t)).alias(k) for k, t in LOG_TERMS.items()]
+        head = [F.lit(mode).alias("mode"), F.coalesce(F.nullif(m["label"], F.lit("")), F.lit(mode.title())).alias("label"), F.coalesce(m["referencePolicy"], F.lit("")).alias("policy")]
+        flags = [_truth(m["targetIncludedInReference"]).alias("target_included"), _truth(m["noExternalReference"]).alias("no_external")]
+        return F.when(text.rlike(r"^\s*\{"), F.struct(*head, *flags, *terms))
+
+    return F.array_compact(F.array(*map(one, MODES)))
+
+
+def logs(texts: DataFrame, text: str = "entry") -> DataFrame:
+    """Entries of preview logs as JSON text, each normalised; those without an id, a session or a time are left out.
+
+    A number that is missing, wrong or below 1 is 1; an action that is missing is a recalculated preview.
+    """
+    df = texts.withColumn("__l", F.from_json(F.when(F.col(text).rlike(r"^\s*\{"), F.col(text)), _LOG))
+    f = lambda n: F.col(f"__l.{n}")
+    out = df.select(
+        *[c for c in texts.columns if c != text],
+        stripped(f("id")).alias("log_id"),
+        stripped(f("sessionId")).alias("session_id"),
+        F.greatest(F.lit(1), F.coalesce(F.floor(f("sequence").try_cast("double")), F.lit(1))).cast("long").alias("sequence"),
+        stripped(f("createdAt")).alias("created_at"),
+        F.coalesce(F.nullif(f("action"), F.lit("")), F.lit("preview_recalculated")).alias("action"),
+        _log_axes(f("axesBefore")).alias("axes_before"),
+        _log_axes(f("axesAfter")).alias("axes_after"),
+        _log_modes(f("referenceModesBefore")).alias("modes_before"),
+        _log_modes(f("referenceModesAfter")).alias("modes_after"),
+        _truth(f("appliedAsGoalDefault")).alias("applied"),
+        F.nullif(stripped(f("appliedAt")), F.lit("")).alias("applied_at"),
+    )
+    return out.where("log_id <> '' AND session_id <> '' AND created_at <> ''")

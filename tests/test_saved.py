@@ -130,3 +130,20 @@ def test_snapshot_of_a_report(spark):
     assert json.loads(text) == {"engine": 'say "x"\n', "specificityScore": 0.5, "peerGroupSize": 3, "noExternalReference": True, "referenceModes": [{"a": 1}], "coverageC": None, "analysisTimestamp": "t"}
     (back,) = snapshots(spark, text)
     assert (back["engine"], back["specificityScore"], back["peerGroupSize"], back["noExternalReference"], back["referenceModes"], back["coverageC"]) == ('say "x"\n', 0.5, 3, True, '[{"a":1}]', None)
+
+
+def test_preview_logs(spark):
+    full = {
+        "id": " l ", "sessionId": "s", "createdAt": "t", "sequence": "3.7", "action": "", "axesBefore": [AXIS, {**AXIS, "name": ""}, {**AXIS, "resolution": "x"}, 5], "axesAfter": 7,
+        "referenceModesBefore": {"internal": {"label": "own", "aValid": 2.9, "confidence": "0.5"}, "external": {"targetIncludedInReference": "x", "noExternalReference": 0, "coverageC": []}, "pooled": [1]},
+        "referenceModesAfter": [1], "appliedAsGoalDefault": 1, "appliedAt": " ",
+    }
+    texts = [full, {"id": "m", "sessionId": "s", "createdAt": "t", "sequence": -4}, {"id": "n", "sessionId": "", "createdAt": "t"}, {"id": "o", "sessionId": "s"}, [1], None]
+    df = spark.createDataFrame([(None if t is None else json.dumps(t),) for t in texts], "entry string")
+    first, second = saved.logs(df).orderBy("log_id").collect()
+    assert (first.log_id, first.sequence, first.action, first.applied, first.applied_at, first.axes_after, first.modes_after) == ("l", 3, "preview_recalculated", True, None, [], [])
+    assert [tuple(a) for a in first.axes_before] == [("Depth", 0.0, 10.0, 1.0)]
+    external, internal = first.modes_before
+    assert (external.mode, external.label, external.target_included, external.no_external, external.coverageC) == ("external", "External", True, False, None)
+    assert (internal.label, internal.aValid, internal.confidence, internal.policy) == ("own", 2, 0.5, "")
+    assert (second.sequence, second.applied, second.modes_before) == (1, False, [])
