@@ -38,6 +38,14 @@ def split_counts(rows: DataFrame, goal: Goal, is_target: Column) -> DataFrame:
     return unmasked(counts, goal, ["peer", "target"]).select(F.array(*names).alias("cell"), "peer", "target")
 
 
+def split_cells(grouped: DataFrame, goal: Goal, is_target: Column) -> DataFrame:
+    """cell, peer, target of the rows of ``occupancy.per_cell``, which know whether they are the target's."""
+    names = indices(goal)
+    here = grouped.where(F.col(names[0]).isNotNull()).withColumn("__t", is_target)
+    counts = here.groupBy(*names).agg(*[F.sum(F.when(F.col("__t") == t, F.col("n")).otherwise(0)).alias(c) for t, c in ((False, "peer"), (True, "target"))])
+    return unmasked(counts, goal, ["peer", "target"]).select(F.array(*names).alias("cell"), "peer", "target")
+
+
 def by_mode(counts: DataFrame) -> DataFrame:
     """mode, cell, ref, target."""
     readings = F.array(*[F.struct(F.lit(m).alias("mode"), r.alias("ref")) for m, r in (("external", F.col("peer")), ("pooled", F.col("peer") + F.col("target")), ("internal", F.col("target")))])

@@ -101,16 +101,19 @@ def axis_histogram(rows: DataFrame, goal: Goal, by: list[str] | None = None) ->
     return counts.select(*by, F.explode(pairs).alias("p"), "cnt").groupBy(*by, "p.axis", "p.idx").agg(F.sum("cnt").alias("cnt"))
 
 
-def cell_counters(rows: DataFrame, goal: Goal, by: list[str] | None = None, boxes: list[dict] | None = None) -> DataFrame:
-    """by..., total_rows, invalid_rows, out_of_domain_rows, and rows and cells of valid and masked ones.
-
-    Rows are counted per cell first, those outside the grid as two more cells, and masks are tested on what is left.
-    """
+def per_cell(rows: DataFrame, goal: Goal, by: list[str] | None = None) -> DataFrame:
+    """by..., the indices (null outside the grid), __invalid, n: the rows of each cell, masked or not, and of what is outside."""
     by, names = by or [], indices(goal)
-    boxes = boxes_of(goal) if boxes is None else boxes
     inside = cells.all_of([F.col("cell")[k].isNotNull() for k in range(len(names))])
     flat = rows.select(*by, *[F.when(inside, F.col("cell")[k]).alias(n) for k, n in enumerate(names)], "__invalid")
-    grouped = flat.groupBy(*by, *names, "__invalid").agg(F.count("*").alias("n"))
+    return flat.groupBy(*by, *names, "__invalid").agg(F.count("*").alias("n"))
+
+
+def cell_counters(grouped: DataFrame, goal: Goal, by: list[str] | None = None, boxes: list[dict] | None = None) -> DataFrame:
+    """by..., total_rows, invalid_rows, out_of_domain_rows, and rows and cells of valid and masked ones, from the rows of
+    ``per_cell`` (by the same columns or more); so masks are tested on cells."""
+    by, names = by or [], indices(goal)
+    boxes = boxes_of(goal) if boxes is None else boxes
     zero, here, n = F.lit(0).cast("long"), F.col(names[0]).isNotNull(), F.col("n")
     amount = lambda on, what, name: F.coalesce(F.sum(F.when(on, what)), zero).cast("long").alias(name)
     apart = [F.coalesce(F.sum("n"), zero).alias("total_rows"), amount(F.col("__invalid"), n, "invalid_rows"), amount(~F.col("__invalid") & ~here, n, "out_of_domain_rows")]
@@ -129,7 +132,7 @@ def cell_counters(rows: DataFrame, goal: Goal, by: list[str] | None = None, boxe
 
 def counters(rows: DataFrame, goal: Goal, by: list[str] | None = None, boxes: list[dict] | None = None) -> DataFrame:
     """Rows by status, in total, and distinct masked cells."""
-    return cell_counters(rows, goal, by, boxes).select(*(by or []), "total_rows", "valid_rows", "invalid_rows", "out_of_domain_rows", "masked_rows", "masked_bins")
+    return cell_counters(per_cell(rows, goal, by), goal, by, boxes).select(*(by or []), "total_rows", "valid_rows", "invalid_rows", "out_of_domain_rows", "masked_rows", "masked_bins")
 
 
 def summary(df: DataFrame, goal: Goal, values: dict[str, Column], by: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.functions import cells
-from densigrid.operators.occupancy import binned, cell_counters, counters, from_keys, histogram, summary, vector_values
+from densigrid.operators.occupancy import binned, cell_counters, counters, from_keys, histogram, per_cell, summary, vector_values
 from densigrid.operators.grids import MANY_BINS
 from densigrid.plans.grid import Goal, axis_key, peer_key
 from densigrid.plans.rules import feasible_size
@@ -46,7 +46,7 @@ def global_counts(headers: DataFrame, observations: DataFrame, goal: Goal, order
     """The reference density (cell, cnt), and one row of counters: eligible records (also if none of their rows is
     valid), records left out for want of vectors, observations, occupied cells, infeasible rows and cells."""
     rows = binned(observations.join(headers.select("record_id"), "record_id", "left_semi"), goal, vector_values(goal, order), ["record_id"], boxes)
-    inner = cell_counters(rows, goal, boxes=boxes).select(
+    inner = cell_counters(per_cell(rows, goal), goal, boxes=boxes).select(
         F.col("valid_rows").alias("observations"), F.col("valid_bins").alias("occupied_bins"), F.col("masked_rows").alias("infeasible_rows"), F.col("masked_bins").alias("infeasible_bins")
     )
     eligible = rows.agg(F.count_distinct("record_id").alias("eligible_records"))

@@ -396,10 +396,27 @@ def reference_modes_masked(spark, sf_dir):
     return _three_modes(spark, sf_dir, MASKED)
 
 
+def _cells_by_role(spark, sf_dir) -> DataFrame:
+    """Rows per cell of the masked grid, of the target (role 2), its peers of the goal (1) and all others (0): binned once."""
+    mine = records.peers(headers(spark, sf_dir), "pricing", PRICING.names, str(TARGET)).select("record_id", F.lit(1).alias("of_goal")).distinct()
+    role = F.when(F.col("record_id") == TARGET, 2).otherwise(F.coalesce("of_goal", F.lit(0)))
+    rows = priced(spark, sf_dir, MASKED).join(mine, "record_id", "left").withColumn("role", role)
+    return files.written(occupancy.per_cell(rows, MASKED, ["role"]))
+
+
+def _modes_of_cells(grouped: DataFrame) -> DataFrame:
+    counts = density.split_cells(grouped, MASKED, F.col("role") == 2)
+    return rounded(density.reference_modes(counts, counts, MASKED, MASKED, feasible_size(MASKED)["valid_bins"]))
+
+
+def _target_of_cells(grouped: DataFrame) -> DataFrame:
+    return occupancy.cell_counters(grouped.where("role = 2"), MASKED)
+
+
 def _diagnosed(spark, sf_dir, mode: str) -> DataFrame:
     """One mode on the masked grid, with what became of the target's rows."""
-    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(F.col("record_id") == TARGET), MASKED)
-    return rounded(density.with_target(_three_modes(spark, sf_dir, MASKED).where(F.col("mode") == mode), target))
+    grouped = _cells_by_role(spark, sf_dir)
+    return rounded(density.with_target(_modes_of_cells(grouped).where(F.col("mode") == mode), _target_of_cells(grouped)))
 
 
 def _diagnosed_sql(mode: str) -> str:
@@ -451,11 +468,12 @@ _REPORT_TIME = "2024-01-01T00:00:00+00:00"
 
 
 def _report(spark, sf_dir) -> DataFrame:
-    mine = F.col("record_id") == TARGET
-    peers = records.global_counts(records.peers(headers(spark, sf_dir), "pricing", PRICING.names, str(TARGET)), observations(spark, sf_dir), MASKED, ORDER)[1]
-    target = occupancy.counters(priced(spark, sf_dir, MASKED).where(mine), MASKED)
-    means = rounded(occupancy.summary(lines(spark, sf_dir).where(mine), MASKED, values()))
-    return report.report_row(MASKED, _three_modes(spark, sf_dir, MASKED), target, means, peers, feasible_size(MASKED), _REPORT_TIME)
+    grouped = _cells_by_role(spark, sf_dir)
+    near = records.peers(headers(spark, sf_dir), "pricing", PRICING.names, str(TARGET)).select("record_id")
+    seen = lines(spark, sf_dir).select("record_id").distinct().join(near, "record_id", "left_semi").agg(F.count("*").alias("eligible_records"))
+    peers = seen.crossJoin(occupancy.cell_counters(grouped.where("role = 1"), MASKED).select(F.col("masked_rows").alias("infeasible_rows"), F.col("masked_bins").alias("infeasible_bins")))  # of one row each
+    means = rounded(occupancy.summary(lines(spark, sf_dir).where(F.col("record_id") == TARGET), MASKED, values()))
+    return report.report_row(MASKED, _modes_of_cells(grouped), _target_of_cells(grouped), means, peers, feasible_size(MASKED), _REPORT_TIME)
 
 
 _REPORT_PEERS = f"""(SELECT count(DISTINCT record_id) AS eligible, count(*) FILTER (status = 'masked') AS rows_, count(DISTINCT key) FILTER (status = 'masked') AS bins
