@@ -16,6 +16,7 @@ from densigrid.functions.cells import delta
 from densigrid.operators.occupancy import histogram, in_grid, indices, unmasked
 from densigrid.operators.prefix import running
 from densigrid.plans.grid import Goal, GridError
+from densigrid.sources.files import written
 
 MODES = ("external", "pooled", "internal")
 EXTREME = 0.95
@@ -204,7 +205,7 @@ def own_counts(rows: DataFrame, goal: Goal, record: str) -> DataFrame:
     own = histogram(rows, goal, [record]).withColumnRenamed("cnt", "o")
     if goal.total_bins < 1 << 62:  # joined faster than indices
         own = own.withColumn("cell", reduce(lambda n, ka: n * ka[1].bins + F.col("cell")[ka[0]], enumerate(goal.axes), F.lit(0).cast("long")))
-    return own
+    return written(own)  # read several times; so rows are binned once
 
 
 def _steps(own: DataFrame, record: str) -> tuple[DataFrame, DataFrame]:
@@ -258,6 +259,7 @@ def reevaluated(rows: DataFrame, goal: Goal, record: str, design_rows: DataFrame
     """
     own = own_counts(rows, goal, record)
     steps, whole = _steps(own, record)
+    steps = written(steps)
     # G(e) at every value that occurs: values at which it is only asked add no cells.
     known = whole.select(F.col("g").alias("at"), F.lit(1).alias("cells")).unionByName(steps.where("hit > 0").select("at", F.lit(0).alias("cells")))
     known = running(known.groupBy("at").agg(F.sum("cells").alias("cells")), "at", {"before": "cells"}).select("at", "before")
