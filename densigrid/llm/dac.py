@@ -11,8 +11,11 @@ lie in any store.  Repeated rows are kept, null and empty texts are stored as th
 
 from __future__ import annotations
 
+import json
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +113,17 @@ class Codes:
         return out
 
 
+#: Where Latin letters end.
+LATIN = "\u0250"
+
+
+def byte_letters() -> dict[int, str]:
+    """Each byte as the character that byte-level vocabularies write for it: itself if it can be seen, else one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b if b in seen else 256 + hidden.index(b)) for b in range(256)}
+
+
 class WordTokens:
     """Token ids by the tokenizers library, which sees each spaced word once while it is remembered.
 
@@ -122,15 +136,28 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = {2: "H", 4: "I"}[np.dtype(self.kind).itemsize]
+        self.model, self.letters = self.tokenizer.model, byte_letters() if self._plain() else None
         self.words = Memo(self._word, 600_000)
         self.marks = {m: self._bytes(m) for m in ",."}
 
+    def _plain(self) -> bool:
+        """Is a spaced word of letters one piece of text for the model, whose bytes it sees as letters?"""
+        told = json.loads(self.tokenizer.to_str())
+        cut = told["pre_tokenizer"] or {}
+        return told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not any(t["content"].isalpha() for t in told["added_tokens"])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+
     def _bytes(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         if word[-1:] in self.marks and word[:-1].isalpha():  # letters and marks never share a token
             return self.words[word[:-1]] + self.marks[word[-1]]
+        if self.letters and word.isalpha() and max(word) < LATIN:  # what is a letter elsewhere depends on the version of Unicode
+            return self._packed([t.id for t in self.model.tokenize((" " + word).encode().decode("latin-1").translate(self.letters))])
         return self._bytes(" " + word)
 
     def encode(self, text: str) -> np.ndarray:
