@@ -129,7 +129,7 @@ class PrefixBPE:
     def last_tokens(self, piece: bytes, last: list[int] | None = None) -> list[int]:
         """For each prefix its last token; ``last`` holds those of the first prefixes and is extended in place."""
         if last is None:
-            known = min((len(piece) - 1) // HEAD, HEADS) * HEAD
+            known = max(0, min((len(piece) - 1) // HEAD, HEADS)) * HEAD  # none of an empty piece
             last = list(self.heads[piece[:known]]) if known else []
         find, longest, fits, stays, size = self.ranks.get, self.longest, self.fits, self.stays, len(self.tokens)
         # Only one token can be right, so they may be tried in any order: mostly the last one grows.

@@ -69,6 +69,11 @@ def test_appends_and_edits(encoder, piece, data):
     assert edited == piece[:at] + new + piece[at + gone :] and tokens == encoder.last_tokens(edited)
 
 
+def test_an_empty_piece_has_no_last_tokens(encoder):
+    new = bpe.PrefixBPE(encoder.ranks, P.PATTERN)  # remembers nothing yet
+    assert new.last_tokens(b"") == [] and new.edited(b"", [], 0, 0, b"on") == (b"on", new.last_tokens(b"on")) and new.edited(b"on", new.last_tokens(b"on"), 0, 2, b"") == (b"", [])
+
+
 def test_prefix_tokens_are_right_for_every_prefix(encoder):
     piece = b" thinthonrealish"
     last = encoder.last_tokens(piece)
