@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from densigrid.llm.ship import map_texts
+from densigrid.llm.ship import kept, map_texts
 
 #: Words and pairs that a Python worker remembers at most, twice over, and the longest of them: so its memory is bounded, also
 #: where texts have no spaces and each "word" is a whole text.
@@ -78,10 +78,11 @@ class PrefixBPE:
         self.matches = regex.compile(pattern).findall
         self.stays = Memo(lambda t: self.merged(self.tokens[t]) == [t])
         self.halves = Memo(self._halves, len(self.tokens))
-        self.fits = Memo(self._fit, 2 * REMEMBERED)
-        self.heads = Memo(lambda h: tuple(self.last_tokens(h)))
-        self.piece = Memo(lambda m: tuple(self.encode_piece(m)), 100_000)
-        self.word = Memo(lambda w: tuple(self.encode_part(" " + w)))
+        # Together some 150 MB where all are full.
+        self.fits = Memo(self._fit, 300_000)
+        self.heads = Memo(lambda h: tuple(self.last_tokens(h)), 50_000)
+        self.piece = Memo(lambda m: tuple(self.encode_piece(m)), 60_000)
+        self.word = Memo(lambda w: tuple(self.encode_part(" " + w)), 200_000)
 
     def merged(self, piece: bytes, least: int = 1) -> list[int]:
         """The definition: join the neighbours of lowest rank, leftmost first, until none can be joined (or as many parts as
@@ -202,14 +203,9 @@ class GrowingText:
         return self.done + self.bpe.encode_part(self.tail)
 
 
-_loaded: dict[tuple[str, str], PrefixBPE] = {}
-
-
 def load(path: str, pattern: str) -> PrefixBPE:
-    """One for each Python worker; it keeps what it remembers from task to task."""
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = PrefixBPE(read_ranks(path), pattern)
-    return _loaded[path, pattern]
+    """One for each Python worker; it keeps what it remembers from task to task, as long as these encode."""
+    return kept(("bpe", path, pattern), lambda: PrefixBPE(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str], with_ids: bool = True, with_hashes: bool = True) -> DataFrame:
@@ -242,4 +238,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: list[
 
         return work
 
-    return map_texts(docs, make, fields, keep)
+    return map_texts(docs, make, fields, keep, keeps=True)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.llm.bpe import Memo, spaced_words
-from densigrid.llm.ship import shared_folder, ship
+from densigrid.llm.ship import kept, shared_folder, ship
 
 BLOCK = 512
 #: Tokens after which a shard is closed (a document is never split).
@@ -165,13 +165,8 @@ class WordTokens:
         return np.frombuffer(self._bytes(first) + b"".join(map(self.words.__getitem__, words)), self.kind)
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
 def load(path: str) -> WordTokens:
-    if path not in _loaded:
-        _loaded[path] = WordTokens(path)
-    return _loaded[path]
+    return kept(("dac", path), lambda: WordTokens(path))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:

@@ -105,10 +105,27 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str, keep: list[str], text: str = "text", null: str | None = "") -> DataFrame:
+_kept: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What this Python worker keeps from task to task: the last thing asked for, and nothing beside it, as Spark gives one
+    worker the tasks of all operators in turn."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fields: str, keep: list[str], text: str = "text", null: str | None = "", keeps: bool = False) -> DataFrame:
     """Columns ``keep`` and those that the function of ``make()`` gives for the column ``text``, batch by batch.
 
-    ``make`` runs once in each task; null texts reach the function as ``null``.
+    ``make`` runs once in each task; null texts reach the function as ``null``.  Unless ``make`` ``keeps`` something from task to
+    task (see ``kept``), what others kept is dropped first.
     """
     ship(df.sparkSession)
     n = len(keep)
@@ -120,6 +137,8 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], dict]], fi
     schema = f"{head}, {fields}" if keep else fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            forget()
         work = make()
         for batch in batches:
             texts = [null if t is None else t for t in batch.column(at).to_pylist()]

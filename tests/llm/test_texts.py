@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from densigrid.llm import bpe, dac, jpeg, queries
+from densigrid.llm.ship import map_texts
 from conftest import DATA
 
 ODD = ["", None, " ", "  a  b ", "a\n\n b", "don't 's  it's\xa0 x", "\x1c \x1c a", "a" * 5000, "日本語 テスト 12３4", "x <|endoftext|> y", "%%%  ***\t\t x  ", "é" * 3000 + " " * 500, "same", "same"]
@@ -74,6 +75,30 @@ def test_an_empty_piece_has_no_last_tokens(encoder):
     assert new.last_tokens(b"") == [] and new.edited(b"", [], 0, 0, b"on") == (b"on", new.last_tokens(b"on")) and new.edited(b"on", new.last_tokens(b"on"), 0, 2, b"") == (b"", [])
 
 
+def encoders_held(spark):
+    """Encoders with their tables that live in the Python workers while another operator works there."""
+
+    def make():
+        import gc
+
+        gc.collect()
+        n = sum(type(x).__name__ in ("PrefixBPE", "WordTokens") for x in gc.get_objects())
+        return lambda texts: {"n": [n] * len(texts)}
+
+    rows = spark.range(64).repartition(8).selectExpr("cast(id as string) AS text")
+    return max(r.n for r in map_texts(rows, make, "n long", []).collect())
+
+
+def test_workers_drop_an_encoder_when_another_operator_works(spark, odd):
+    bpe.encode_documents(odd.repartition(8), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, ["doc_id"]).collect()
+    assert encoders_held(spark) == 0
+
+
+def test_what_an_encoder_remembers_is_bounded(encoder):
+    tables = (encoder.word, encoder.piece, encoder.heads, encoder.fits)
+    assert sum(2 * t.limit for t in tables) <= 1_300_000  # before: 2.2 million entries, some 310 MB
+
+
 def test_prefix_tokens_are_right_for_every_prefix(encoder):
     piece = b" thinthonrealish"
     last = encoder.last_tokens(piece)
