@@ -47,13 +47,16 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-            if isinstance(key, str) and len(key) > LONGEST:
-                return value
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if isinstance(key, str) and len(key) > LONGEST:
+            return
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def spaced_words(text: str) -> tuple[str, list[str]]:

@@ -12,10 +12,8 @@ lie in any store.  Repeated rows are kept, null and empty texts are stored as th
 from __future__ import annotations
 
 import json
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densigrid.llm.bpe import Memo, spaced_words
-from densigrid.llm.ship import kept, shared_folder, ship
+from densigrid.llm.ship import CHUNK_CHARS, kept, shared_folder, ship
 
 BLOCK = 512
 #: Tokens after which a shard is closed (a document is never split).
@@ -113,10 +111,6 @@ class Codes:
         return out
 
 
-#: Where Latin letters end.
-LATIN = "\u0250"
-
-
 def byte_letters() -> dict[int, str]:
     """Each byte as the character that byte-level vocabularies write for it: itself if it can be seen, else one from 256 on."""
     seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -127,7 +121,9 @@ def byte_letters() -> dict[int, str]:
 class WordTokens:
     """Token ids by the tokenizers library, which sees each spaced word once while it is remembered.
 
-    The vocabulary's pre-tokenizer never joins what a safe cut parts (see ``bpe.spaced_words``).
+    The vocabulary's pre-tokenizer never joins what a safe cut parts (see ``bpe.spaced_words``), whatever stands before it:
+    so the words of many texts that are not remembered are one text for the library, and a token that begins with a space
+    begins a word.
     """
 
     def __init__(self, path: str):
@@ -136,39 +132,79 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = {2: "H", 4: "I"}[np.dtype(self.kind).itemsize]
-        self.model, self.letters = self.tokenizer.model, byte_letters() if self._plain() else None
-        self.words = Memo(self._word, 600_000)
-        self.marks = {m: self._bytes(m) for m in ",."}
+        self.joins = self._plain()
+        space, vocabulary = byte_letters()[32], self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+        self.words = Memo(lambda w: self._bytes(" " + w), 600_000)
 
     def _plain(self) -> bool:
-        """Is a spaced word of letters one piece of text for the model, whose bytes it sees as letters?"""
+        """Does the library see bytes as they are, cut by its own pattern alone?"""
         told = json.loads(self.tokenizer.to_str())
         cut = told["pre_tokenizer"] or {}
-        return told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not any(t["content"].isalpha() for t in told["added_tokens"])
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
+        return told["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and all(t["special"] for t in told["added_tokens"])
 
     def _bytes(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _made(self, new: dict[str, None]) -> dict[str, bytes]:
+        """What words that are not in the newer generation stand for."""
+        out, fresh = {}, []
+        for word in new:
+            if self.joins and word not in self.words.old and " " not in word:
+                fresh.append(word)
+            else:
+                out[word] = self.words[word]
+        if fresh:
+            ids = self._ids(" " + " ".join(fresh))
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(fresh):
+                raise ValueError("the vocabulary joins spaced words")
+            data, edges = ids.tobytes(), [*(starts * ids.itemsize).tolist(), ids.nbytes]
+            for word, a, b in zip(fresh, edges, edges[1:]):
+                out[word] = data[a:b]
+                self.words.keep(word, out[word])
+        return out
 
-    def _word(self, word: str) -> bytes:
-        if word[-1:] in self.marks and word[:-1].isalpha():  # letters and marks never share a token
-            return self.words[word[:-1]] + self.marks[word[-1]]
-        if self.letters and word.isalpha() and max(word) < LATIN:  # what is a letter elsewhere depends on the version of Unicode
-            return self._packed([t.id for t in self.model.tokenize((" " + word).encode().decode("latin-1").translate(self.letters))])
-        return self._bytes(" " + word)
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        firsts, words, ends = [], [], []
+        for text in texts:
+            first, own = spaced_words(text)
+            firsts.append(first)
+            words += own
+            ends.append(len(words))
+        known = list(map(self.words.get, words))
+        missing = [i for i, ids in enumerate(known) if ids is None]
+        made = self._made(dict.fromkeys(words[i] for i in missing))
+        for i in missing:
+            known[i] = made[words[i]]
+        for first, start, end in zip(firsts, [0, *ends], ends):
+            yield np.frombuffer(self._bytes(first) + b"".join(known[start:end]), self.kind)
 
     def encode(self, text: str) -> np.ndarray:
-        first, words = spaced_words(text)
-        return np.frombuffer(self._bytes(first) + b"".join(map(self.words.__getitem__, words)), self.kind)
+        return next(self.encode_all([text]))
 
 
 def load(path: str) -> WordTokens:
     return kept(("dac", path), lambda: WordTokens(path))
 
 
+def encoded(words: WordTokens, batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
+    """doc_id and ids of each row (doc_id, text), in order; texts of about CHUNK_CHARS characters are encoded together."""
+    doc_ids, texts, size = [], [], 0
+    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        doc_ids.append(doc_id)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= CHUNK_CHARS:
+            yield from zip(doc_ids, words.encode_all(texts))
+            doc_ids, texts, size = [], [], 0
+    yield from zip(doc_ids, words.encode_all(texts))
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
     """Encode ``text`` of all rows, in order of doc_id over the whole table, and write shards under ``path``."""
     ship(docs.sparkSession)
@@ -190,8 +226,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> No
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(np.concatenate([words.encode(text.as_py() or ""), end]))
+            for doc_id, own in encoded(words, batch):
+                ids.append(np.concatenate([own, end]))
                 doc_ids.append(doc_id)
                 held += len(ids[-1])
                 if held >= SHARD_TOKENS:

@@ -142,6 +142,27 @@ def test_token_files(spark, tables):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_new_words_of_many_texts_are_one_call():
+    from tokenizers import Tokenizer
+
+    words, t = dac.WordTokens(P.path("byte_bpe_50k.json")), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = [x or "" for x in ODD] + ["l'été, naïve\n 's x\u0303 Ωm \u0120a", "b\n", "'ll  \n  c ", " d'", "x" * 99 + " e"]
+    for _ in range(2):  # the second time most words are remembered
+        assert [i.tolist() for i in words.encode_all(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    calls, ids = [], words._ids
+    words._ids = lambda text: calls.append(text) or ids(text)
+    list(words.encode_all([f"new{i} word{i}, nëw{i}" for i in range(50)]))
+    assert len(calls) == 51  # the first words, and all others at once; before, one for each word
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("    \n\t'stlred.,!ab12é\x1c\x85\u0120")), max_size=30), min_size=1, max_size=6))
+def test_texts_together_as_the_library(texts):
+    words = dac.load(P.path("byte_bpe_50k.json"))
+    assert [i.tolist() for i in words.encode_all(texts)] == [words.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_one_token_without_its_predecessors(spark, odd, tmp_path):
     dac.write_tokens(odd.where("doc_id < 10"), str(tmp_path / "t"), P.path("byte_bpe_50k.json"), 2)
     places = spark.createDataFrame([(7, 0), (7, 100), (3, 9999), (0, 0)], "doc_id long, place long")
