@@ -58,6 +58,13 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
+    def keep_all(self, values: dict) -> None:
+        """``keep`` of texts, all at once; so one generation may exceed its limit by these."""
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(values if max(map(len, values), default=0) <= LONGEST else {k: v for k, v in values.items() if len(k) <= LONGEST})
+
 
 def spaced_words(text: str) -> tuple[str, list[str]]:
     """The text up to its first safe cut, and what follows each cut without its space."""

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,6 +157,25 @@ def test_new_words_of_many_texts_are_one_call():
     assert len(calls) == 51  # the first words, and all others at once; before, one for each word
 
 
+def test_signs_behind_a_word_are_parted_from_it():
+    words, sent = dac.WordTokens(P.path("byte_bpe_50k.json")), []
+    ids = words._ids
+    words._ids = lambda text: sent.append(text) or ids(text)
+    texts = ["x tree, tree. l\u00e9a!! l\u00e9a", "x l\u00e9a. tree!! it's it's,", "x \u0101b, 3. ab\u0301, tree\n, tree,\nTree"] * 2
+    got = [i.tolist() for i in words.encode_all(texts)]
+    assert got == [words.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    spaced = [x for x in sent if x[:1] == " "]
+    assert spaced == [" tree l\u00e9a it's it's, \u0101b, 3. ab\u0301, tree\n, tree,\nTree"]  # before, also "tree," "tree." ...
+    assert {x for x in sent if x not in spaced} == {"x", ",", ".", "!!"}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("    \n\t',.!ab12\u00e9\u00d7\x0b\x1c\x85\xa0\u2003")), max_size=6))
+def test_split_words_in_columns(texts):
+    want = [[first, *words] for first, words in map(bpe.spaced_words, texts)]
+    assert dac.split_words(pa.array(texts, pa.string())).to_pylist() == want
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("    \n\t'stlred.,!ab12é\x1c\x85\u0120")), max_size=30), min_size=1, max_size=6))
 def test_texts_together_as_the_library(texts):
