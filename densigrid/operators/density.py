@@ -106,6 +106,12 @@ def rarity(counted: DataFrame, total_bins: int) -> DataFrame:
     return counted.where("hit > 0").withColumn("__r", _rarity(total_bins)).groupBy("mode").agg(*_mean_max("__r"))
 
 
+def _entropy(p: Column, epsilon: float) -> Column:
+    """Of ``cells`` with share ``p`` each.  Doubles add up to other last digits in another order, and a shuffle has none, so the terms
+    are added up exactly: none is more than ln 2^63, and the 24 digits kept of each are far beyond a double's."""
+    return -F.sum((F.col("cells") * p * F.log(p + F.lit(epsilon))).cast("decimal(28,24)")).cast("double")
+
+
 def confidence_terms(n: Column, occ: Column, h: Column, valid_bins: int | None, k: float) -> dict[str, Column]:
     """s, c, e, confidence: support, coverage, evenness and (s c e)^(1/3) of n rows in occ cells with entropy h."""
     s = n / (n + F.lit(float(k)))
@@ -127,7 +133,7 @@ def confidence(counts: DataFrame, valid_bins: int | None, k: float, by: list[str
     else:
         spread, total = running(spread, "x", {"upto": "n"}), F.col("upto_all")
     terms = spread.select(*by, "cells", "n", (F.col("x") / total).alias("p"))
-    made = terms.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("cells").alias("occ"), (-F.sum(F.col("cells") * F.col("p") * F.log(F.col("p") + F.lit(epsilon)))).alias("h"))
+    made = terms.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("cells").alias("occ"), _entropy(F.col("p"), epsilon).alias("h"))
     n, occ = F.coalesce("n", F.lit(0)), F.coalesce("occ", F.lit(0))
     return made.select(*by, n.alias("reference_rows"), occ.alias("occupied_bins"), *[v.alias(t) for t, v in confidence_terms(n, occ, F.col("h"), valid_bins, k).items()])
 
@@ -147,8 +153,7 @@ def reference_modes(selected: DataFrame, design: DataFrame, selected_goal: Goal,
     # The same frame of distinct counts serves the confidence where the grids are the same.
     spread = counted if design is selected else by_count(by_mode(design))
     terms = spread.where("ref > 0").withColumn("__p", F.col("ref") / F.col("n_all"))
-    h = -F.sum(F.col("cells") * F.col("__p") * F.log(F.col("__p") + F.lit(EPSILON)))
-    made = terms.groupBy("mode").agg(F.first("n_all").alias("reference_rows"), F.first("rank_all").alias("occupied_bins"), h.alias("h"))
+    made = terms.groupBy("mode").agg(F.first("n_all").alias("reference_rows"), F.first("rank_all").alias("occupied_bins"), _entropy(F.col("__p"), EPSILON).alias("h"))
     n, occ = F.coalesce("reference_rows", F.lit(0)), F.coalesce("occupied_bins", F.lit(0))
     sure = confidence_terms(n, occ, F.col("h"), valid_bins, selected_goal.k)
     out = out.join(made.select("mode", "reference_rows", "occupied_bins", *[v.alias(t) for t, v in sure.items()]), "mode", "left")

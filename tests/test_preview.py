@@ -37,6 +37,23 @@ def test_preview_with_and_without_target(spark, tables):
     assert (int(fewer.total_bins), fewer.eligible_records) == (12, 5)
 
 
+def test_confidence_to_the_last_digit_in_any_order(spark):
+    counts = spark.createDataFrame([(int(1.3**i) + i,) for i in range(60)], "cnt long")
+    own = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        seen = set()
+        for parts in range(1, 12):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            alone = density.confidence(counts, 90, 4.0, epsilon=0.0).first()
+            modes = density.reference_modes(*[counts.select(F.array("cnt").alias("cell"), F.col("cnt").alias("peer"), F.lit(1).cast("long").alias("target"))] * 2, GOAL, GOAL, 90)
+            seen.add((alone.e, alone.confidence, *[(r.e, r.confidence) for r in modes.orderBy("mode").collect()]))
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(seen) == 1  # before, several
+
+
 def test_preview_of_a_grid_too_large(spark, tables):
     heads, obs, own = tables
     broken = obs.withColumn("v", F.raise_error(F.lit("read")).cast("array<double>"))
